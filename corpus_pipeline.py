@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seamark.llm import decontaminate, kn_rules, mix, near_dup, token_ids
 from seamark.llm.store import materialize
+from seamark.session import ship
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
