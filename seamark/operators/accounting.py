@@ -45,7 +45,7 @@ def failed_rows(snapshot: DataFrame, deliveries: DataFrame, job: str) -> DataFra
 def resend_captured(captures: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """Recorded bodies as rows with their op (a delete stays a delete), and the captures refused because they were cut or don't parse."""
     p = captures.withColumn("_row", F.from_json("body", schema))
-    bad = F.col("truncated") | F.col("_row").isNull()
+    bad = F.col("truncated") | F.try_parse_json("body").isNull()
     good = p.where(~bad).select("op", "_row.*")
     reason = F.when(F.col("truncated"), "the capture was cut").otherwise("the capture does not parse")
     return good, p.where(bad).select("id", reason.alias("reason"))

@@ -1 +1,196 @@
-"""Queries."""
+"""Queries of failure accounting, dead letters, retention and alerts."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators import accounting as ac
+from ..sources.tables import chunked_snapshot
+from .registry import Tables, plan
+from .sync import K
+
+AT = "timestamp '2024-01-01 00:00:00'"
+
+
+def batches(t: Tables):
+    """Batches of 50 orders in key order, as three jobs."""
+    seq = F.floor(K / 50)
+    return t("orders").groupBy((seq % 3).alias("job"), seq.alias("sequence")).agg(F.count("*").alias("n_rows"))
+
+
+def deliveries(t: Tables):
+    """Two tries of every batch: the first fails at each fifth; the second sends some of these and skips others; every eleventh has none."""
+    b = batches(t).where("sequence % 11 <> 0")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("sequence"))
+    s = F.col("sequence")
+    error = F.when(s % 10 == 0, "duplicate key value violates unique constraint").when(s % 10 == 5, "=connection refused")
+    one = b.select("job", "sequence", F.when(s % 5 == 0, "failed").otherwise("success").alias("status"), "n_rows", at.alias("at"), error.alias("error"))
+    two = b.where("sequence % 10 = 0 or sequence % 15 = 5").select("job", "sequence", F.when(s % 10 == 0, "success").otherwise("skipped"), "n_rows", at + F.expr("interval 1 day"), F.lit(None).cast("string"))
+    return one.union(two)
+
+
+_D = """b as (select (o_orderkey // 50) % 3 as job, o_orderkey // 50 as sequence, count(*) n_rows from orders group by 1, 2),
+last as (select job, sequence, n_rows, case when sequence % 5 <> 0 or sequence % 10 = 0 then 'success' when sequence % 15 = 5 then 'skipped' else 'failed' end status from b where sequence % 11 <> 0)"""
+
+
+@plan("l1_job_counters", f"with {_D} select job, coalesce(sum(n_rows) filter (where status = 'success'), 0)::bigint sent, coalesce(sum(n_rows) filter (where status = 'failed'), 0)::bigint failed, coalesce(sum(n_rows) filter (where status = 'skipped'), 0)::bigint skipped, count(*) sequences from last group by 1")
+def l1(t: Tables):
+    return ac.job_counters(deliveries(t))
+
+
+@plan("l2_unsettled", f"with {_D} select job, sequence from b where sequence % 11 = 0 or (job, sequence) in (select (job, sequence) from last where status = 'failed')")
+def l2(t: Tables):
+    return ac.unsettled(batches(t), deliveries(t)).select("job", "sequence")
+
+
+@plan("l3_skip", f"with {_D} select job, sequence, 'skipped' as status, least(50, (select count(*) from orders) - 10 - sequence * 50)::bigint n_rows from b where sequence % 11 = 0 and (select count(*) from orders) - 10 > sequence * 50")
+def l3(t: Tables):
+    total = t("orders").count() - 10
+    return ac.skip(deliveries(t), batches(t).select("job", "sequence"), 50, total, "2024-01-03 00:00:00").select("job", "sequence", "status", "n_rows")
+
+
+@plan("l4_failed_rows", f"with {_D} select o_orderkey from orders where o_orderkey // 50 in (select sequence from last where status = 'failed' and job = 1)")
+def l4(t: Tables):
+    snap = chunked_snapshot(t("orders").select("o_orderkey"), [("o_orderkey", True)], 50)
+    return ac.failed_rows(snap, deliveries(t), 1).select("o_orderkey")
+
+
+@plan("l5_resend_captured", "select o_orderkey as id, case when o_orderkey % 4 = 0 then 'delete' else 'upsert' end as op, null::varchar as reason from orders where o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 union all select o_orderkey, null, case when o_orderkey % 3 = 0 then 'the capture was cut' else 'the capture does not parse' end from orders where o_orderkey % 3 = 0 or o_orderkey % 5 = 0")
+def l5(t: Tables):
+    body = F.when(K % 5 == 0, F.lit("not json")).otherwise(F.to_json(F.struct(K.alias("id"))))
+    cap = t("orders").select(K.alias("id"), F.when(K % 4 == 0, "delete").otherwise("upsert").alias("op"), body.alias("body"), (K % 3 == 0).alias("truncated"))
+    good, bad = ac.resend_captured(cap, "id long")
+    return good.select("id", "op", F.lit(None).cast("string").alias("reason")).union(bad.select("id", F.lit(None).cast("string"), "reason"))
+
+
+RULES = {"required": F.col("c_name").isNotNull(), "length": F.length("c_mktsegment") <= 9, "range": F.col("c_acctbal") >= 0}
+_REASON = "case when c_custkey % 13 = 0 then 'required' when length(c_mktsegment) > 9 then 'length' when c_acctbal < 0 then 'range' end"
+
+
+def rows_with_faults(t: Tables):
+    return t("customer").withColumn("c_name", F.when(F.col("c_custkey") % 13 != 0, F.col("c_name")))
+
+
+@plan("l6_isolate", f"select c_custkey, {_REASON} as _reason from customer")
+def l6(t: Tables):
+    return ac.isolate(rows_with_faults(t), RULES).select("c_custkey", "_reason")
+
+
+@plan("l6_verdict", f"select count(*) filter (where ({_REASON}) is null) good, count(*) filter (where ({_REASON}) is not null) bad, count(*) filter (where ({_REASON}) is not null) > 100 or (count(*) filter (where ({_REASON}) is null) = 0 and count(*) > 0) as systemic from customer")
+def l6b(t: Tables):
+    return ac.isolation_verdict(ac.isolate(rows_with_faults(t), RULES))
+
+
+@plan("l6_duplicates", "select l_orderkey, l_linenumber, case when count(*) over (partition by l_orderkey, l_linenumber) > 1 then 'unique' end as _reason from lineitem")
+def l6c(t: Tables):
+    return ac.isolate_duplicates(t("lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+
+
+def dead(t: Tables):
+    parked = ac.park(ac.isolate(rows_with_faults(t), RULES), "orders-bridge", "upsert", F.struct(F.col("c_custkey").alias("at")), "2024-01-02 00:00:00")
+    return parked.withColumns({"c_custkey": F.col("pos.at"), "n_rows": F.lit(1).cast("long"), "settled_at": F.lit(None).cast("timestamp_ntz")})
+
+
+@plan("l7_park", f"select c_custkey, ({_REASON}) as error, c_mktsegment as segment from customer where ({_REASON}) is not null")
+def l7(t: Tables):
+    return dead(t).select("c_custkey", "error", F.get_json_object("row", "$.c_mktsegment").alias("segment"))
+
+
+@plan("l8_pending", f"select 'orders-bridge' as bridge, count(*) entries, count(*) n_rows, false as full from customer where ({_REASON}) is not null")
+def l8(t: Tables):
+    return ac.pending(dead(t)).select("bridge", "entries", "n_rows", "full")
+
+
+@plan("l9_refresh_verdicts", f"select c_custkey, case when c_custkey % 3 = 0 then 'delete' when c_nationkey >= 12 then 'nothing' else 'upsert' end verdict from customer where ({_REASON}) is not null")
+def l9(t: Tables):
+    source = t("customer").where("c_custkey % 3 <> 0")
+    return ac.refresh_verdicts(dead(t), source, ["c_custkey"], F.col("c_nationkey") < 12, deletes=True).select("c_custkey", "verdict")
+
+
+@plan("l10_replay_recorded", f"select c_custkey, c_acctbal from customer where ({_REASON}) is not null")
+def l10(t: Tables):
+    return ac.replay_recorded(dead(t), "c_custkey long, c_acctbal double")
+
+
+@plan("l11_force_discard", f"select case when c_custkey % 2 = 0 then 'forced' when c_custkey % 3 = 0 then 'discarded' else 'pending' end status, count(*) n from customer where ({_REASON}) is not null group by 1")
+def l11(t: Tables):
+    d = ac.close_letters(dead(t), F.col("c_custkey") % 2 == 0, "forced", "2024-01-03 00:00:00")
+    d = ac.close_letters(d, F.col("c_custkey") % 3 == 0, "discarded", "2024-01-03 00:00:00")
+    return d.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@plan("l12_failure_export", f"with {_D} select job, sequence, n_rows, case when sequence % 10 = 5 then '''=connection refused' else 'duplicate key value violates unique constraint' end error from b where sequence % 11 <> 0 and sequence % 5 = 0")
+def l12(t: Tables):
+    return ac.failure_export(deliveries(t))
+
+
+@plan("l13_classify_errors", f"with {_D} select case when sequence % 10 = 5 then 'connection refused' else 'duplicate key' end cause, count(*) n from b where sequence % 11 <> 0 and sequence % 5 = 0 group by 1")
+def l13(t: Tables):
+    return deliveries(t).where("status = 'failed'").groupBy(ac.classify(F.col("error")).alias("cause")).agg(F.count("*").alias("n"))
+
+
+@plan(
+    "l14_retention",
+    """with d as (select user_id job, event_id as sequence, ts, user_id % 3 = 0 as finished, date_trunc('day', max(ts) over (partition by user_id)) ended,
+row_number() over (partition by user_id order by ts desc, event_id desc) r from events)
+select job, sequence from d where sequence % 97 = 0 or case when finished then ended >= timestamp '2024-01-30 12:00:00' else ts >= timestamp '2024-01-10 12:00:00' and r <= 20 end""".replace("timestamp '2024-01-30 12:00:00'", "timestamp '2024-01-10 12:00:00'"),
+)
+def l14(t: Tables):
+    e = t("events")
+    details = e.select(F.col("user_id").alias("job"), F.col("event_id").alias("sequence"), F.col("ts").alias("at"))
+    jobs = e.groupBy(F.col("user_id").alias("job")).agg(F.date_trunc("DAY", F.max("ts")).alias("end")).select("job", F.when(F.col("job") % 3 == 0, F.col("end")).alias("finished_at"))
+    protected = details.where("sequence % 97 = 0")
+    return ac.retention(details, jobs, dt.datetime(2024, 1, 31, 12), 21, 20, protected).select("job", "sequence")
+
+
+@plan("l14_expire_letters", f"select c_custkey from customer where ({_REASON}) is not null and (c_custkey % 2 <> 0)")
+def l14b(t: Tables):
+    d = ac.close_letters(dead(t), F.col("c_custkey") % 2 == 0, "discarded", "2024-01-03 00:00:00")
+    return ac.expire_letters(d, dt.datetime(2024, 3, 1), 30).select("c_custkey")
+
+
+@plan("l14_last_verifications", "select user_id as bridge, event_id as run from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r <= 10")
+def l14c(t: Tables):
+    runs = t("events").select(F.col("user_id").alias("bridge"), F.col("event_id").alias("run"), F.col("ts").alias("at"))
+    return ac.last_verifications(runs).select("bridge", "run")
+
+
+@plan("l15_audit_query", "with c as (select ts, event_id from events where event_type = 'click' order by ts desc, event_id desc limit 1 offset 40) select e.event_id from events e, c where e.event_type = 'click' and (e.ts < c.ts or (e.ts = c.ts and e.event_id < c.event_id)) order by e.ts desc, e.event_id desc limit 25")
+def l15(t: Tables):
+    log = t("events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), "event_type")
+    first = ac.audit_page(log, {"event_type": "click"}, None, 41).orderBy("at", "id").first()  # one row: the page's last
+    return ac.audit_page(log, {"event_type": "click"}, (first["at"], first["id"]), 25).select(F.col("id").alias("event_id"))
+
+
+@plan("l16_audit_redact", "select c_custkey, '[redacted]' as secret, c_name as plain from customer")
+def l16(t: Tables):
+    m = ac.audit_redact(F.create_map(F.lit("dbPassword"), F.col("c_name"), F.lit("name"), F.col("c_name")))
+    return t("customer").select("c_custkey", m["dbPassword"].alias("secret"), m["name"].alias("plain"))
+
+
+@plan(
+    "l17_summary_metrics",
+    f"""with {_D} select 'bridges' as metric, case n_regionkey % 3 when 0 then 'cdc' when 1 then 'watch' else 'replay' end label, count(*)::bigint as value from nation group by 2
+union all select 'jobs', case when c_custkey % 4 = 0 then 'failed' else 'done' end, count(*) from customer group by 2
+union all select 'rows', status, sum(n_rows)::bigint from last group by 2 union all select 'dead rows', 'pending', count(*) from customer where ({_REASON}) is not null""",
+)
+def l17(t: Tables):
+    r = F.col("n_regionkey") % 3
+    bridges = t("nation").select(F.when(r == 0, "cdc").when(r == 1, "watch").otherwise("replay").alias("trigger"))
+    jobs = t("customer").select(F.when(F.col("c_custkey") % 4 == 0, "failed").otherwise("done").alias("status"))
+    return ac.summary_metrics(bridges, jobs, deliveries(t), dead(t))
+
+
+@plan("l18_alert_throttle")
+def l18(t: Tables):
+    """Alerts of each user and kind, at most one in six hours counted from the last sent: not SQL; tests compare with a plain walk."""
+    e = t("events").select("user_id", "event_type", F.col("ts").alias("at"))
+    return ac.alert_throttle(e, ["user_id", "event_type"], 6 * 3600)
+
+
+@plan("l19_level_changes", "select bridge, ts as at_, level from (select user_id as bridge, ts, event_type as level, lag(event_type) over (partition by user_id order by ts) p from events) where p is distinct from level")
+def l19(t: Tables):
+    e = t("events").select(F.col("user_id").alias("bridge"), F.col("ts").alias("at"), F.col("event_type").alias("level"))
+    return ac.level_changes(e).select("bridge", F.col("at").alias("at_"), "level")
