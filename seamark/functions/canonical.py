@@ -130,7 +130,7 @@ def near(a: Column, b: Column, digits: int) -> Column:
     """Equal within a relative 10**-digits; NaN equals NaN, infinities only themselves."""
     x, y = a.try_cast("double"), b.try_cast("double")
     close = F.abs(x - y) <= F.greatest(F.abs(x), F.abs(y)) * F.lit(10.0**-digits)
-    return F.when(F.isnan(x) | F.isnan(y), F.isnan(x) & F.isnan(y)).otherwise((x == y) | F.coalesce(close & ~F.isnan(x - y), F.lit(False)))
+    return F.when(F.isnan(x) | F.isnan(y), F.isnan(x) & F.isnan(y)).otherwise((x == y) | F.coalesce(close & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf")), F.lit(False)))
 
 
 def same(a: Column, b: Column, ta: T.DataType, tb: T.DataType, kind: str, millis: bool = False) -> Column:
