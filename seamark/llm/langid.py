@@ -88,10 +88,11 @@ class Parser:
         self.classes = np.ones(256, np.uint8)
         self.classes[seen] = np.arange(2, 2 + len(seen), dtype=np.uint8)
         self.width = len(seen) + 2
-        table = np.empty((len(goto), self.width), np.int32)
-        # no longer match: the phrase ends, and the byte begins the next one
-        table[:] = np.array([0, FLAG, *(goto[0][c] | FLAG for c in seen)], np.int32)
-        table[:, 0] = np.arange(len(goto))
+        self.fresh = len(goto)  # the state in which any byte begins a phrase
+        table = np.empty((len(goto) + 1, self.width), np.int32)
+        # no longer match: the phrase ends, and the byte begins the next one; a byte that the language lacks is a phrase
+        table[:] = np.array([0, self.fresh | FLAG, *(goto[0][c] | FLAG for c in seen)], np.int32)
+        table[:, 0] = np.arange(len(table))
         for state, edges in enumerate(goto):
             row = table[state]
             for c, to in edges.items():
@@ -100,8 +101,8 @@ class Parser:
 
     def phrases(self, pieces: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Phrases of each column of ``pieces`` (bytes x lanes, 0 as padding); ``used[i]``: lanes that have a byte i."""
-        state = np.zeros(pieces.shape[1], np.int32)
-        count = np.ones(pieces.shape[1], np.int32)
+        state = np.full(pieces.shape[1], self.fresh, np.int32)
+        count = np.zeros(pieces.shape[1], np.int32)
         classes = self.classes[pieces]
         classes[pieces == 0] = 0
         for i in range(pieces.shape[0]):

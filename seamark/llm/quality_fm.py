@@ -150,6 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, metadata: tuple[str,
     m = rows.mapInArrow(_train(len(metadata)), "w0 double, w binary, v binary").first()
     drop(known)
     out = Machine(BUCKETS + len(STRUCTURE) + len(metadata))
+    if m is None:  # no labelled rows: the machine as it starts
+        return out
     out.w0, out.w, out.v = m["w0"], np.frombuffer(m["w"], np.float32), np.frombuffer(m["v"], np.float32).reshape(-1, RANK)
     return out
 
