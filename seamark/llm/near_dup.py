@@ -11,8 +11,11 @@ are then confirmed on the full sets.
 
 Scale: texts are read once to be sketched; rows with equal sets collapse to one
 *class* before banding; each bucket is compared with one hub (never all pairs),
-hubs are chosen by how many other sets they meet, and only what a hub leaves in
-different components is compared further, so a bucket of thousands of copies
+and hubs are chosen by how many other sets they meet. All sets that share a
+bucket share its hub, so what the hubs leave in different components is looked
+for among the sets of one hub (a *family*): pair by pair in a small family, and
+in a large one by blocks of sets, compared exactly as matrices in a task, which
+return at most a spanning forest. A family of thousands of near copies thus
 costs rows in proportion. No candidate is dropped or capped.
 """
 
@@ -36,8 +39,9 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.02, 20.0, 1023
 #: At similarity 0.8 a pair shares no band with a chance of 3e-6.
 #: A pair is verified when its estimate is at least the threshold less six standard errors.
-HUB_ROUNDS = 3
 CHUNK = 1 << 15
+#: Families above SMALL members are compared in blocks of about BLOCK sets.
+SMALL, BLOCK = 24, 400
 
 _MULTIPLIERS = splitmix(np.arange(1000, 1000 + REGISTERS, dtype=U64)) | U64(1)
 _LN_BASE = np.log(BASE)
@@ -206,80 +210,127 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     ranked = materialize(members.join(central, "v").select("bk", "v", "meets"), "ranked")
     drop(members)
 
-    counts = nodes.select("v", "n")
-    regs = nodes.select("v", "regs")
-    where = nodes.select("v", "label", "ck")
-    fetched: list[DataFrame] = []
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) confirmed: sizes, then the joint estimate, then full sets.
-
-        A text is fetched for one row of a class, and once for all rounds.
-        """
-        sized = pairs.join(counts.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b")
-        sized = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        both = sized.join(regs.select(F.col("v").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("v").alias("b"), F.col("regs").alias("rb")), "b")
-        likely = materialize(both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(percent), "a long, b long"), "likely")
-        need = likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct()
-        for t in fetched:
-            need = need.join(t.select("v"), "v", "left_anti")
-        need = materialize(need.join(where, "v"), "need")
-        if not need.isEmpty():
-            found = source.join(small(need), source["id"].eqNullSafe(need["label"])).select("v", "ck", "text")
-            fetched.append(materialize(found.mapInArrow(_own_text(width), "v long, text string").dropDuplicates(["v"]), "texts"))
-        drop(need)
-        full = small(likely)
-        if fetched:
-            texts = reduce(DataFrame.union, fetched)
-            full = full.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").sortWithinPartitions("b")
-        else:
-            full = likely.select("a", "b", F.lit("").alias("ta"), F.lit("").alias("tb"))
-        out = materialize(full.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long"), "links")
-        drop(likely)
-        return out
-
-    links: list[DataFrame] = []
-    roots, left = None, ranked
-    for _ in range(HUB_ROUNDS):
-        hubs = left.groupBy("bk").agg(F.max_by("v", F.struct("meets", -F.col("v"))).alias("hub"), F.count("*").alias("k")).where("k > 1")
-        pairs = left.join(hubs, "bk").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
-        links.append(verified(pairs))
-        if roots is not None:
-            drop(roots)
-        roots = materialize(connected_components(reduce(DataFrame.union, links)), "roots")
-        rooted = left.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")).join(hubs, "bk").join(roots.select(F.col("v").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-        # what is not yet with its bucket's hub, and is not alone in its bucket, goes on
-        open_ = materialize(rooted.where("root <> coalesce(hub_root, hub)").select("bk", "v", "meets"), "open")
-        if left is not ranked:
-            drop(left)
-        left = open_
-        if left.isEmpty():
-            break
-    links.append(_rest(ranked, roots, counts, percent, verified))
-    drop(ranked, roots, left)
+    work = _Work(source, nodes, width, percent)
+    hubs = ranked.groupBy("bk").agg(F.max_by("v", F.struct("meets", -F.col("v"))).alias("hub"))
+    stars = materialize(ranked.join(hubs, "bk").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    drop(ranked)
+    links = [work.verified(stars)]
+    roots = materialize(connected_components(links[0]), "roots")
+    links += _rest(stars, roots, work)
+    drop(stars, roots)
     roots = connected_components(reduce(DataFrame.union, links))
     label = nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = label.groupBy("root").agg(F.min("label").alias("component_id"))
     classes = label.join(least, "root").select("ck", "component_id")
     out = sig.join(classes, "ck", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     result = materialize(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))), "near-dup")
-    drop(sig, nodes, *links, *fetched)
+    drop(sig, nodes, *links, *work.fetched)
     return result
 
 
-def _rest(ranked: DataFrame, roots: DataFrame, counts: DataFrame, percent: int, verified) -> DataFrame:
-    """Exact way for what the hubs leave: pairs of one bucket in different components, by size, then verified.
+class _Work:
+    """What confirming pairs of one run needs. A text is fetched for one row of a class, and once."""
+
+    def __init__(self, source: DataFrame, nodes: DataFrame, width: int, percent: int):
+        self.source, self.nodes, self.width, self.percent = source, nodes, width, percent
+        self.fetched: list[DataFrame] = []
+
+    def texts(self, need: DataFrame) -> DataFrame:
+        """``v, text`` of at least the nodes in ``need (v)``."""
+        for t in self.fetched:
+            need = need.join(t.select("v"), "v", "left_anti")
+        need = materialize(need.join(self.nodes.select("v", "label", "ck"), "v"), "need")
+        if not need.isEmpty() or not self.fetched:
+            found = self.source.join(small(need), self.source["id"].eqNullSafe(need["label"])).select("v", "ck", "text")
+            self.fetched.append(materialize(found.mapInArrow(_own_text(self.width), "v long, text string").dropDuplicates(["v"]), "texts"))
+        drop(need)
+        return reduce(DataFrame.union, self.fetched)
+
+    def sized(self, pairs: DataFrame) -> DataFrame:
+        n = self.nodes.select("v", "n")
+        both = pairs.join(n.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b")
+        return both.where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) confirmed: sizes, then the joint estimate, then full sets."""
+        regs = self.nodes.select("v", "regs")
+        both = self.sized(pairs).join(regs.select(F.col("v").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("v").alias("b"), F.col("regs").alias("rb")), "b")
+        likely = materialize(both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent), "a long, b long"), "likely")
+        texts = self.texts(likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct())
+        full = small(likely).join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
+        out = materialize(full.select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(_confirm(self.width, self.percent), "a long, b long"), "links")
+        drop(likely)
+        return out
+
+
+def block_links(sets: list[np.ndarray], roots: list[int], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different roots, from exact intersections.
 
-    Each bucket that lies in one component is done. In the others, one side of a
-    pair must be outside the bucket's largest component, so a hub's many copies
-    are met by its few strangers only, not by each other.
+    Shingles of one set alone cannot be shared; the others are columns of a 0/1
+    matrix whose product with itself counts intersections.
     """
-    r = ranked.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")).join(counts, "v")
-    parts = r.groupBy("bk", "root").agg(F.count("*").alias("c")).groupBy("bk").agg(F.count("*").alias("roots"), F.max_by("root", "c").alias("main")).where("roots > 1")
-    r = materialize(r.join(parts, "bk").select("bk", "v", "n", "root", "main"), "rest")
-    outside = r.where("root <> main").select("bk", F.col("v").alias("a"), F.col("n").alias("n1"), F.col("root").alias("r1"))
-    every = r.select("bk", F.col("v").alias("b"), F.col("n").alias("n2"), F.col("root").alias("r2"), "main")
-    pairs = outside.join(every, "bk").where(f"r1 <> r2 and (r2 = main or a < b) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-    out = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    drop(r)
+    size = np.array([len(s) for s in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(shared.sum()), 4096):
+        s, e = np.searchsorted(column, [low, low + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[s:e], column[s:e] - low] = 1
+        both += m @ m.T
+    x, y = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+    up = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = top(roots[i]), top(roots[j])
+        if p != q:
+            up[p] = q
+            out.append((i, j))
     return out
+
+
+def _block(width: int, percent: int):
+    def run(group):
+        import pandas as pd
+
+        sets = _sets([t.encode() for t in group["text"]], WordHashes(), width)
+        found = block_links(sets, group["root"].tolist(), percent)
+        v = group["v"].to_numpy()
+        return pd.DataFrame({"a": [v[i] for i, _ in found], "b": [v[j] for _, j in found]}, dtype="int64")
+
+    return run
+
+
+def _rest(stars: DataFrame, roots: DataFrame, work: _Work) -> list[DataFrame]:
+    """Exact way for what the hubs leave: links between sets of one family that lie in different components."""
+    family = stars.select(F.col("b").alias("hub"), F.col("a").alias("v")).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    open_ = family.groupBy("hub").agg(F.count("*").alias("k"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("hub", "k")
+    family = materialize(family.join(open_, "hub"), "families")
+    few, many = family.where(f"k <= {SMALL}"), family.where(f"k > {SMALL}")
+    one = few.select("hub", F.col("v").alias("a"), F.col("root").alias("r1"))
+    other = few.select("hub", F.col("v").alias("b"), F.col("root").alias("r2"))
+    pairs = materialize(one.join(other, "hub").where("a < b and r1 <> r2").select("a", "b").distinct(), "pairs")
+    links = [work.verified(pairs)]
+    drop(pairs)
+    if not many.isEmpty():
+        blocks = F.ceil(F.col("k") / BLOCK)
+        mine = F.pmod(F.xxhash64("v"), blocks)
+        cells = many.withColumn("mine", mine).select("hub", "v", "root", "mine", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
+        cells = cells.select("hub", "v", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        texts = work.texts(many.select("v").distinct())
+        links.append(materialize(cells.join(texts, "v").groupBy("hub", "i", "j").applyInPandas(_block(work.width, work.percent), "a long, b long"), "block-links"))
+    drop(family)
+    return links
