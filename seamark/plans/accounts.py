@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import accounting as ac
 from ..sources.tables import chunked_snapshot
 from .registry import Tables, plan
-from .sync import K
+from .sync import key
 
 AT = "timestamp '2024-01-01 00:00:00'"
 
 
 def batches(t: Tables):
     """Batches of 50 orders in key order, as three jobs."""
-    seq = F.floor(K / 50)
+    seq = F.floor(key() / 50)
     return t("orders").groupBy((seq % 3).alias("job"), seq.alias("sequence")).agg(F.count("*").alias("n_rows"))
 
 
@@ -59,13 +59,14 @@ def l4(t: Tables):
 
 @plan("l5_resend_captured", "select o_orderkey as id, case when o_orderkey % 4 = 0 then 'delete' else 'upsert' end as op, null::varchar as reason from orders where o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 union all select o_orderkey, null, case when o_orderkey % 3 = 0 then 'the capture was cut' else 'the capture does not parse' end from orders where o_orderkey % 3 = 0 or o_orderkey % 5 = 0")
 def l5(t: Tables):
-    body = F.when(K % 5 == 0, F.lit("not json")).otherwise(F.to_json(F.struct(K.alias("id"))))
-    cap = t("orders").select(K.alias("id"), F.when(K % 4 == 0, "delete").otherwise("upsert").alias("op"), body.alias("body"), (K % 3 == 0).alias("truncated"))
+    body = F.when(key() % 5 == 0, F.lit("not json")).otherwise(F.to_json(F.struct(key().alias("id"))))
+    cap = t("orders").select(key().alias("id"), F.when(key() % 4 == 0, "delete").otherwise("upsert").alias("op"), body.alias("body"), (key() % 3 == 0).alias("truncated"))
     good, bad = ac.resend_captured(cap, "id long")
     return good.select("id", "op", F.lit(None).cast("string").alias("reason")).union(bad.select("id", F.lit(None).cast("string"), "reason"))
 
 
-RULES = {"required": F.col("c_name").isNotNull(), "length": F.length("c_mktsegment") <= 9, "range": F.col("c_acctbal") >= 0}
+def rules():
+    return {"required": F.col("c_name").isNotNull(), "length": F.length("c_mktsegment") <= 9, "range": F.col("c_acctbal") >= 0}
 _REASON = "case when c_custkey % 13 = 0 then 'required' when length(c_mktsegment) > 9 then 'length' when c_acctbal < 0 then 'range' end"
 
 
@@ -75,12 +76,12 @@ def rows_with_faults(t: Tables):
 
 @plan("l6_isolate", f"select c_custkey, {_REASON} as _reason from customer")
 def l6(t: Tables):
-    return ac.isolate(rows_with_faults(t), RULES).select("c_custkey", "_reason")
+    return ac.isolate(rows_with_faults(t), rules()).select("c_custkey", "_reason")
 
 
 @plan("l6_verdict", f"select count(*) filter (where ({_REASON}) is null) good, count(*) filter (where ({_REASON}) is not null) bad, count(*) filter (where ({_REASON}) is not null) > 100 or (count(*) filter (where ({_REASON}) is null) = 0 and count(*) > 0) as systemic from customer")
 def l6b(t: Tables):
-    return ac.isolation_verdict(ac.isolate(rows_with_faults(t), RULES))
+    return ac.isolation_verdict(ac.isolate(rows_with_faults(t), rules()))
 
 
 @plan("l6_duplicates", "select l_orderkey, l_linenumber, case when count(*) over (partition by l_orderkey, l_linenumber) > 1 then 'unique' end as _reason from lineitem")
@@ -89,7 +90,7 @@ def l6c(t: Tables):
 
 
 def dead(t: Tables):
-    parked = ac.park(ac.isolate(rows_with_faults(t), RULES), "orders-bridge", "upsert", F.struct(F.col("c_custkey").alias("at")), "2024-01-02 00:00:00")
+    parked = ac.park(ac.isolate(rows_with_faults(t), rules()), "orders-bridge", "upsert", F.struct(F.col("c_custkey").alias("at")), "2024-01-02 00:00:00")
     return parked.withColumns({"c_custkey": F.col("pos.at"), "n_rows": F.lit(1).cast("long"), "settled_at": F.lit(None).cast("timestamp_ntz")})
 
 

@@ -11,18 +11,19 @@ from ..operators.writes import VersionedTable
 from ..streaming import echo
 from ..streaming import follow as fo
 from .registry import Tables, plan
-from .sync import COLS, K, orders
+from .sync import COLS, key, orders
 
-NONE = F.array().cast("array<string>")
+def none():
+    return F.array().cast("array<string>")
 
 
 def change_log(t: Tables, truncate: bool = False):
     """Two rounds of changes on orders, in log order: deletes, updates, inserts, with columns not carried."""
     o = orders(t)
-    op = F.when(K % 10 == 0, "delete").when(K % 10 <= 3, "update").otherwise("insert")
-    carried = F.when(K % 5 == 0, F.array(F.lit("o_orderstatus"))).otherwise(NONE)
-    one = o.select(op.alias("op"), "o_orderkey", "o_custkey", F.when(K % 5 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), carried.alias("unchanged"), F.struct(F.lit(1).alias("round"), K.alias("at")).alias("pos"))
-    two = o.where(K % 4 == 0).select(F.when(K % 8 == 0, "update").otherwise("delete").alias("op"), "o_orderkey", "o_custkey", F.lit(None).cast("string").alias("o_orderstatus"), (F.col("o_totalprice") + 2).alias("o_totalprice"), F.array(F.lit("o_orderstatus"), F.lit("o_custkey")).alias("unchanged"), F.struct(F.lit(2), K))
+    op = F.when(key() % 10 == 0, "delete").when(key() % 10 <= 3, "update").otherwise("insert")
+    carried = F.when(key() % 5 == 0, F.array(F.lit("o_orderstatus"))).otherwise(none())
+    one = o.select(op.alias("op"), "o_orderkey", "o_custkey", F.when(key() % 5 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), carried.alias("unchanged"), F.struct(F.lit(1).alias("round"), key().alias("at")).alias("pos"))
+    two = o.where(key() % 4 == 0).select(F.when(key() % 8 == 0, "update").otherwise("delete").alias("op"), "o_orderkey", "o_custkey", F.lit(None).cast("string").alias("o_orderstatus"), (F.col("o_totalprice") + 2).alias("o_totalprice"), F.array(F.lit("o_orderstatus"), F.lit("o_custkey")).alias("unchanged"), F.struct(F.lit(2), key()))
     log = one.union(two)
     if truncate:
         row = t.spark.sql("select 'truncate' op, cast(null as bigint) o_orderkey, cast(null as bigint) o_custkey, cast(null as string) o_orderstatus, cast(null as double) o_totalprice, cast(array() as array<string>) unchanged, struct(1 as round, 500L as at) as pos")
@@ -32,7 +33,7 @@ def change_log(t: Tables, truncate: bool = False):
 
 def base(t: Tables):
     """The target before: the orders whose key is no multiple of three."""
-    return orders(t).where(K % 3 != 0)
+    return orders(t).where(key() % 3 != 0)
 
 
 # first round: rows of keys % 10 = 0 go, others are set (their status only where the key is no multiple of 5)
@@ -60,7 +61,7 @@ def c10b(t: Tables):
 @plan("c10_ignore", "select count(*) n, count(*) filter (where o_orderkey % 10 = 0) kept from orders where not (o_orderkey % 3 = 0 and o_orderkey % 10 = 0 and o_orderkey % 8 <> 0)")
 def c10c(t: Tables):
     out = ch.apply_changes(base(t), change_log(t), ["o_orderkey"], "ignore")
-    return out.agg(F.count("*").alias("n"), F.count_if(K % 10 == 0).alias("kept"))
+    return out.agg(F.count("*").alias("n"), F.count_if(key() % 10 == 0).alias("kept"))
 
 
 @plan(
@@ -75,18 +76,18 @@ def c10d(t: Tables):
 
 @plan("c1_normalize_pg", "select case o_orderkey % 3 when 0 then 'insert' when 1 then 'update' else 'delete' end op, o_orderkey as id, case when o_orderkey % 3 = 0 then o_orderstatus end as status, case when o_orderkey % 3 = 1 then ['status'] else []::varchar[] end as unchanged, o_orderkey as lsn from orders")
 def c1(t: Tables):
-    k = K.cast("string")
-    tag = F.when(K % 3 == 0, "insert").when(K % 3 == 1, "update").otherwise("delete")
-    image = F.when(K % 3 == 0, F.create_map(F.lit("id"), k, F.lit("status"), F.col("o_orderstatus"))).when(K % 3 == 1, F.create_map(F.lit("id"), k))
-    key = F.when(K % 3 == 2, F.create_map(F.lit("id"), k))
-    value = F.to_json(F.struct(tag.alias("tag"), image.alias("new"), key.alias("key"), F.concat(F.lit("0/"), F.hex(K)).alias("lsn")))
+    k = key().cast("string")
+    tag = F.when(key() % 3 == 0, "insert").when(key() % 3 == 1, "update").otherwise("delete")
+    image = F.when(key() % 3 == 0, F.create_map(F.lit("id"), k, F.lit("status"), F.col("o_orderstatus"))).when(key() % 3 == 1, F.create_map(F.lit("id"), k))
+    image_key = F.when(key() % 3 == 2, F.create_map(F.lit("id"), k))
+    value = F.to_json(F.struct(tag.alias("tag"), image.alias("new"), image_key.alias("key"), F.concat(F.lit("0/"), F.hex(key())).alias("lsn")))
     out = ch.normalize_pg(t("orders").select(value.alias("value")), ["id", "status"], "bigint")
     return out.select("op", "id", "status", "unchanged", F.col("pos.lsn").cast("long").alias("lsn"))
 
 
 @plan("c2_normalize_mysql", "select 'insert' as op, o_orderkey as id, o_orderstatus as status, 7::bigint as file, o_orderkey * 10 as at, 0::bigint as row from orders union all select 'update', o_orderkey, 'Z', 7, o_orderkey * 10 + 1, 0 from orders union all select 'update', o_orderkey + 1000000, 'Z', 7, o_orderkey * 10 + 1, 1 from orders")
 def c2(t: Tables):
-    k = K.cast("string")
+    k = key().cast("string")
     shape = "map<string,string>"
     none = F.lit(None).cast(shape)
     row = lambda before, after, values: F.struct(before.alias("before"), after.alias("after"), values.alias("values"))
@@ -94,8 +95,8 @@ def c2(t: Tables):
     old = F.create_map(F.lit("id"), k, F.lit("status"), F.col("o_orderstatus"))
     event = lambda kind, at, rows: F.to_json(F.struct(F.lit(kind).alias("type"), F.lit("binlog.000007").alias("file"), at.alias("at"), rows.alias("rows")))
     o = t("orders")
-    writes = o.select(event("write", K * 10, F.array(row(none, none, old))).alias("value"))
-    updates = o.select(event("update", K * 10 + 1, F.array(row(old, z(k), none), row(old, z((K + 1000000).cast("string")), none))).alias("value"))
+    writes = o.select(event("write", key() * 10, F.array(row(none, none, old))).alias("value"))
+    updates = o.select(event("update", key() * 10 + 1, F.array(row(old, z(k), none), row(old, z((key() + 1000000).cast("string")), none))).alias("value"))
     out = ch.normalize_mysql(writes.union(updates), ["id", "status"], "bigint")
     return out.select("op", "id", "status", "pos.file", "pos.at", "pos.row")
 
@@ -122,8 +123,8 @@ def c5(t: Tables):
     from pyspark.sql import Window
 
     lsn = lambda x: F.concat(F.lit("0/"), F.hex(x))
-    pg = ch.pg_position(F.concat(lsn(K % 7), F.lit("#"), lsn(K * 100003)))
-    my = ch.mysql_position(F.concat(F.lit("bin."), (K % 12).cast("string"), F.lit(":"), K.cast("string")))
+    pg = ch.pg_position(F.concat(lsn(key() % 7), F.lit("#"), lsn(key() * 100003)))
+    my = ch.mysql_position(F.concat(F.lit("bin."), (key() % 12).cast("string"), F.lit(":"), key().cast("string")))
     o = t("orders").select("o_orderkey", pg.alias("pg"), my.alias("my"))
     # a rank over all rows is the check's own; the operator is the order of the struct
     return o.withColumns({"r": F.row_number().over(Window.partitionBy("pg.commit").orderBy("pg")), "m": F.row_number().over(Window.partitionBy("my.file").orderBy("my"))}).join(_before(o, "pg.commit", "c1", "n1"), F.col("pg.commit") == F.col("c1")).join(_before(o, "my.file", "c2", "n2"), F.col("my.file") == F.col("c2")).select("o_orderkey", (F.col("r") + F.col("n1")).alias("r"), (F.col("m") + F.col("n2")).alias("m"))
@@ -143,7 +144,7 @@ def _before(o, group: str, name: str, n: str):
 union all select o_orderkey + 5000000, 'delete', false from orders where o_orderkey % 6 = 0""",
 )
 def c6(t: Tables):
-    before = F.when(K % 2 == 0, F.struct(F.when(K % 6 == 0, K + 5_000_000).otherwise(K).alias("o_orderkey")))
+    before = F.when(key() % 2 == 0, F.struct(F.when(key() % 6 == 0, key() + 5_000_000).otherwise(key()).alias("o_orderkey")))
     log = t("orders").select(F.lit("update").alias("op"), "o_orderkey", "o_totalprice", before.alias("before"))
     return ch.row_moves(log, ["o_orderkey"]).select("o_orderkey", "op", "key_changed")
 
@@ -187,7 +188,7 @@ def c13(t: Tables):
 @plan("c14_snapshot_then_follow", _FOLD.replace("from orders o left join", "from (select * from orders where o_orderkey > 3000) o left join").replace("full outer join two on one.k = two.k where two.k is null or two.up", "full outer join two on one.k = two.k where two.k is null or two.up") + """
 union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where 1 = 0""")
 def c14(t: Tables):
-    snapshot = base(t).where(K > 3000)
+    snapshot = base(t).where(key() > 3000)
     return ch.snapshot_then_follow(snapshot, change_log(t), F.struct(F.lit(1).alias("round"), F.lit(3000).cast("long").alias("at")), ["o_orderkey"])
 
 
@@ -223,25 +224,26 @@ def c17(t: Tables):
     return ch.column_signature(t("events").select(m.alias("fields")), "fields")
 
 
-AT = F.col("o_orderdate")
+def written():
+    return F.col("o_orderdate")
 
 
 def ledger(t: Tables):
-    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate").where(K % 3 == 0)
-    return echo.announce(None, o, "orders", ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"], "insert", ["a"], AT)
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate").where(key() % 3 == 0)
+    return echo.announce(None, o, "orders", ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"], "insert", ["a"], written())
 
 
 @plan("c18_announce", "select count(*) entries, count(distinct o_custkey % 200) keys_kept from (select o_custkey, row_number() over (partition by o_custkey % 200 order by o_orderdate desc, o_orderkey) r from orders) where r <= 20")
 def c18(t: Tables):
     o = t("orders").select((F.col("o_custkey") % 200).alias("k"), "o_orderkey", "o_orderdate")
-    led = echo.announce(None, o, "orders", ["k"], ["o_orderkey"], "update", ["a"], AT)
+    led = echo.announce(None, o, "orders", ["k"], ["o_orderkey"], "update", ["a"], written())
     return led.agg(F.count("*").alias("entries"), F.count_distinct("k").alias("keys_kept"))
 
 
 def incoming(t: Tables):
     """Changes five seconds after the writes; every seventh has another price, every eleventh comes too late."""
-    late = F.when(K % 11 == 0, F.expr("interval 301 seconds")).otherwise(F.expr("interval 5 seconds"))
-    return t("orders").select(F.lit("update").alias("op"), "o_orderkey", "o_orderstatus", (F.col("o_totalprice") + F.when(K % 7 == 0, 1).otherwise(0)).alias("o_totalprice"), (AT + late).alias("at"))
+    late = F.when(key() % 11 == 0, F.expr("interval 301 seconds")).otherwise(F.expr("interval 5 seconds"))
+    return t("orders").select(F.lit("update").alias("op"), "o_orderkey", "o_orderstatus", (F.col("o_totalprice") + F.when(key() % 7 == 0, 1).otherwise(0)).alias("o_totalprice"), (written() + late).alias("at"))
 
 
 @plan("c19_recognise_echo", "select o_orderkey, o_orderkey % 3 = 0 and o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 as is_echo from orders")
@@ -258,7 +260,7 @@ def c19b(t: Tables):
 
 @plan("c20_route", "select o_orderkey, o_orderkey % 2 <> 0 as forward, case when o_orderkey % 2 = 0 then ['a', 'c', 'b'] else ['a', 'b'] end origins from orders")
 def c20(t: Tables):
-    o = t("orders").select("o_orderkey", F.when(K % 2 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("a"))).alias("origins"))
+    o = t("orders").select("o_orderkey", F.when(key() % 2 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("a"))).alias("origins"))
     return echo.route(o, "b", F.array(F.lit("a"), F.lit("c")), F.col("origins"))
 
 

@@ -12,10 +12,13 @@ from ..operators import verify as ve
 from ..operators import writes as wr
 from .registry import Tables, plan
 
-K = F.col("o_orderkey")
 COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 
 
+def key():
+    return F.col("o_orderkey")
+
+
 def orders(t: Tables):
     return t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
@@ -23,8 +26,8 @@ def orders(t: Tables):
 def target_copy(t: Tables):
     """Orders with planted differences: keys dropped, prices raised, keys beyond the source added."""
     o = orders(t)
-    kept = o.where(K % 101 != 0).withColumn("o_totalprice", F.when(K % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return kept.union(o.where(K % 89 == 0).withColumn("o_orderkey", K + 10_000_000))
+    kept = o.where(key() % 101 != 0).withColumn("o_totalprice", F.when(key() % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return kept.union(o.where(key() % 89 == 0).withColumn("o_orderkey", key() + 10_000_000))
 
 
 _TARGET = f"""target as (select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 97 = 0 then o_totalprice + 1 else o_totalprice end o_totalprice from orders where o_orderkey % 101 <> 0
@@ -34,7 +37,7 @@ union all select o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice f
 def rows_in(t: Tables):
     """Rows to write: every fourth order with a new price, and keys not in the target."""
     o = orders(t)
-    return o.where(K % 4 == 0).withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return o.where(key() % 4 == 0).withColumn("o_totalprice", F.col("o_totalprice") * 2)
 
 
 _ROWS = "rows_in as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice * 2 as o_totalprice from orders where o_orderkey % 4 = 0)"
@@ -57,7 +60,7 @@ def w1b(t: Tables):
 from rows_in r left join target t using (o_orderkey) union all select * from target where o_orderkey not in (select o_orderkey from rows_in)""",
 )
 def w2(t: Tables):
-    r = rows_in(t).withColumns({"unchanged": F.when(K % 8 == 0, F.array(F.lit("o_orderstatus"))), "o_orderstatus": F.when(K % 8 != 0, F.col("o_orderstatus"))})
+    r = rows_in(t).withColumns({"unchanged": F.when(key() % 8 == 0, F.array(F.lit("o_orderstatus"))), "o_orderstatus": F.when(key() % 8 != 0, F.col("o_orderstatus"))})
     return wr.upsert(target_copy(t), r, ["o_orderkey"], unchanged="unchanged")
 
 
@@ -72,8 +75,8 @@ def w4(t: Tables):
 
 
 def ids(t: Tables):
-    o = t("orders").where(K % 5 == 0)
-    return o.select(F.when(K % 10 != 0, K).alias("o_orderkey"))
+    o = t("orders").where(key() % 5 == 0)
+    return o.select(F.when(key() % 10 != 0, key()).alias("o_orderkey"))
 
 
 @plan("w5_delete_by_key", f"with {_TARGET} select * from target where not (o_orderkey < 10000000 and o_orderkey % 10 = 5)")
@@ -95,7 +98,7 @@ def w6(t: Tables):
 
 @plan("w7_ignore_deletes", "select o_orderkey, 'update' as op from orders where o_orderkey % 3 <> 0")
 def w7(t: Tables):
-    return wr.keep_ops(orders(t).select("o_orderkey", F.when(K % 3 == 0, "delete").otherwise("update").alias("op")), "ignore")
+    return wr.keep_ops(orders(t).select("o_orderkey", F.when(key() % 3 == 0, "delete").otherwise("update").alias("op")), "ignore")
 
 
 @plan("w8_truncate", f"with {_TARGET} select 0::bigint as after_delete, count(*) as after_soft, 'a truncate is not mirrored: deletes are soft' as notice from target")
@@ -166,7 +169,7 @@ def w14(t: Tables):
     return wr.write_counts(target_copy(t), orders(t), ids(t), ["o_orderkey"])
 
 
-@plan("i1_poll_increment", "select event_id, null::bigint as cursor from events where event_id > 6000 union all select null, max(event_id) from events")
+@plan("i1_poll_increment", "select event_id, null::bigint as cursor from events where event_id > 6000 union all select null, greatest(max(event_id), 6000) from events")
 def i1(t: Tables):
     rows, cursor = po.poll_increment(t("events"), "event_id", F.lit(6000).cast("long"))
     return rows.select("event_id", F.lit(None).cast("long").alias("cursor")).union(cursor.select(F.lit(None).cast("long"), "cursor"))
@@ -246,7 +249,7 @@ def r3(t: Tables):
 
 @plan("r4_extra", "select o_orderkey + 10000000 as o_orderkey from orders where o_orderkey % 89 = 0 and o_orderkey % 2 = 0")
 def r4(t: Tables):
-    marked = target_copy(t).withColumn("gone", K % 2 == 1)
+    marked = target_copy(t).withColumn("gone", key() % 2 == 1)
     c = ve.compare(orders(t), marked, ["o_orderkey"], mark="gone").where("class = 'extra'")
     return c.select(F.get_json_object("_k", "$[0]").cast("long").alias("o_orderkey"))
 
@@ -274,7 +277,7 @@ def r5b(t: Tables):
 @plan("r6_second_look", "select '[\"' || o_orderkey || '\"]' as _k from orders where o_orderkey % 101 = 0")
 def r6(t: Tables):
     first = ve.compare(orders(t), target_copy(t), ["o_orderkey"])
-    later = orders(t).where(K % 101 != 0)  # prices were caught up and extras removed meanwhile
+    later = orders(t).where(key() % 101 != 0)  # prices were caught up and extras removed meanwhile
     return ve.second_look(first, orders(t), later, ["o_orderkey"]).select("_k")
 
 

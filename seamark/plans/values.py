@@ -130,31 +130,39 @@ def k1(t: Tables):
 def _agree(name: str, kind: str, table: str, key: str, a, b, sql: str, millis: bool = False) -> None:
     @plan(name, sql)
     def _(t: Tables, kind=kind, table=table, key=key, a=a, b=b, millis=millis):
-        df = t(table).select(key, a.alias("a"), b.alias("b"))
+        df = t(table).select(key, a().alias("a"), b().alias("b"))
         return df.select(key, values_agree(df, "a", "b", kind, millis).alias("agree"))
 
 
-_k = F.col("o_orderkey")
-_words = F.element_at(F.array(*map(F.lit, ("t", "1", "YES", "on", "false", "0", "n", "off"))), (_k % 8 + 1).cast("int"))
-_agree("k2a_boolean", "boolean", "orders", "o_orderkey", _words, (_k % 3 == 0), "select o_orderkey, (o_orderkey % 8 < 4) = (o_orderkey % 3 = 0) agree from orders")
-_agree("k2b_decimal", "decimal", "orders", "o_orderkey", F.concat(F.lit("+00"), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit("0")), F.col("o_totalprice").cast("decimal(20,4)") + F.when(_k % 9 == 0, 1).otherwise(0), "select o_orderkey, o_orderkey % 9 <> 0 agree from orders")
-_agree("k2c_double", "double", "orders", "o_orderkey", F.col("o_totalprice"), F.col("o_totalprice") * F.when(_k % 9 == 0, 1.0 + 1e-9).otherwise(1.0 + 1e-15), "select o_orderkey, o_orderkey % 9 <> 0 agree from orders")
-_agree("k2c_float", "float", "orders", "o_orderkey", F.col("o_totalprice"), F.col("o_totalprice") * F.when(_k % 9 == 0, 1.00001).otherwise(1.0 + 1e-9), "select o_orderkey, o_orderkey % 9 <> 0 agree from orders")
-_agree("k2d_instant", "timestamp", "events", "event_id", F.col("ts"), F.date_trunc("MILLISECOND", "ts"), "select event_id, microsecond(ts) % 1000 = 0 agree from events")
-_agree("k2d_instant_millis", "timestamp", "events", "event_id", F.col("ts"), F.date_trunc("MILLISECOND", "ts"), "select event_id, true agree from events", True)
-_agree("k2e_date", "date", "orders", "o_orderkey", F.col("o_orderdate"), F.date_add(F.to_date("o_orderdate"), F.when(_k % 4 == 0, 1).otherwise(0)), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
-_agree("k2e_time", "time", "orders", "o_orderkey", F.lit("10:20"), F.when(_k % 4 == 0, "10:20:01").otherwise("10:20:00.000"), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
-_agree("k2f_json", "json", "events", "event_id", F.concat(F.lit('{"a": 1, "p": '), "props", F.lit("}")), F.when(F.col("event_id") % 4 == 0, F.lit('{"a":2}')).otherwise(F.concat(F.lit('{"p":'), "props", F.lit(',"a":1}'))), "select event_id, event_id % 4 <> 0 agree from events")
-_agree("k2g_uuid", "uuid", "orders", "o_orderkey", F.upper(F.sha2(_k.cast("string"), 256)), F.sha2((_k + F.when(_k % 4 == 0, 1).otherwise(0)).cast("string"), 256), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
-_agree("k2g_char", "char", "part", "p_partkey", F.rpad("p_type", 20, " "), F.when(F.col("p_partkey") % 4 == 0, F.lower("p_type")).otherwise(F.col("p_type")), "select p_partkey, p_partkey % 4 <> 0 agree from part")
-_agree("k2h_unknown", "unknown", "orders", "o_orderkey", F.concat(_k.cast("string"), F.lit(".0")), F.when(_k % 4 == 0, F.lit("x")).otherwise(_k.cast("string")), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
+
+
+def _k():
+    return F.col("o_orderkey")
+
+
+def _words():
+    return F.element_at(F.array(*map(F.lit, ("t", "1", "YES", "on", "false", "0", "n", "off"))), (_k() % 8 + 1).cast("int"))
+
+
+_agree("k2a_boolean", "boolean", "orders", "o_orderkey", lambda: _words(), lambda: (_k() % 3 == 0), "select o_orderkey, (o_orderkey % 8 < 4) = (o_orderkey % 3 = 0) agree from orders")
+_agree("k2b_decimal", "decimal", "orders", "o_orderkey", lambda: F.concat(F.lit("+00"), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit("0")), lambda: F.col("o_totalprice").cast("decimal(20,4)") + F.when(_k() % 9 == 0, 1).otherwise(0), "select o_orderkey, o_orderkey % 9 <> 0 agree from orders")
+_agree("k2c_double", "double", "orders", "o_orderkey", lambda: F.col("o_totalprice"), lambda: F.col("o_totalprice") * F.when(_k() % 9 == 0, 1.0 + 1e-9).otherwise(1.0 + 1e-15), "select o_orderkey, o_orderkey % 9 <> 0 agree from orders")
+_agree("k2c_float", "float", "orders", "o_orderkey", lambda: F.col("o_totalprice"), lambda: F.col("o_totalprice") * F.when(_k() % 9 == 0, 1.00001).otherwise(1.0 + 1e-9), "select o_orderkey, o_orderkey % 9 <> 0 agree from orders")
+_agree("k2d_instant", "timestamp", "events", "event_id", lambda: F.col("ts"), lambda: F.date_trunc("MILLISECOND", "ts"), "select event_id, microsecond(ts) % 1000 = 0 agree from events")
+_agree("k2d_instant_millis", "timestamp", "events", "event_id", lambda: F.col("ts"), lambda: F.date_trunc("MILLISECOND", "ts"), "select event_id, true agree from events", True)
+_agree("k2e_date", "date", "orders", "o_orderkey", lambda: F.col("o_orderdate"), lambda: F.date_add(F.to_date("o_orderdate"), F.when(_k() % 4 == 0, 1).otherwise(0)), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
+_agree("k2e_time", "time", "orders", "o_orderkey", lambda: F.lit("10:20"), lambda: F.when(_k() % 4 == 0, "10:20:01").otherwise("10:20:00.000"), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
+_agree("k2f_json", "json", "events", "event_id", lambda: F.concat(F.lit('{"a": 1, "p": '), "props", F.lit("}")), lambda: F.when(F.col("event_id") % 4 == 0, F.lit('{"a":2}')).otherwise(F.concat(F.lit('{"p":'), "props", F.lit(',"a":1}'))), "select event_id, event_id % 4 <> 0 agree from events")
+_agree("k2g_uuid", "uuid", "orders", "o_orderkey", lambda: F.upper(F.sha2(_k().cast("string"), 256)), lambda: F.sha2((_k() + F.when(_k() % 4 == 0, 1).otherwise(0)).cast("string"), 256), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
+_agree("k2g_char", "char", "part", "p_partkey", lambda: F.rpad("p_type", 20, " "), lambda: F.when(F.col("p_partkey") % 4 == 0, F.lower("p_type")).otherwise(F.col("p_type")), "select p_partkey, p_partkey % 4 <> 0 agree from part")
+_agree("k2h_unknown", "unknown", "orders", "o_orderkey", lambda: F.concat(_k().cast("string"), F.lit(".0")), lambda: F.when(_k() % 4 == 0, F.lit("x")).otherwise(_k().cast("string")), "select o_orderkey, o_orderkey % 4 <> 0 agree from orders")
 
 
 @plan("k3_diff_row", "select o_orderkey, list_filter([case when o_orderkey % 4 = 0 then 'o_totalprice' end, case when o_orderkey % 6 = 0 then 'o_orderstatus' end], lambda x: x is not null) cols from orders")
 def k3(t: Tables):
     o = t("orders")
     cells = []
-    for c, other in (("o_totalprice", F.col("o_totalprice") + F.when(_k % 4 == 0, 1.0).otherwise(0.0)), ("o_orderstatus", F.when(_k % 6 == 0, "?").otherwise(F.col("o_orderstatus")))):
+    for c, other in (("o_totalprice", F.col("o_totalprice") + F.when(_k() % 4 == 0, 1.0).otherwise(0.0)), ("o_orderstatus", F.when(_k() % 6 == 0, "?").otherwise(F.col("o_orderstatus")))):
         kind = "double" if c == "o_totalprice" else "text"
         cells.append((c, same(F.col(c), other, o.schema[c].dataType, o.schema[c].dataType, kind), F.col(c), other))
     return o.select("o_orderkey", F.transform(diff_row(cells), lambda d: d["column"]).alias("cols"))
