@@ -83,28 +83,72 @@ def _tokenizer(path: str):
 class PieceIds(dict):
     """Text between ASCII blanks -> its ids as little-endian unsigned 32-bit integers; emptied when full.
 
-    The tokenizer's normalizer maps every run of blanks to one and its
-    pre-tokenizer drops it, so a text's ids are those of its pieces one after
-    another (the tests compare with whole texts).
+    The tokenizer's normalizer lower-cases and maps every run of blanks to one,
+    and its pre-tokenizer drops it, so a text's ids are those of its pieces one
+    after another (the tests compare with whole texts). New pieces are encoded
+    many at a time, with a mark between them that no other text has as a token.
     """
 
-    LIMIT = 350_000
+    LIMIT = 900_000
+    #: Signs that may serve as the mark; the first that is one token is taken.
+    MARKS, GROUP = "\u00a4\u2605\u2665\u20ac\u2122\u00a9\u00bb", 256
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
+        single = [(c, i) for c in self.MARKS if len(i := self.tok.encode(c, add_special_tokens=False).ids) == 1]
+        self.sign, self.mark = (single[0][0], single[0][1][0]) if single else ("", None)
+
+        vocabulary = self.tok.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, pieces: set[bytes]) -> None:
+        """Encode what is new. A comma or stop after an ASCII letter is a run of signs of its own, so the word before it serves both."""
         if len(self) + len(pieces) > self.LIMIT:
             self.clear()
         new = [p for p in pieces if p not in self]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self[p] = np.array(e.ids, "<u4").tobytes()
+        stopped = [p for p in new if p[-1] in b",." and p[-2:-1].isalpha()]
+        words = set(new).difference(stopped)
+        words.update(p[:-1] for p in stopped)
+        words.update((b",", b"."))
+        letters, others = [], []
+        for p in words:
+            if p not in self:
+                (letters if p.isalpha() or p.decode().isalpha() else others).append(p)
+        for group, ids in self._batches(letters, " "):
+            self._cut(group, ids, np.flatnonzero(self.ends_word[ids]) + 1)
+        if self.mark is None:
+            self._one_by_one(others)
+        else:
+            for group, ids in self._batches(others, f" {self.sign} "):
+                self._cut(group, ids, np.append(np.flatnonzero(ids == self.mark) + 1, len(ids) + 1), 1)
+        for p in stopped:
+            self[p] = self[p[:-1]] + self[p[-1:]]
+
+    def _batches(self, pieces: list[bytes], between: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        for at in range(0, len(pieces), 64 * self.GROUP):
+            groups = [pieces[i : i + self.GROUP] for i in range(at, min(at + 64 * self.GROUP, len(pieces)), self.GROUP)]
+            joined = [between.join(p.decode() for p in g) for g in groups]
+            for group, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                yield group, np.array(e.ids, "<u4")
+
+    def _cut(self, group: list[bytes], ids: np.ndarray, after: np.ndarray, gap: int = 0) -> None:
+        """Each piece's ids end before ``after``, less ``gap`` marks; if the numbers don't fit, one by one."""
+        if len(after) != len(group):
+            self._one_by_one(group)
+            return
+        raw, start = ids.tobytes(), 0
+        for p, end in zip(group, (4 * after).tolist(), strict=True):
+            self[p] = raw[start : end - 4 * gap]
+            start = end
+
+    def _one_by_one(self, pieces: list[bytes]) -> None:
+        for p, e in zip(pieces, self.tok.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False), strict=True):
+            self[p] = np.array(e.ids, "<u4").tobytes()
 
 
 def encode_texts(texts: list[bytes], cache: PieceIds, end: bytes) -> list[bytes]:
-    split = [t.split() for t in texts]
+    split = [t.lower().split() for t in texts]
     cache.learn(set().union(*split))
     return [b"".join(map(cache.__getitem__, pieces)) + end for pieces in split]
 
