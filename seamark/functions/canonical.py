@@ -97,6 +97,8 @@ def canonical(c: Column, t: T.DataType, kind: str | None = None) -> Column:
     if kind == "boolean":
         return boolean_of(c, t).cast("string")
     if kind in ("integer", "decimal"):
+        if isinstance(t, T.IntegralType):  # its text is canonical
+            return c.cast("string")
         return F.coalesce(number_text(c), c.cast("string"))
     if kind in ("float", "double"):
         d = c.try_cast("double")
@@ -134,7 +136,12 @@ def near(a: Column, b: Column, digits: int) -> Column:
 
 
 def same(a: Column, b: Column, ta: T.DataType, tb: T.DataType, kind: str, millis: bool = False) -> Column:
-    """Do two readings of one value agree, by its kind? NULL agrees with NULL only."""
+    """Do two readings of one value agree, by its kind? NULL agrees with NULL only.
+
+    Values of one type are compared as they are; texts are built only where the types differ.
+    """
+    if _plain(ta, tb, kind, millis):
+        return a.eqNullSafe(b)
     if kind == "float":
         agree = near(a, b, 6)
     elif kind == "double":
@@ -150,6 +157,16 @@ def same(a: Column, b: Column, ta: T.DataType, tb: T.DataType, kind: str, millis
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(agree, F.lit(False)))
 
 
+def _plain(ta: T.DataType, tb: T.DataType, kind: str, millis: bool) -> bool:
+    exact = (T.IntegralType, T.DecimalType)
+    if kind in ("integer", "decimal"):
+        return isinstance(ta, exact) and isinstance(tb, exact)
+    if ta != tb:
+        return False
+    kinds = {"boolean": T.BooleanType, "text": T.StringType, "date": T.DateType, "bytes": T.BinaryType, "timestamp": (T.TimestampType, T.TimestampNTZType)}
+    return kind in kinds and isinstance(ta, kinds[kind]) and not millis
+
+
 def diff_row(columns: list[tuple[str, Column, Column, Column]]) -> Column:
     """``array<struct<column, expected, actual>>`` of columns that differ: (name, agree, expected, actual)."""
     cells = [F.when(~ok, F.struct(F.lit(n).alias("column"), e.cast("string").alias("expected"), a.cast("string").alias("actual"))) for n, ok, e, a in columns]
