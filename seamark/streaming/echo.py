@@ -40,11 +40,12 @@ def recognise(changes: DataFrame, ledger: DataFrame, table: str, keys: list[str]
     """
     op = F.when(F.col("op").isin("insert", "update"), "upsert").otherwise(F.col("op"))
     c = changes.withColumns({"_k": F.when(F.col("op") == "truncate", F.lit(table)).otherwise(key_text(keys, changes.schema)), "_v": F.when(F.col("op").isin("delete", "truncate"), F.lit("")).otherwise(reading(changes, columns)), "_op": op})
-    c = c.withColumn("_c", F.monotonically_increasing_id())
+    c = c.withColumn("_at", F.col(at))
     e = ledger.where(F.col("table") == table).select("k", "reading", F.when(F.col("op").isin("insert", "update"), "upsert").otherwise(F.col("op")).alias("e_op"), F.col("origins").alias("e_origins"), F.col("at").alias("e_at"))
-    hit = (F.col("_k") == F.col("k")) & (F.col("_v") == F.col("reading")) & (F.col("_op") == F.col("e_op")) & (F.col("e_at") <= F.col(at)) & (F.col("e_at") >= F.col(at) - F.expr(f"interval {TTL_SECONDS} seconds"))
-    j = c.join(e, hit, "left").groupBy("_c").agg(F.min_by(F.struct("e_at", "e_origins"), "e_at").alias("m"))
-    return c.join(j, "_c").select(*changes.columns, F.col("m.e_at").isNotNull().alias("is_echo"), F.col("m.e_at").alias("echo_at"), F.col("m.e_origins").alias("echo_origins"))
+    hit = (F.col("_k") == F.col("k")) & (F.col("_v") == F.col("reading")) & (F.col("_op") == F.col("e_op")) & (F.col("e_at") <= F.col("_at")) & (F.col("e_at") >= F.col("_at") - F.expr(f"interval {TTL_SECONDS} seconds"))
+    on = ["_k", "_v", "_op", "_at"]
+    j = c.select(*on).distinct().join(e, hit).groupBy(*on).agg(F.min_by(F.struct("e_at", "e_origins"), "e_at").alias("m"))
+    return c.join(j, on, "left").select(*changes.columns, F.col("m.e_at").isNotNull().alias("is_echo"), F.col("m.e_at").alias("echo_at"), F.col("m.e_origins").alias("echo_origins"))
 
 
 def consume(ledger: DataFrame, echoed: DataFrame, table: str, keys: list[str]) -> DataFrame:
