@@ -50,7 +50,10 @@ def drop(*tables: DataFrame) -> None:
 
 
 def small(table: DataFrame, rows: int = 50_000) -> DataFrame:
-    """``table``, marked for broadcast if it was counted and has at most ``rows`` (narrow) rows; else Spark shuffles it."""
+    """``table``, marked for broadcast if it was counted and has at most ``rows`` (narrow) rows; else Spark shuffles it.
+
+    50,000 rows of a few numbers, or 250,000 of one, take a few MB.
+    """
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
