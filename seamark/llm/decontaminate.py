@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Every n-gram of the test items is a seed. One scan over the documents finds
-seed hits, groups them along diagonals into windows, and carries each window's
-words out; so no text is shuffled. Seeds that many windows share for their
-item's measure (above the item's upper quartile) are common phrases, and a
-window needs one rare seed. Windows are then aligned with their item word by
-word; a high local score finds edited and paraphrased copies too.
+seed hits, groups them along diagonals into windows and aligns each with its
+item word by word, so no text is shuffled; a high local score finds edited and
+paraphrased copies too. A window is left out only if the words it shares with
+the item, however ordered, are too few for the least score. So the verdict on a
+document depends on it and the item alone, not on what else the corpus holds.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, materialize, small
+from .store import materialize
 from .text import U64, WordHashes, shingle_hashes, text_slices
 
 SEED_WORDS = 4
@@ -29,6 +29,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 FILTER_BITS = 22
+#: Words of distinct windows remembered in a task with their alignments; when full, it begins anew.
+REMEMBERED = 1_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -44,6 +46,8 @@ class Seeds:
         cache = WordHashes()
         self.words = [words_of(t) for _, t in items]
         self.ids = [i for i, _ in items]
+        #: For each item its distinct word hashes, sorted, and how often it has them.
+        self.bags = [np.unique(cache.of(w), return_counts=True) for w in self.words]
         h, item, place = [], [], []
         for k, w in enumerate(self.words):
             if len(w) >= SEED_WORDS:
@@ -59,46 +63,20 @@ class Seeds:
         self.may = np.zeros(1 << FILTER_BITS, bool)
         self.may[self.h >> U64(64 - FILTER_BITS)] = True
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(place in the text, item, place in the item, seed)`` of each hit."""
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place in the text, item, place in the item)`` of each hit."""
         at = np.flatnonzero(self.may[grams >> U64(64 - FILTER_BITS)])
         low = np.searchsorted(self.h, grams[at], "left")
         n = np.searchsorted(self.h, grams[at], "right") - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.item[k], self.place[k], self.h[k]
+        return np.repeat(at, n), self.item[k], self.place[k]
 
-
-def _windows(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, cache = shared.value, WordHashes()
-        for b, texts in text_slices(batches, "text"):
-            out: dict[str, list] = {n: [] for n in ("id", "item", "first", "window", "seeds")}
-            for doc, text in zip(b.column(0).to_pylist(), texts, strict=True):
-                words = words_of(text)
-                if len(words) < SEED_WORDS:
-                    continue
-                at, item, place, h = seeds.hits(shingle_hashes(cache.of(words), SEED_WORDS))
-                if not len(at):
-                    continue
-                order = np.lexsort((at, item))
-                at, item, place, h = at[order], item[order], place[order], h[order]
-                size = np.array([len(seeds.words[i]) for i in item])
-                # a new window at another item, or beyond the item's length from the hit before
-                new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[1:])]))
-                for s, e in zip(new, [*new[1:], len(at)], strict=True):
-                    length = int(size[s])
-                    start = max(0, int((at[s:e] - place[s:e]).min()) - length // 2)
-                    end = min(len(words), int((at[s:e] - place[s:e]).max()) + length + length // 2)
-                    out["id"].append(doc)
-                    out["item"].append(int(item[s]))
-                    out["first"].append(start)
-                    out["window"].append(b" ".join(words[start:end]).decode())
-                    out["seeds"].append(np.unique(h[s:e]).view(np.int64).tolist())
-            if out["id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out["id"], b.column(0).type), pa.array(out["item"], pa.int32()), pa.array(out["first"], pa.int32()), pa.array(out["window"], pa.string()), pa.array(out["seeds"], pa.list_(pa.int64()))], names=list(out))
-
-    return run
+    def shared(self, item: int, hashes: np.ndarray) -> int:
+        """How many words the item and these have in common, in any order: no alignment matches more."""
+        h, n = self.bags[item]
+        at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+        return int(np.minimum(np.bincount(at[h[at] == hashes], minlength=len(h)), n).sum())
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -130,20 +108,50 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _aligned(shared):
+def _compared(target: list[bytes], words: list[bytes]) -> tuple[float, int, int, int]:
+    """``(score, words matched, start, end)`` of an item's best place in a window."""
+    number: dict[bytes, int] = {}
+    t = np.array([number.setdefault(w, len(number)) for w in target])
+    w = np.array([number.get(x, -1) for x in words])
+    best, start, end = align(t, w)
+    return best / (MATCH * len(target)), int(np.isin(w[start:end], t).sum()), start, end
+
+
+def _aligned(shared, least_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        for b in batches:
+        seeds, cache = shared.value, WordHashes()
+        known: dict[tuple[int, bytes], tuple[float, int, int, int]] = {}
+        held = 0
+        for b, texts in text_slices(batches, "text"):
             out = []
-            for doc, item, first, window in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                words, target = window.encode().split(), seeds.words[item]
-                number: dict[bytes, int] = {}
-                t = np.array([number.setdefault(w, len(number)) for w in target])
-                w = np.array([number.get(x, -1) for x in words])
-                best, start, end = align(t, w)
-                share = best / (MATCH * len(target))
-                matched = int(np.isin(w[start:end], t).sum())
-                out.append((doc, seeds.ids[item], share, matched, first + start, first + end))
+            for doc, text in zip(b.column(0).to_pylist(), texts, strict=True):
+                words = words_of(text)
+                if len(words) < SEED_WORDS:
+                    continue
+                hashes = cache.of(words)
+                at, item, place = seeds.hits(shingle_hashes(hashes, SEED_WORDS))
+                if not len(at):
+                    continue
+                order = np.lexsort((at, item))
+                at, item, place = at[order], item[order], place[order]
+                size = np.array([len(seeds.words[i]) for i in item])
+                # a new window at another item, or beyond the item's length from the hit before
+                new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[1:])]))
+                for s, e in zip(new, [*new[1:], len(at)], strict=True):
+                    k, length = int(item[s]), int(size[s])
+                    first = max(0, int((at[s:e] - place[s:e]).min()) - length // 2)
+                    end = min(len(words), int((at[s:e] - place[s:e]).max()) + length + length // 2)
+                    if seeds.shared(k, hashes[first:end]) / length < least_score:
+                        continue
+                    key = (k, b" ".join(words[first:end]))
+                    if key not in known:
+                        held += end - first
+                        if held > REMEMBERED:
+                            known.clear()
+                            held = end - first
+                        known[key] = _compared(seeds.words[k], words[first:end])
+                    share, matched, start, stop = known[key]
+                    out.append((doc, seeds.ids[k], share, matched, first + start, first + stop))
             if out:
                 kinds = [b.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "item_id", "score", "n_matched", "start_word", "end_word"])
@@ -170,15 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"].encode()) for r in block]))
-        windows = materialize(rows.mapInArrow(_windows(shared), f"id {kind}, item int, first int, window string, seeds array<long>").withColumn("w", F.monotonically_increasing_id()), "windows")
-        each = windows.select("w", "item", F.explode("seeds").alias("seed"))
-        counts = each.groupBy("item", "seed").agg(F.count("*").alias("n"))
-        cut = counts.groupBy("item").agg(F.percentile_approx("n", 0.75).alias("cut"))
-        rare = materialize(counts.join(cut, "item").where("n <= cut").select("item", "seed"), "rare")
-        seeded = each.join(small(rare), ["item", "seed"]).select("w").distinct()
-        hit = windows.join(seeded, "w", "left_semi").select("id", "item", "first", "window").mapInArrow(_aligned(shared), f"id {kind}, item_id long, score double, n_matched long, start_word long, end_word long")
+        hit = rows.mapInArrow(_aligned(shared, least_score), f"id {kind}, item_id long, score double, n_matched long, start_word long, end_word long")
         part = materialize(hit.where((F.col("score") >= least_score) & (F.col("n_matched") >= LEAST_WORDS)), "aligned")
-        drop(windows, rare)
         found = part if found is None else found.union(part)
     best = F.max_by(F.struct("score", "n_matched", "start_word", "end_word"), F.struct("score", "n_matched", -F.col("start_word")))
     return found.groupBy("id", "item_id").agg(best.alias("b")).select(F.col("id").alias(id_col), "item_id", "b.*")

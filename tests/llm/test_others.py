@@ -109,6 +109,22 @@ def test_contamination(spark):
     assert decontaminate.contaminated(df.limit(0), bench).collect() == []
 
 
+def test_contamination_edit_beside_copies(spark):
+    """A copy with every fifth word replaced is found alone and beside fuller copies of the item."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(40)]
+    edited = [word() if k % 5 == 4 else w for k, w in enumerate(item)]
+    rows = [(1, edited), *((k, [word(), *item, word()]) for k in range(2, 6)), (9, [*(word() for _ in range(90)), *item[:4]])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    alone = {x["doc_id"]: x["score"] for x in decontaminate.contaminated(docs.where("doc_id = 1"), bench).collect()}
+    got = {x["doc_id"]: x["score"] for x in decontaminate.contaminated(docs, bench).collect()}
+    # 32 words match, 7 replaced words lie between matches: the last is outside the local alignment
+    assert alone == {1: (32 * 2 - 7) / 80}
+    assert got == {1: alone[1], 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0}
+
+
 def test_passages(spark):
     r = random.Random(4)
     noise = lambda n: [f"n{r.randrange(10**8)}" for _ in range(n)]
