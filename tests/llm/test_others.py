@@ -143,6 +143,23 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).collect() == []
 
 
+def test_passages_with_edits(spark):
+    """Passages with one word in ten replaced: most of what the word-by-word check accepts from any place is found."""
+    r = random.Random(21)
+    noise = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    docs, accepted = [], set()
+    for k in range(60):
+        shared = noise(80)
+        edited = [noise(1)[0] if r.random() < 0.1 else w for w in shared]
+        a, b = [*noise(40), *shared, *noise(30)], [*noise(25), *edited, *noise(35)]
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        if passages.passages(np.array(b), np.array(a), [(25 + j, 40 + j, 3) for j in range(78)], 50):
+            accepted.add(2 * k)
+    got = {x["component_id"] for x in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(accepted) >= 30
+    assert got <= accepted and len(got) >= 0.85 * len(accepted)
+
+
 def test_many_copies_in_one_task(spark):
     r = random.Random(6)
     text = " ".join(f"w{r.randrange(1000)}" for _ in range(80))
