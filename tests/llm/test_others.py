@@ -143,6 +143,20 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).collect() == []
 
 
+def test_passages_whose_parts_have_other_leaders(spark):
+    """Two documents that share 80 words are found though both halves stand in earlier documents, which share less than 50."""
+    r = random.Random(22)
+    noise = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for k in range(0, 160, 4):
+        x, y = noise(40), noise(40)
+        docs += [(k, noise(30) + x + noise(30)), (k + 1, noise(30) + y + noise(30)), (k + 2, noise(20) + x + y + noise(30)), (k + 3, noise(40) + x + y + noise(20))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    for parts in (1, 5):
+        got = {(x["doc_id"], x["start_word"], x["n_words"]) for x in passages.repeated_passages(df.repartition(parts)).collect()}
+        assert got == {(k + j, 20 if j == 2 else 40, 80) for k in range(0, 160, 4) for j in (2, 3)}
+
+
 def test_passages_with_edits(spark):
     """Passages with one word in ten replaced: most of what the word-by-word check accepts from any place is found."""
     r = random.Random(21)
