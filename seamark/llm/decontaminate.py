@@ -25,7 +25,7 @@ SEED_WORDS = 4
 #: Words of test items whose seeds are broadcast at once; more items go in further scans.
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Part of the best possible score from which a document counts as contaminated, and words matched at least.
+#: Part of the best possible score from which a document counts as contaminated, and words matched at least (all words of a shorter item).
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 FILTER_BITS = 22
@@ -151,6 +151,8 @@ def _aligned(shared, least_score: float):
                             held = end - first
                         known[key] = _compared(seeds.words[k], words[first:end])
                     share, matched, start, stop = known[key]
+                    if matched < min(LEAST_WORDS, length):
+                        continue
                     out.append((doc, seeds.ids[k], share, matched, first + start, first + stop))
             if out:
                 kinds = [b.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
@@ -179,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"].encode()) for r in block]))
         hit = rows.mapInArrow(_aligned(shared, least_score), f"id {kind}, item_id long, score double, n_matched long, start_word long, end_word long")
-        part = materialize(hit.where((F.col("score") >= least_score) & (F.col("n_matched") >= LEAST_WORDS)), "aligned")
+        part = materialize(hit.where(F.col("score") >= least_score), "aligned")
         found = part if found is None else found.union(part)
     best = F.max_by(F.struct("score", "n_matched", "start_word", "end_word"), F.struct("score", "n_matched", -F.col("start_word")))
     return found.groupBy("id", "item_id").agg(best.alias("b")).select(F.col("id").alias(id_col), "item_id", "b.*")

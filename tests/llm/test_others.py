@@ -125,6 +125,14 @@ def test_contamination_edit_beside_copies(spark):
     assert got == {1: alone[1], 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0}
 
 
+def test_contamination_by_short_items(spark):
+    """Items of 4 and 5 words are found where they stand verbatim; an item of 12 words by its first 5 is not."""
+    docs = spark.createDataFrame([(1, "so one two three four it is"), (2, "red green blue white black"), (3, "x a b c d e y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(4, "one two three four"), (5, "Red green, blue white black."), (12, "a b c d e f g h i j k l")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["n_matched"]) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 4, 4), (2, 5, 5)}
+
+
 def test_passages(spark):
     r = random.Random(4)
     noise = lambda n: [f"n{r.randrange(10**8)}" for _ in range(n)]
