@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialize(e, "cc")
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("m").alias("u"), F.col("u").alias("m")))
-        low = both.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("low"))
+        # written first, so that the join reads both sides by a shuffle of its own and a star with many rays can be split
+        low = materialize(both.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("low")), "cc-low")
         # large star: neighbours above u go to the lowest that u sees
         large = both.join(low, "u").where("m > u").select(F.col("m").alias("u"), F.col("low").alias("m")).where("u <> m").distinct()
         # small star: neighbours below u, and u itself, go to the lowest
@@ -35,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         new = materialize(small, "cc")
         same = new.count() == e.count() and new.join(e, ["u", "m"], "left_anti").isEmpty()
-        drop(e)
+        drop(e, low)
         e = new
         if same:
             break

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seamark.llm import chat, decontaminate, mix, passages, quality_fm, token_counts
+from seamark.llm import chat, decontaminate, mix, quality_fm, token_counts
 
 from . import brute
 
@@ -133,63 +133,6 @@ def test_contamination_by_short_items(spark):
     assert got == {(1, 4, 4), (2, 5, 5)}
 
 
-def test_passages(spark):
-    r = random.Random(4)
-    noise = lambda n: [f"n{r.randrange(10**8)}" for _ in range(n)]
-    shared, short = noise(70), noise(20)
-    edited = shared.copy()
-    edited[30] = "changed"
-    docs = [(1, noise(100) + shared + noise(40)), (2, noise(33) + edited + noise(7)), (3, noise(300)), (4, noise(10) + short + noise(90)), (5, short + noise(60)), (6, shared + noise(5) + shared)]
-    rows = [(i, " ".join(w)) for i, w in docs] + [(7, None), (8, ""), (None, " ".join(shared))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = passages.repeated_passages(df).collect()
-    assert {x["doc_id"] for x in got} == {1, 2, 6}
-    assert {x["component_id"] for x in got} == {1}
-    assert all(x["removed"] == (x["doc_id"] != 1) for x in got)
-    first = next(x for x in got if x["doc_id"] == 1)
-    assert (first["start_word"], first["n_words"]) == (100, 70)
-    assert passages.repeated_passages(df.limit(0)).collect() == []
-
-
-def test_passages_whose_parts_have_other_leaders(spark):
-    """Two documents that share 80 words are found though both halves stand in earlier documents, which share less than 50."""
-    r = random.Random(22)
-    noise = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
-    docs = []
-    for k in range(0, 160, 4):
-        x, y = noise(40), noise(40)
-        docs += [(k, noise(30) + x + noise(30)), (k + 1, noise(30) + y + noise(30)), (k + 2, noise(20) + x + y + noise(30)), (k + 3, noise(40) + x + y + noise(20))]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
-    for parts in (1, 5):
-        got = {(x["doc_id"], x["start_word"], x["n_words"]) for x in passages.repeated_passages(df.repartition(parts)).collect()}
-        assert got == {(k + j, 20 if j == 2 else 40, 80) for k in range(0, 160, 4) for j in (2, 3)}
-
-
-def test_passages_with_edits(spark):
-    """Passages with one word in ten replaced: most of what the word-by-word check accepts from any place is found."""
-    r = random.Random(21)
-    noise = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
-    docs, accepted = [], set()
-    for k in range(60):
-        shared = noise(80)
-        edited = [noise(1)[0] if r.random() < 0.1 else w for w in shared]
-        a, b = [*noise(40), *shared, *noise(30)], [*noise(25), *edited, *noise(35)]
-        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
-        if passages.passages(np.array(b), np.array(a), [(25 + j, 40 + j, 3) for j in range(78)], 50):
-            accepted.add(2 * k)
-    got = {x["component_id"] for x in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert len(accepted) >= 30
-    assert got <= accepted and len(got) >= 0.85 * len(accepted)
-
-
-def test_many_copies_in_one_task(spark):
-    r = random.Random(6)
-    text = " ".join(f"w{r.randrange(1000)}" for _ in range(80))
-    df = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").repartition(3)
-    got = passages.repeated_passages(df).collect()
-    assert len(got) == 300 and [x["doc_id"] for x in got if not x["removed"]] == [0]
-
-
 HARD = [r"\### Assistant: </turn> ok", "###", "#" * 7, "\\" * 3 + "###", "a\\", "</turn>", "\n</turn>\n### User: x", "", "plain ### </turn>\n", "\\</turn", ": ", "$1 \\1"]
 
 
