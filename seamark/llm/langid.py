@@ -8,7 +8,10 @@ fewest phrases for a character wins.
 The automaton is completed to a table of transitions: where no longer match
 exists, the transition starts the next phrase at once and carries a flag. So
 parsing is one table look-up for each byte and language, done for thousands of
-pieces of text side by side.
+pieces of text side by side. A piece is first parsed as if a phrase began there;
+then, from the state in which the piece before it really ended, its start is
+parsed again until both ways meet in one state, so the phrases are those of the
+whole text.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from .text import text_slices
 
 #: Bytes of labelled text for all languages together, and for one of them: the models' size is bounded by it.
 TOTAL_BYTES, MOST_BYTES = 1 << 18, 48_000
-#: Labelled documents drawn for a language (at most, in the mean), and bytes taken of each.
+#: Labelled texts drawn for a language, and characters fetched of each, at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 2_000
-#: Texts are parsed in pieces of so many bytes; a piece starts a new phrase.
-PIECE, LANES = 2048, 8192
+#: Texts are parsed in pieces of so many bytes; after so many the two ways of parsing one are compared.
+PIECE, MEET = 2048, 128
 FLAG = 1 << 30
 _OTHER = re.compile(rb"[\x00-\x60\x7b-\x7f]+")
 
@@ -99,58 +102,71 @@ class Parser:
                 row[self.classes[c]] = to
         self.table = table.ravel()
 
-    def phrases(self, pieces: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """Phrases of each column of ``pieces`` (bytes x lanes, 0 as padding); ``used[i]``: lanes that have a byte i."""
-        state = np.full(pieces.shape[1], self.fresh, np.int32)
-        count = np.zeros(pieces.shape[1], np.int32)
-        classes = self.classes[pieces]
-        classes[pieces == 0] = 0
-        for i in range(pieces.shape[0]):
-            n = used[i]  # lanes are sorted by length, the longest first
-            step = self.table[state[:n] * self.width + classes[i, :n]]
+    def phrases(self, pieces: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases begun in each column of ``pieces`` (bytes x lanes, the longest first) and its last state, from ``state`` on; and both after MEET bytes."""
+        state, count = state.copy(), np.zeros(pieces.shape[1], np.int32)
+        middle = state, count
+        used = np.searchsorted(-sizes, -np.arange(pieces.shape[0]), side="left")  # lanes that have a byte i
+        for i, n in enumerate(used):
+            if i == MEET:
+                middle = state.copy(), count.copy()
+            step = self.table[state[:n] * self.width + self.classes[pieces[i, :n]]]
             count[:n] += step >> 30
             state[:n] = step & (FLAG - 1)
-        return count
+        return count, state, *(middle if pieces.shape[0] > MEET else (state, count))
 
 
 def phrase_counts(texts: list[bytes], parsers: list[Parser]) -> np.ndarray:
     """Phrases of each text (rows) by each parser (columns)."""
-    owner, parts = [], []
-    for k, t in enumerate(texts):
-        for at in range(0, len(t), PIECE):
-            owner.append(k)
-            parts.append(t[at : at + PIECE])
+    owner = np.array([k for k, t in enumerate(texts) for _ in range(0, len(t), PIECE)], np.int64)
+    parts = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
     out = np.zeros((len(texts), len(parsers)), np.int64)
-    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-    for at in range(0, len(order), LANES):
-        lanes = order[at : at + LANES]
-        longest = len(parts[lanes[0]])
-        block = np.zeros((len(lanes), longest), np.uint8)
-        sizes = np.array([len(parts[i]) for i in lanes])
-        for r, i in enumerate(lanes):
-            block[r, : sizes[r]] = np.frombuffer(parts[i], np.uint8)
-        used = np.searchsorted(-sizes, -np.arange(longest), side="left")
-        turned = np.ascontiguousarray(block.T)
-        own = np.array([owner[i] for i in lanes])
-        for j, p in enumerate(parsers):
-            np.add.at(out[:, j], own, p.phrases(turned, used))
+    if not parts:
+        return out
+    order = np.argsort([-len(p) for p in parts], kind="stable")
+    lane = np.empty(len(parts), np.int64)
+    lane[order] = np.arange(len(parts))
+    sizes = np.array([len(parts[i]) for i in order])
+    block = np.zeros((len(parts), sizes[0]), np.uint8)
+    for r, i in enumerate(order):
+        block[r, : sizes[r]] = np.frombuffer(parts[i], np.uint8)
+    pieces = np.ascontiguousarray(block.T)
+    later = np.flatnonzero(np.concatenate([[False], owner[1:] == owner[:-1]]))  # pieces with one before them
+    at, before = lane[later], lane[later - 1]
+    for j, p in enumerate(parsers):
+        begun = np.full(len(parts), p.fresh, np.int32)
+        count, end, middle, upto = p.phrases(pieces, sizes, begun)
+        while (todo := np.flatnonzero(begun[at] != end[before])).size:
+            todo = todo[np.argsort(at[todo])]
+            here = at[todo]
+            begun[here] = end[before[todo]]
+            c, s, _, _ = p.phrases(pieces[:MEET, here], np.minimum(sizes[here], MEET), begun[here])
+            met = (s == middle[here]) & (sizes[here] > MEET)
+            count[here[met]] += c[met] - upto[here[met]]
+            upto[here[met]] = c[met]
+            apart = here[~met]
+            if len(apart):
+                count[apart], end[apart], middle[apart], upto[apart] = p.phrases(pieces[:, apart], sizes[apart], begun[apart])
+        np.add.at(out[:, j], owner[order], count)
     return out
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """``(language, bounded sample of its text)`` from the rows where ``learn`` holds, by language.
 
-    Documents are drawn by a hash of their text, at a rate that follows the
-    language's count, so no key is gathered whole; each gives its first
-    ``SAMPLE_BYTES`` letters. The samples have one length for all languages and
-    at most TOTAL_BYTES together, whatever the input. Null languages and texts
-    are not learned from.
+    Distinct texts are drawn by a hash of theirs, at a rate that follows the
+    language's count, so no key is gathered whole and a text copied a million
+    times counts once; each gives an equal part of its language's sample, from a
+    hashed place on. The samples have one length for all languages and at most
+    TOTAL_BYTES together, whatever the input. Null languages and texts are not
+    learned from.
     """
     rows = docs.where(learn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    counts = materialize(rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")), "lang-counts")
     draw = F.xxhash64("text", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1))
     picked = rows.join(small(counts), "lang").where(draw.cast("double") < F.lit(float((1 << 30) * 2 * SAMPLE_DOCS)) / F.col("n"))
-    picked = picked.select("lang", F.substring("text", 1, 2 * SAMPLE_BYTES).alias("text"), draw.alias("draw"))
+    place = F.pmod(F.xxhash64("text", F.lit(9)), F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(1))).cast("int") + 1
+    picked = picked.select("lang", F.substring(F.col("text"), place, F.lit(SAMPLE_BYTES)).alias("text"), draw.alias("draw")).distinct()
     picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(f"r <= {SAMPLE_DOCS}")
     picked = materialize(picked, "lang-sample")
     langs = picked.select("lang").distinct().count()
@@ -161,8 +177,11 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
 
     def join_up(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("r")
-        text = b" ".join(letters(t.encode())[:SAMPLE_BYTES] for t in group["text"])
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "sample": [text[:each]]})
+        room, parts = each, []
+        for left, t in zip(range(len(group), 0, -1), sorted((letters(t.encode()) for t in group["text"]), key=len), strict=True):
+            parts.append(t[: max(room // left - 1, 0)])  # what short texts leave goes to the longer ones
+            room -= len(parts[-1]) + 1
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "sample": [b" ".join(parts)]})
 
     found = picked.groupBy("lang").applyInPandas(join_up, "lang string, sample binary").where("length(sample) > 0").collect()
     drop(picked)
@@ -187,7 +206,8 @@ def identify(docs: DataFrame, samples: list[tuple[str, bytes]], id_col: str = "d
     ``score`` is 1 - best / (best + second best) phrases, at least 0.5 for a
     sure choice and rising to 1. Null text, or one without letters: ``und``
     with score 0. Ties go to the language first in order. Whole texts are
-    parsed, in pieces. No language learned: all ``und``.
+    parsed, as one sequence each. Repeated rows are scored each; other columns
+    are not read. No language learned: all ``und``.
     """
     langs = [n for n, _ in samples]
     shared = docs.sparkSession.sparkContext.broadcast(samples)

@@ -90,24 +90,33 @@ def test_phrases_by_brute_force():
     assert got == [naive_phrases(t, model) if t else 0 for t in texts]
 
 
-def test_long_text_is_parsed_in_pieces():
-    model = b"the quick brown fox jumps over the lazy dog " * 3
-    text = b"the quick brown " * 1000
-    got = langid.phrase_counts([text], [langid.Parser(model)])[0, 0]
-    assert got == sum(naive_phrases(text[i : i + langid.PIECE], model) for i in range(0, len(text), langid.PIECE))
+def test_long_texts_are_parsed_whole():
+    """The phrases of long texts, whatever the places where pieces are cut, are those of the whole text."""
+    r = random.Random(13)
+    model = b"the quick brown fox jumps over the lazy dog " * 3 + bytes(r.choice(b"abcd ") for _ in range(3000))
+    texts = [b"the quick brown " * 1000, model * 3, bytes(r.choice(b"abcdz ") for _ in range(20_000)), b"dog", b"", b"x" * 5000, (b"lazy dog the" + b"q") * 700]
+    got = langid.phrase_counts(texts, [langid.Parser(model), langid.Parser(b"quick " * 20)])
+    assert got[:, 0].tolist() == [naive_phrases(t, model) for t in texts]
+    assert got[:, 1].tolist() == [naive_phrases(t, b"quick " * 20) for t in texts]
+
+
+def test_sample_has_each_text_once(spark):
+    rows = [(i, "copied words here and there " * 200, "en") for i in range(500)] + [(600 + i, f"own text number {chr(97 + i)} of few", "en") for i in range(20)]
+    (lang, sample), = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert lang == "en" and sample.count(b"own text number") >= 18 and len(sample) <= langid.MOST_BYTES
 
 
 def test_language(spark):
     r = random.Random(7)
     en, de = ["the", "with", "thing", "over", "mother"], ["und", "nicht", "schon", "über", "mutter"]
     rows = [(i, " ".join(r.choice(w) for _ in range(40)), lang) for i, (w, lang) in enumerate([(en, "en"), (de, "de")] * 40)]
-    rows += [(900, "the mother with nothing", None), (901, "12 -- !!", "en"), (902, None, "de"), (903, "", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows += [(900, "the mother with nothing", None), (901, "12 -- !!", "en"), (902, None, "de"), (903, "", None), (904, "nicht schon " * 5000, None), (904, "nicht schon " * 5000, None)]
+    df = spark.createDataFrame([(*x, 0.5, "z") for x in rows], "doc_id long, text string, lang string, score double, lang_pred string")
     samples = langid.fit(df, F.col("doc_id") < 60)
     assert [n for n, _ in samples] == ["de", "en"] and sum(len(s) for _, s in samples) <= langid.TOTAL_BYTES
     got = {x["doc_id"]: x for x in langid.identify(df, samples).collect()}
     assert all(got[i]["lang_pred"] == rows[i][2] for i in range(60, 80))
-    assert got[900]["lang_pred"] == "en" and all(got[i]["lang_pred"] == "und" for i in (901, 902, 903))
+    assert got[900]["lang_pred"] == "en" and got[904]["lang_pred"] == "de" and all(got[i]["lang_pred"] == "und" for i in (901, 902, 903))
     assert all(0 <= x["score"] <= 1 for x in got.values())
     assert langid.fit(df.limit(0), F.lit(True)) == []
     assert {x["lang_pred"] for x in langid.identify(df, []).collect()} == {"und"}
