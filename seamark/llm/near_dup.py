@@ -15,8 +15,11 @@ and hubs are chosen by how many other sets they meet. All sets that share a
 bucket share its hub, so what the hubs leave in different components is looked
 for among the sets of one hub (a *family*): pair by pair in a small family, and
 in a large one by blocks of sets, compared exactly as matrices in a task, which
-return at most a spanning forest. A family of thousands of near copies thus
-costs rows in proportion. No candidate is dropped or capped.
+return at most a spanning forest. Blocks are filled component by component, and
+two blocks are compared only if they hold more than one: so the members of a
+family that are already linked meet only the blocks of those that are not, and
+the texts sent follow the family's size times the blocks still apart. No
+candidate is dropped or capped.
 """
 
 from __future__ import annotations
@@ -317,8 +320,11 @@ def _block(width: int, percent: int):
 def _rest(stars: DataFrame, roots: DataFrame, work: _Work) -> list[DataFrame]:
     """Exact way for what the hubs leave: links between sets of one family that lie in different components."""
     family = stars.select(F.col("b").alias("hub"), F.col("a").alias("v")).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    open_ = family.groupBy("hub").agg(F.count("*").alias("k"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("hub", "k")
-    family = materialize(family.join(open_, "hub"), "families")
+    # written before they are joined, so that a hub with many sets can be split
+    whole = materialize(family, "family")
+    open_ = materialize(whole.groupBy("hub").agg(F.count("*").alias("k"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("hub", "k"), "open")
+    family = materialize(whole.join(open_, "hub"), "families")
+    drop(whole, open_)
     few, many = family.where(f"k <= {SMALL}"), family.where(f"k > {SMALL}")
     one = few.select("hub", F.col("v").alias("a"), F.col("root").alias("r1"))
     other = few.select("hub", F.col("v").alias("b"), F.col("root").alias("r2"))
@@ -326,11 +332,19 @@ def _rest(stars: DataFrame, roots: DataFrame, work: _Work) -> list[DataFrame]:
     links = [work.verified(pairs)]
     drop(pairs)
     if not many.isEmpty():
+        sizes = materialize(many.groupBy("hub", "root").agg(F.count("*").alias("kr")), "sizes")
         blocks = F.ceil(F.col("k") / BLOCK)
-        mine = F.pmod(F.xxhash64("v"), blocks)
-        cells = many.withColumn("mine", mine).select("hub", "v", "root", "mine", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
-        cells = cells.select("hub", "v", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        texts = work.texts(many.select("v").distinct())
-        links.append(materialize(cells.join(texts, "v").groupBy("hub", "i", "j").applyInPandas(_block(work.width, work.percent), "a long, b long"), "block-links"))
+        # a component fills as many blocks as it needs, from a hashed one on
+        block = F.pmod(F.xxhash64("root") + F.pmod(F.xxhash64("v"), F.ceil(F.col("kr") / BLOCK)), blocks).cast("int")
+        placed = materialize(many.join(sizes, ["hub", "root"]).select("hub", "v", "root", block.alias("block")), "placed")
+        ends = materialize(placed.groupBy("hub", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "block-ends")
+        x, y = (ends.select("hub", F.col("block").alias(n), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")) for n in "ij")
+        cells = x.join(y, "hub").where("i <= j and least(low_i, low_j) <> greatest(high_i, high_j)").select("hub", "i", "j")
+        cells = materialize(cells, "cells")
+        sides = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+        rows = materialize(placed.join(sides, ["hub", "block"]).select("hub", "v", "root", "i", "j"), "cell-rows")
+        texts = work.texts(rows.select("v").distinct())
+        links.append(materialize(rows.join(texts, "v").groupBy("hub", "i", "j").applyInPandas(_block(work.width, work.percent), "a long, b long"), "block-links"))
+        drop(sizes, placed, ends, cells, rows)
     drop(family)
     return links

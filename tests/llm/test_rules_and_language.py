@@ -27,32 +27,61 @@ def test_base_counts_random():
 
 
 def test_codes_are_per_text():
-    texts = [b"ab", b"", b"xyz", b"q"]
-    codes, ends = kn.codes_of(texts)
-    assert np.diff(ends).tolist() == [2, 0, 3, 1]
-    one = np.concatenate([kn.codes_of([t])[0] for t in texts if t])
-    assert codes.tolist() == one.tolist()
-
-
-def test_kneser_ney_is_a_distribution_and_matches_the_formula():
-    text = b"the cat sat on the mat and the hat"
-    codes, n = np.unique(kn.codes_of([text])[0], return_counts=True)
-    m = kn.KneserNey(codes.astype(np.int32), n)
-    p = np.exp(m.log_p.astype(np.float64)).reshape(-1, kn.SYMBOLS)
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
-    # unigram level by hand: continuation counts of a symbol, discounted, and the rest spread evenly
-    grams = [codes]
-    for order in (3, 2, 1):
-        grams.append(np.unique(grams[-1] % kn.SYMBOLS**order))
-    before = {w: len({g for g in grams[2] if g % kn.SYMBOLS == w}) for w in grams[3]}
-    t = [sum(v == k for v in before.values()) for k in (1, 2, 3, 4)]
-    y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
-    d = [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] and t[k] else min(0.5 * k, k - 0.05) for k in (1, 2, 3)]
-    total = sum(before.values())
-    freed = sum(d[min(v, 3) - 1] for v in before.values()) / total
-    rng = 47  # an unseen symbol in an unseen context falls to the even share of what was freed
-    context = kn.SYMBOLS**3 - 1
-    assert math.isclose(p[context, rng], freed / kn.SYMBOLS, rel_tol=1e-4)
+    texts = ["ab", "", "xyz", "q\x00é漢"]
+    codes, sizes = kn.codes_of([t.encode() for t in texts])
+    assert sizes.tolist() == [2, 0, 3, 4]
+    assert codes.tolist() == [c for t in texts if t for c in kn.codes_of([t.encode()])[0].tolist()]
+    assert codes[:2].tolist() == [ord("a"), ord("a") << 10 | ord("b")]
+
+
+def plain_kneser_ney(texts, least):
+    """Interpolated modified Kneser-Ney over document counts by dictionaries of tuples."""
+    level = {}
+    for t in texts:
+        s = [0] * 4 + [ord(c) for c in t]
+        for g in {tuple(s[i - 4 : i + 1]) for i in range(4, len(s))}:
+            level[g] = level.get(g, 0) + 1
+    levels = {5: level}
+    for size in (4, 3, 2, 1):
+        levels[size] = {}
+        for g in levels[size + 1]:
+            levels[size][g[1:]] = levels[size].get(g[1:], 0) + 1
+
+    def prob(g, size):
+        if size == 0:
+            return 1 / 1024
+        level = levels[size]
+        t = [sum(v == k for v in level.values()) for k in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
+        d = [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] and t[k] else min(0.5 * k, k - 0.05) for k in (1, 2, 3)]
+        mine = {w[-1]: n for w, n in level.items() if w[:-1] == g[:-1]}
+        total = sum(mine.values())
+        value = {w: (n - d[min(n, 3) - 1]) / total for w, n in mine.items() if n >= least}
+        return value.get(g[-1], 0.0) + (1 - sum(value.values())) * prob(g[1:], size - 1)
+
+    return lambda g: prob(g, 5)
+
+
+@pytest.mark.parametrize("least", [0, 2])
+def test_kneser_ney_of_all_orders(spark, least):
+    texts = ["the cat sat on the mat and the hat", "a cat that sat", "the the the"]
+    df = spark.createDataFrame([(t, None) for t in texts], "text string, lang string").withColumn("n", F.lit(0))
+    counts = kn.count_ngrams(df).groupBy("lang", F.lit(0).alias("fold"), "code").agg(F.sum("n").alias("n"))
+    model = kn.collect_models(kn.weights(kn.all_orders(counts), least))[None, 0]
+    plain = plain_kneser_ney(texts, least)
+    some = ["the c", "at th", "xxxxx", "the x", "cat s", "xxxxe"] + [t[i : i + 5] for t in texts for i in range(0, len(t) - 5, 3)]
+    codes = np.array([kn.codes_of([g.encode()])[0][-1] for g in some])
+    want = [math.log(plain(tuple(map(ord, g)))) for g in some]
+    assert np.allclose(kn.log_p(model, codes), want, atol=1e-4)
+    context = kn.codes_of([b"the "])[0][-1] << 10  # all that may follow adds up to one
+    assert math.isclose(np.exp(kn.log_p(model, context | np.arange(1024))).sum(), 1, abs_tol=1e-4)
+
+
+def test_least_count_keeps_so_many(spark):
+    grams = spark.createDataFrame([(c, n) for c, n in enumerate([1] * 50 + [2] * 20 + [3] * 5 + [9])], "code long, n long")
+    for most in (76, 75, 26, 25, 6, 5, 1, 0):
+        least = kn.least_count(grams, most)
+        assert grams.where(F.col("n") >= least).count() <= most < grams.where(F.col("n") >= least - 1).count() or least == 1
 
 
 def test_rules(spark):
