@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.llm import decontaminate, kn_rules, mix, near_dup, token_ids
-from seamark.llm.store import materialize
+from seamark.llm.store import drop, materialize
 from seamark.session import ship
 
 
@@ -66,5 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(docs)
+        docs = kept
     return docs
