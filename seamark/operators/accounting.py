@@ -113,8 +113,17 @@ def failure_export(deliveries: DataFrame, reason: str = "error") -> DataFrame:
     return last.select("job", "sequence", "n_rows", csv_safe(F.col(reason)).alias("error"))
 
 
-#: Causes of errors and the patterns that show them, the first that matches counts.
+#: Causes of errors and the words of engines and services that show them; the first that matches counts, so narrow ones stand before broad ones.
 CAUSES = (
+    ("source changed", r"(?i)source table .* (has )?changed"),
+    ("transform failed", r"(?i)transform failed|CAST_INVALID_INPUT"),
+    ("log reading not enabled", r"(?i)wal_level|logical decoding|binlog_format|binlog_row_image|binary log(ging)? is not enabled|replica sets?\b|notify-keyspace"),
+    ("slots exhausted", r"(?i)all replication slots are in use|max_replication_slots|max_wal_senders"),
+    ("http: login", r"\bHTTP 40[13]\b"),
+    ("http: not found", r"\bHTTP 4(04|10)\b"),
+    ("http: too many requests", r"\bHTTP 429\b"),
+    ("http: refused by the client's fault", r"\bHTTP 4\d\d\b"),
+    ("http: server failed", r"\bHTTP 5\d\d\b"),
     ("connection refused", r"(?i)connection refused|econnrefused"),
     ("host not found", r"(?i)enotfound|unknown host|name or service not known"),
     ("timed out", r"(?i)timed? ?out|etimedout"),
@@ -185,7 +194,7 @@ def audit_page(log: DataFrame, equal: dict[str, str], after: tuple | None, limit
     return log.orderBy(F.desc("at"), F.desc("id")).limit(limit)
 
 
-SECRET = r"(?i)(password|passwd|secret|token|api_?key|credential|private_?key)"
+SECRET = r"(?i)(authorization|password|passwd|secret|token|api_?key|credential|private_?key)"
 
 
 def audit_redact(details: Column) -> Column:
@@ -210,26 +219,34 @@ def summary_metrics(bridges: DataFrame, jobs: DataFrame, deliveries: DataFrame,
 def alert_throttle(alerts: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
     """Alerts that are sent: for each key one in ``seconds``, counted from the last *sent*; each carries how many were held back since.
 
-    Whether one is sent depends on the last that was, so a key's alerts are
-    walked in order, in one group for each key; only key and time move.
+    An alert that comes ``seconds`` or more after the one before it is always
+    sent, so a key's alerts are first cut there by a window; only the pieces,
+    each an unbroken burst, are walked in order. Only key and time move.
     """
     kinds = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
+    order = Window.partitionBy(*keys).orderBy("at")
+    before = F.lag("at").over(order)
+    apart = before.isNull() | (F.col("at") >= before + F.expr(f"interval {seconds} seconds"))
+    pieces = alerts.select(*keys, "at").withColumn("_apart", apart.cast("int")).withColumn("_piece", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at")
-        last, held, out = None, 0, []
+        last, sent, held = None, [], []
         for i, t in enumerate(group["at"]):
             if last is None or (t - last).total_seconds() >= seconds:
-                out.append((i, held))
-                last, held = t, 0
+                sent.append(i)
+                held.append(0)
+                last = t
             else:
-                held += 1
-        sent = group.iloc[[i for i, _ in out]].copy()
-        sent["suppressed"] = [h for _, h in out]
-        return sent
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "at")) + ", suppressed long"
-    return alerts.select(*keys, "at").groupBy(*keys).applyInPandas(walk, schema)
+                held[-1] += 1
+        out = group.iloc[sent][[*keys, "at"]].copy()
+        out["_held"] = held
+        return out
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "at")) + ", _held long"
+    sent = pieces.drop("_apart").groupBy(*keys, "_piece").applyInPandas(walk, schema)
+    # what was held back after one alert is told with the next
+    return sent.withColumn("suppressed", F.coalesce(F.lag("_held").over(order), F.lit(0).cast("long"))).drop("_held")
 
 
 def level_changes(levels: DataFrame) -> DataFrame:

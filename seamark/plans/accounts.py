@@ -132,6 +132,19 @@ def l13(t: Tables):
     return deliveries(t).where("status = 'failed'").groupBy(ac.classify(F.col("error")).alias("cause")).agg(F.count("*").alias("n"))
 
 
+@plan(
+    "l13_http_errors",
+    """select case when c in (401, 403) then 'http: login' when c in (404, 410) then 'http: not found' when c = 429 then 'http: too many requests'
+when c < 500 then 'http: refused by the client''s fault' else 'http: server failed' end cause, count(*) n
+from (select [401, 403, 404, 410, 422, 429, 500, 503][(o_orderkey % 8 + 1)::int] c from orders) group by 1""",
+)
+def l13b(t: Tables):
+    """Failures of a delivery over HTTP, by cause."""
+    code = F.element_at(F.array(*map(F.lit, (401, 403, 404, 410, 422, 429, 500, 503))), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    said = F.concat(F.lit("the receiver answered HTTP "), code.cast("string"), F.lit(" to the batch"))
+    return t("orders").groupBy(ac.classify(said).alias("cause")).agg(F.count("*").alias("n"))
+
+
 @plan(
     "l14_retention",
     """with d as (select user_id job, event_id as sequence, ts, user_id % 3 = 0 as finished, date_trunc('day', max(ts) over (partition by user_id)) ended,
@@ -165,10 +178,10 @@ def l15(t: Tables):
     return ac.audit_page(log, {"event_type": "click"}, (first["at"], first["id"]), 25).select(F.col("id").alias("event_id"))
 
 
-@plan("l16_audit_redact", "select c_custkey, '[redacted]' as secret, c_name as plain from customer")
+@plan("l16_audit_redact", "select c_custkey, '[redacted]' as secret, '[redacted]' as header, c_name as plain from customer")
 def l16(t: Tables):
-    m = ac.audit_redact(F.create_map(F.lit("dbPassword"), F.col("c_name"), F.lit("name"), F.col("c_name")))
-    return t("customer").select("c_custkey", m["dbPassword"].alias("secret"), m["name"].alias("plain"))
+    m = ac.audit_redact(F.create_map(F.lit("dbPassword"), F.col("c_name"), F.lit("Authorization"), F.col("c_name"), F.lit("name"), F.col("c_name")))
+    return t("customer").select("c_custkey", m["dbPassword"].alias("secret"), m["Authorization"].alias("header"), m["name"].alias("plain"))
 
 
 @plan(
@@ -184,9 +197,15 @@ def l17(t: Tables):
     return ac.summary_metrics(bridges, jobs, deliveries(t), dead(t))
 
 
-@plan("l18_alert_throttle")
+@plan(
+    "l18_alert_throttle",
+    """with recursive sent(u, k, t, was) as (
+select user_id, event_type, min(ts), null::timestamp from events group by 1, 2
+union all select s.u, s.k, min(e.ts), s.t from sent s join events e on e.user_id = s.u and e.event_type = s.k and e.ts >= s.t + interval 6 hours group by s.u, s.k, s.t)
+select u as user_id, k as event_type, t as "at", (select count(*) from events e where e.user_id = s.u and e.event_type = s.k and e.ts > s.was and e.ts < s.t)::bigint as suppressed from sent s""",
+)
 def l18(t: Tables):
-    """Alerts of each user and kind, at most one in six hours counted from the last sent: not SQL; tests compare with a plain walk."""
+    """Alerts of each user and kind, at most one in six hours counted from the last sent."""
     e = t("events").select("user_id", "event_type", F.col("ts").alias("at"))
     return ac.alert_throttle(e, ["user_id", "event_type"], 6 * 3600)
 
