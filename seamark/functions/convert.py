@@ -96,19 +96,19 @@ def encode_row(df: DataFrame) -> Column:
 
 
 def decode_row(json: Column, schema: T.StructType) -> list[Column]:
-    """Columns of ``schema`` back from ``encode_row``'s text."""
+    """Columns of ``schema`` back from ``encode_row``'s text; what does not fit its column is null."""
     out = []
     for f in schema.fields:
         if isinstance(f.dataType, T.BinaryType):
-            c = F.unbase64(F.get_json_object(json, f"$['{f.name}']['$bytes']"))
+            c = F.try_to_binary(F.get_json_object(json, f"$['{f.name}']['$bytes']"), F.lit("base64"))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.regexp_replace(F.get_json_object(json, f"$['{f.name}']['$date']"), "T", " ").cast(f.dataType)
+            c = F.regexp_replace(F.get_json_object(json, f"$['{f.name}']['$date']"), "T", " ").try_cast(f.dataType)
         elif isinstance(f.dataType, T.LongType):
-            c = F.get_json_object(json, f"$['{f.name}']['$bigint']").cast("bigint")
+            c = F.get_json_object(json, f"$['{f.name}']['$bigint']").try_cast("bigint")
         elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
             c = F.from_json(F.get_json_object(json, f"$['{f.name}']"), f.dataType)
         else:
-            c = F.get_json_object(json, f"$['{f.name}']").cast(f.dataType)
+            c = F.get_json_object(json, f"$['{f.name}']").try_cast(f.dataType)
         out.append(c.alias(f.name))
     return out
 

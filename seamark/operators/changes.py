@@ -7,12 +7,15 @@ the change did not carry, which is different from NULL.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical, key_text
 from ..functions.predicate import Filter, change_predicate
+from ..sources.tables import chunked_snapshot
 
 EMPTY = "array<string>"
 
@@ -213,30 +216,58 @@ def _apply_soft(target: DataFrame, changes: DataFrame, keys: list[str], columns:
     return j.select(*out)
 
 
+#: Rows of a log that one window partition holds when places in it are summed.
+STRETCH = 65_536
+
+
+def _running(numbered: DataFrame, flag: str, out: str) -> DataFrame:
+    """``numbered`` with ``out``: how many rows up to this one have ``flag``, by stretches and one total for each."""
+    inner = Window.partitionBy("sequence").orderBy("row_index")
+    before = Window.orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)  # one row for each stretch
+    totals = numbered.groupBy("sequence").agg(F.count_if(flag).alias("_n"))
+    totals = totals.select("sequence", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return numbered.join(totals, "sequence").withColumn(out, F.col("_before") + F.count_if(flag).over(inner)).drop("_before")
+
+
+def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places where a run must end within rows of one op: a key came back after the last cut. Rows come in order, state is two numbers."""
+    segment, start = None, -1
+    for b in batches:
+        out = []
+        for s, i, again in zip(b["segment"], b["row_index"], b["again"], strict=True):
+            if s != segment:
+                segment, start = s, -1
+            if again >= start:
+                start = i
+                out.append(i)
+        yield pd.DataFrame({"row_index": pd.Series(out, dtype="int64"), "cut": True})
+
+
 def delivery_runs(changes: DataFrame, table: str, keys: list[str]) -> DataFrame:
     """``changes`` with ``run``: an ordered log cut into runs of one op in which no key repeats (for append targets).
 
-    Each cut depends on the one before, so a table's log is walked in order;
-    callers bound it by the micro-batch. Needed for append targets only: keyed
-    targets use ``apply_changes``.
+    The log is numbered by ranges. A run ends where the op changes, or where a
+    key came back since the run's start; only rows whose key came back under one
+    op are walked in order, as a stream of two numbers each, so no task holds a
+    table's log. Needed for append targets only: keyed targets use ``apply_changes``.
     """
-    df = changes.withColumn("_k", key_text(keys, changes.schema)).withColumn("_pos", F.to_json("pos"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_order")
-        runs, run, op, seen = [], -1, None, set()
-        for o, k in zip(group["op"], group["_k"], strict=True):
-            if o != op or k in seen:
-                run, op, seen = run + 1, o, set()
-            seen.add(k)
-            runs.append(run)
-        return pd.DataFrame({"_pos": group["_pos"], "_k": group["_k"], table: group[table], "run": runs})
-
-    order = F.dense_rank().over(Window.partitionBy(table).orderBy("pos"))
-    slim = df.select(table, "op", "_k", "_pos", order.alias("_order"))
-    kind = changes.schema[table].dataType.simpleString()
-    runs = slim.groupBy(table).applyInPandas(walk, f"_pos string, _k string, `{table}` {kind}, run long")
-    return df.join(runs, [table, "_pos", "_k"]).drop("_pos", "_k")
+    rows = changes.select(F.col(table).alias("of"), "pos", "op", key_text(keys, changes.schema).alias("k"), F.struct(*changes.columns).alias("row"))
+    whole = chunked_snapshot(rows, [("of", True), ("pos", True), ("k", True)], STRETCH)
+    log = whole.select("of", "op", "k", "row_index", "sequence")
+    kind = F.struct("of", "op")
+    edges = log.groupBy((F.col("sequence") + 1).alias("sequence")).agg(F.max_by(kind, "row_index").alias("edge"))
+    last = F.coalesce(F.lag(kind).over(Window.partitionBy("sequence").orderBy("row_index")), F.col("edge"))
+    log = log.join(edges, "sequence", "left").withColumn("new", ~kind.eqNullSafe(last)).drop("edge")
+    log = _running(log, "new", "segment")
+    again = F.lag("row_index").over(Window.partitionBy("segment", "k").orderBy("row_index"))
+    back = log.select("segment", "row_index", again.alias("again")).where("again is not null")
+    back = back.repartition("segment").sortWithinPartitions("segment", "row_index")
+    cuts = back.mapInPandas(_cuts, "row_index long, cut boolean")
+    log = log.join(cuts, "row_index", "left").withColumn("starts", F.col("new") | F.coalesce("cut", F.lit(False)))
+    log = _running(log.select("of", "row_index", "sequence", "starts"), "starts", "nth")
+    first = log.groupBy("of").agg(F.min("nth").alias("first"))
+    runs = log.alias("l").join(first.alias("f"), F.col("l.of").eqNullSafe(F.col("f.of"))).select("row_index", (F.col("nth") - F.col("first")).alias("run"))
+    return whole.select("row_index", "row").join(runs, "row_index").select("row.*", "run")
 
 
 def filter_ops(changes: DataFrame, ops: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -202,8 +202,8 @@ def c15(t: Tables):
     target.write(base(t), -1)
     spec = fo.FollowSpec(["o_orderkey"], COLS.split(", "))
     for r in (1, 2):
-        log.where(F.col("pos.round") == r).coalesce(1).write.mode("append").parquet(landing)
-        fo.follow(fo.read_changes(spark, landing, log.schema, 1), target, spec, check).awaitTermination()
+        log.where(F.col("pos.round") == r).write.mode("append").parquet(landing)
+        fo.follow(fo.read_changes(spark, landing, log.schema), target, spec, check).awaitTermination()
     return target.read()
 
 

@@ -181,6 +181,19 @@ def w16(t: Tables):
     return restore_json(t.spark, f"{path}/events", e.schema).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@plan("s13_restore_json", "select o_orderkey, case when o_orderkey % 3 <> 0 then o_orderstatus end o_orderstatus, case when o_orderkey % 4 <> 0 then o_totalprice end o_totalprice from orders where o_orderkey % 5 <> 0")
+def s13(t: Tables):
+    """A dump with lines cut off, fields that lack and values of another kind."""
+    path = folder(t.spark, "dump")
+    k = F.col("o_orderkey")
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    status = F.when(k % 3 != 0, F.concat(F.lit(', "o_orderstatus": "'), "o_orderstatus", F.lit('"'))).otherwise("")
+    price = F.when(k % 4 != 0, F.col("o_totalprice").cast("string")).otherwise('"much"')
+    line = F.concat(F.lit('{"o_orderkey": {"$bigint": "'), k.cast("string"), F.lit('"}'), status, F.lit(', "o_totalprice": '), price, F.lit("}"))
+    o.select(F.when(k % 5 != 0, line).otherwise(F.left(line, F.lit(20))).alias("value")).write.text(path)
+    return restore_json(t.spark, path, o.schema)
+
+
 @plan(
     "w17_backup_sql",
     """select 'INSERT INTO "customer" ("c_custkey", "c_name", "c_acctbal") VALUES (' || c_custkey || ', ''' || replace(c_name, '#', '''''') || ''', ' || case when c_custkey % 4 = 0 then 'NULL' when c_acctbal = trunc(c_acctbal) then c_acctbal::bigint::varchar else c_acctbal::varchar end || ');' as value from customer""",
@@ -226,16 +239,24 @@ def observed(t: Tables):
     return name(early), name(late)
 
 
-_DRIFT = """select 'events' as "table", 'k' as "column", 'retyped' as change, 'int' as before, 'string' as after where (select count(*) from events) > 0
-union all select 'events', 'old', 'removed', 'int', null union all select 'events', 'new', 'added', null, 'boolean'"""
+# the fields of both cuts with their types, and what differs
+_DRIFT = """with e as (select event_id, json_extract_string(props, '$.k') k from events where json_extract_string(props, '$.k') is not null),
+cells as (select 0 late, 'old' field, '1' w from e where event_id % 2 = 0 union all select 0, 'k', k from e where event_id % 2 = 0
+union all select 1, 'k', 'x' || k from e where event_id % 2 = 1 union all select 1, 'new', 'true' from e where event_id % 2 = 1),
+typed as (select late, field, case when regexp_full_match(w, '-?[0-9]{1,9}') then 'int' when regexp_full_match(w, '-?[0-9]{10,18}') then 'long' when regexp_full_match(w, '-?[0-9]+') then 'decimal'
+when regexp_full_match(w, '-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') then 'double' when w in ('true', 'false') then 'boolean' else 'string' end t from cells),
+kinds as (select late, field, case when count(distinct t) = 1 then min(t) when bool_and(t in ('int', 'long', 'double', 'decimal')) then (['int', 'long', 'double', 'decimal'])[max(list_position(['int', 'long', 'double', 'decimal'], t))] else 'mixed' end t from typed group by 1, 2),
+d as (select 'events' as "table", coalesce(a.field, b.field) as "column", case when a.field is null then 'added' when b.field is null then 'removed' else 'retyped' end as change, a.t as before, b.t as after
+from (select * from kinds where late = 0) a full outer join (select * from kinds where late = 1) b on a.field = b.field where a.t is distinct from b.t)
+"""
 
 
-@plan("x1_drift", _DRIFT)
+@plan("x1_drift", _DRIFT + "select * from d")
 def x1(t: Tables):
     return dr.drift(*observed(t))
 
 
-@plan("x2_missing_used", "select 'events' as \"table\", 'old' as \"column\", 'removed' as change, 'int' as before, null::varchar as after where (select count(*) from events) > 0")
+@plan("x2_missing_used", _DRIFT + """select * from d where change = 'removed' and "column" in ('old', 'k')""")
 def x2(t: Tables):
     used = t.spark.createDataFrame([("events", "old"), ("events", "k")], "table string, column string")
     return dr.missing_used(dr.drift(*observed(t)), used)
@@ -249,13 +270,22 @@ def x2b(t: Tables):
     return dr.nulled_values(rows, target, ["c_custkey"], "c_name").select("c_custkey")
 
 
-@plan("x3_verdict", "select * from (values ('events', 'stop', []::varchar[], false), ('other', 'go', []::varchar[], true)) v(\"table\", verdict, add_columns, can_accept) where (select count(*) from events) > 0")
+@plan(
+    "x3_verdict",
+    _DRIFT
+    + """, seen as (select p.t, p.policy, count(d.change) n, count(*) filter (where d.change = 'removed' and d."column" = 'old') lost,
+coalesce(list(d."column" order by d."column") filter (where d.change = 'added'), []) added
+from (values ('events', 'evolve'), ('other', 'stop')) p(t, policy) left join d on d."table" = p.t group by 1, 2),
+v as (select *, case when n = 0 then 'go' when lost > 0 or policy = 'stop' then 'stop' else 'go' end verdict from seen)
+select t as "table", verdict, case when verdict = 'go' and policy = 'evolve' then added else [] end add_columns, lost = 0 as can_accept from v""",
+)
 def x3(t: Tables):
     used = t.spark.createDataFrame([("events", "old")], "table string, column string")
     policies = t.spark.createDataFrame([("events", "evolve", False, True), ("other", "stop", False, True)], "table string, policy string, mapped boolean, creatable boolean")
     return dr.verdict(dr.drift(*observed(t)), used, policies)
 
 
-@plan("x4_describe", "select 'events' as \"table\", 'added new, removed old, retyped k (int -> string)' as line where (select count(*) from events) > 0")
+@plan("x4_describe", _DRIFT + """, parts as (select "table", change || ' ' || "column" || case when change = 'retyped' then ' (' || before || ' -> ' || after || ')' else '' end as part from d)
+select "table", string_agg(part, ', ' order by part) as line from parts group by 1""")
 def x4(t: Tables):
     return dr.describe(dr.drift(*observed(t)))

@@ -6,7 +6,7 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,16 +102,11 @@ def chunked_snapshot(df: DataFrame, order: list[tuple[str, bool]], size: int) ->
     path = folder(spark, "snapshot")
     dealt.write.parquet(path)
     dealt = spark.read.schema(dealt.schema).parquet(path)
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("first")).orderBy("_part").collect()  # one row for each partition
-    starts, total = [], 0
-    for r in counts:
-        starts.append((r["_part"], total - r["first"]))
-        total += r["n"]
-    if not starts:
-        return df.withColumns({"row_index": F.lit(0).cast("long"), "sequence": F.lit(0).cast("long")})
-    shift = F.element_at(F.create_map(*[F.lit(x) for pair in starts for x in pair]), F.col("_part"))
-    out = dealt.withColumn("row_index", F.col("_place") + shift)
-    return out.withColumn("sequence", F.floor(F.col("row_index") / size)).drop("_part", "_place")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each partition
+    starts = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = dealt.join(F.broadcast(starts), "_part").withColumn("row_index", F.col("_place") + F.col("_shift"))
+    return out.withColumn("sequence", F.floor(F.col("row_index") / size)).drop("_part", "_place", "_shift")
 
 
 def glob_regex(pattern: str) -> str:
@@ -222,7 +217,12 @@ def bulk_copy(tables: dict[str, DataFrame], keys: dict[str, list[str]], path: st
 
 
 def restore_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A portable dump (JSON lines of tagged rows) as a table of ``schema``."""
+    """A portable dump (JSON lines of tagged rows) as a table of ``schema``.
+
+    Fields that a line lacks, and values that do not fit their column, are null;
+    lines that are not JSON objects are left out.
+    """
     from ..functions.convert import decode_row
 
-    return spark.read.text(path).select(*decode_row(F.col("value"), schema))
+    lines = spark.read.text(path).where(F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("")).startswith("OBJECT"))
+    return lines.select(*decode_row(F.col("value"), schema))

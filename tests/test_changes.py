@@ -74,6 +74,23 @@ def test_runs(spark):
     assert got == {("t", 1): 0, ("t", 2): 0, ("t", 3): 1, ("t", 4): 2, ("u", 5): 0}
 
 
+def test_runs_equal_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(ch, "STRETCH", 7)
+    rng = random.Random(5)
+    log = [(rng.choice([None, "t", "u"]), rng.choice(["insert", "insert", "insert", "delete"]), rng.randrange(6), (n,)) for n in range(150)]
+    want, seen, run, last = {}, {}, {}, {}
+    for t, op, k, (n,) in log:
+        if t not in run:
+            run[t] = -1
+        if op != last.get(t) or k in seen[t]:
+            run[t], seen[t], last[t] = run[t] + 1, set(), op
+        seen[t].add(k)
+        want[n] = run[t]
+    rng.shuffle(log)
+    df = spark.createDataFrame(log, "t string, op string, row_index long, pos struct<n:long>").repartition(5)
+    assert {r.pos.n: r.run for r in ch.delivery_runs(df, "t", ["row_index"]).collect()} == want
+
+
 def test_throttle_counts_from_the_last_sent(spark):
     at = ["2024-01-01 00:00:00", "2024-01-01 00:04:00", "2024-01-01 00:05:00", "2024-01-01 00:09:59", "2024-01-01 00:10:01"]
     df = spark.createDataFrame([("x", a) for a in at], "k string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
