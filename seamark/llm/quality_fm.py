@@ -118,16 +118,26 @@ def _metadata(b: pa.RecordBatch, first: int) -> list[list[float]]:
     return [[float(np.log1p(abs(c[r]))) / 10 if c[r] is not None else 0.0 for c in columns] for r in range(b.num_rows)]
 
 
-def _train(n_meta: int):
+def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, y, idx, val``: places and values of each labelled row's features, as bytes."""
+    cache = WordHashes()
+    for b, texts in text_slices(batches, "text"):
+        ptr, idx, val = features(texts, _metadata(b, 3), cache)
+        cut = list(zip(ptr[:-1], ptr[1:], strict=True))
+        parts = [pa.array([x[s:e].tobytes() for s, e in cut], pa.binary()) for x in (idx, val)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts], names=["id", "y", "idx", "val"])
+
+
+def _train(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, parts, labels = WordHashes(), [], []
-        for b, texts in text_slices(batches, "text"):
-            parts.append(features(texts, _metadata(b, 2), cache))
-            labels += b.column(1).to_pylist()
-        m = Machine(BUCKETS + len(STRUCTURE) + n_meta)
-        if parts:
-            ptr = offsets(np.concatenate([np.diff(p[0]) for p in parts]))
-            m.fit(ptr, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.asarray(labels, np.float64))
+        idx, val, labels = [], [], []
+        for b in batches:
+            idx += [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
+            val += [np.frombuffer(x, np.float32) for x in b.column(2).to_pylist()]
+            labels += b.column(0).to_pylist()
+        m = Machine(width)
+        if labels:
+            m.fit(offsets([len(x) for x in idx]), np.concatenate(idx), np.concatenate(val), np.asarray(labels, np.float64))
         yield pa.RecordBatch.from_pylist([{"w0": m.w0, "w": m.w.tobytes(), "v": m.v.tobytes()}], pa.schema([("w0", pa.float64()), ("w", pa.binary()), ("v", pa.binary())]))
 
     return run
@@ -138,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, metadata: tuple[str,
 
     Rows are drawn by a hash of the id. Null ids, and ids whose labels differ or
     are not 0 or 1, are not learned from; a repeated id counts once. The sample,
-    bounded by a parameter, is broadcast to fetch its texts and fits in one task.
+    bounded by a parameter, is broadcast to fetch its texts. Features are made where
+    the texts are; the one task that fits gets features alone, 8 bytes for each
+    distinct hashed word of a text and so at most 0.6 MB a row however long it is.
     """
     known = labels.where(learn & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"), F.count(label_col).alias("k"))
     known = known.where("y = z and y in (0, 1)").select("id", F.col("y").cast("double").alias("y")).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE)
@@ -146,10 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, metadata: tuple[str,
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
     meta = [f"m{i}" for i in range(len(metadata))]
     rows = rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in meta])
-    rows = rows.repartition(1).sortWithinPartitions("id").select("text", "y", *meta)
-    m = rows.mapInArrow(_train(len(metadata)), "w0 double, w binary, v binary").first()
+    width = BUCKETS + len(STRUCTURE) + len(metadata)
+    kind = rows.schema["id"].dataType.simpleString()
+    made = rows.select("id", "y", "text", *meta).mapInArrow(_featurize, f"id {kind}, y double, idx binary, val binary")
+    made = made.repartition(1).sortWithinPartitions("id").select("y", "idx", "val")
+    m = made.mapInArrow(_train(width), "w0 double, w binary, v binary").first()
     drop(known)
-    out = Machine(BUCKETS + len(STRUCTURE) + len(metadata))
+    out = Machine(width)
     if m is None:  # no labelled rows: the machine as it starts
         return out
     out.w0, out.w, out.v = m["w0"], np.frombuffer(m["w"], np.float32), np.frombuffer(m["v"], np.float32).reshape(-1, RANK)

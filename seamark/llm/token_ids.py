@@ -262,19 +262,27 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
-    """Random access: the token at each ``place`` (long) of the corpus, ``place, token``; places outside are left out.
+    """Random access: the token at each ``place`` (long) of the corpus, ``place, token``; places outside, and nulls, are left out.
 
-    Places meet their segment by the segment's 1M-token bins (an equi-join), and
-    each token is read by rank.
+    Places find their segment by the segment's 1M-token bins (an equi-join without
+    codes) and are gathered by segment, each distinct place once with its count, so a
+    segment is sent and read once. Each token is read by rank.
     """
     width = SEGMENT_TOKENS
     seg = read_segments(spark, path).where("n_tokens > 0")
-    seg = seg.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n_tokens") - 1) / width))))
-    hit = places.select("place", F.floor(F.col("place") / width).alias("bin")).join(seg, "bin").where("place >= start and place < start + n_tokens")
+    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n_tokens") - 1) / width))
+    spans = seg.select("start", "n_tokens", F.explode(bins).alias("bin"))
+    asked = places.groupBy("place").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("place") / width))
+    asked = asked.join(spans, "bin").where("place >= start and place < start + n_tokens")
+    asked = asked.groupBy("start").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))
 
     def run(batches):
         for b in batches:
-            rows = b.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r["place"] for r in rows], pa.int64()), pa.array([dac_access(r["chunks"], r["bitmaps"], r["ranks"], r["place"] - r["start"]) for r in rows], pa.int32())], names=["place", "token"])
-
-    return hit.select("place", "start", "chunks", "bitmaps", "ranks").mapInArrow(run, "place long, token int")
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                tokens = [dac_access(r["chunks"], r["bitmaps"], r["ranks"], p - r["start"]) for p in r["places"]]
+                yield pa.RecordBatch.from_arrays([pa.array(r["places"], pa.int64()), pa.array(tokens, pa.int32()), pa.array(r["counts"], pa.int64())], names=["place", "token", "n"])
+
+    read = seg.join(asked, "start").select("start", "chunks", "bitmaps", "ranks", "places", "counts")
+    read = read.mapInArrow(run, "place long, token int, n long")
+    return read.select("place", "token", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy")

@@ -48,9 +48,9 @@ def test_file_against_the_tokenizer(spark):
         stream += ids
     got = sorted((tuple(r) for r in ti.read_digests(spark, path).collect()), key=lambda r: r[1])
     assert got == want
-    places = [0, 5, len(stream) - 1, len(stream)]
-    at = ti.tokens_at(spark, path, spark.createDataFrame([(p,) for p in places], "place long"))
-    assert sorted(map(tuple, at.collect())) == [(p, stream[p]) for p in places[:-1]]
+    places = [0, 5, 5, 5, len(stream) - 1]
+    at = ti.tokens_at(spark, path, spark.createDataFrame([(p,) for p in [*places, len(stream), -1, None]], "place long"))
+    assert sorted(map(tuple, at.collect())) == [(p, stream[p]) for p in places]
     ids = {r["doc_id"]: list(r["ids"]) for r in ti.read_ids(spark, path).where("doc_id = 0").collect()}
     assert ids[0] == [*tok.encode(TEXTS[0], add_special_tokens=False).ids, 2]
 
