@@ -222,12 +222,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links += _rest(stars, roots, work)
     drop(stars, roots)
     roots = connected_components(reduce(DataFrame.union, links))
-    label = nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = label.groupBy("root").agg(F.min("label").alias("component_id"))
+    # both written before they are joined, so that a component with many sets can be split
+    label = materialize(nodes.select("v", "ck", "label").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "labels")
+    least = materialize(label.groupBy("root").agg(F.min("label").alias("component_id")), "least")
     classes = label.join(least, "root").select("ck", "component_id")
     out = sig.join(classes, "ck", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     result = materialize(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))), "near-dup")
-    drop(sig, nodes, *links, *work.fetched)
+    drop(sig, nodes, label, least, *links, *work.fetched)
     return result
 
 
