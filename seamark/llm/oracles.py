@@ -58,4 +58,23 @@ select doc_id, source, size, source_size, target,
 from j
 """
 
-ORACLES = {"op3_near_dup": OP3, "op9_chat": OP9, "op10_mix": OP10}
+OP11 = r"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') as source,
+  unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from documents),
+kept as (select lang, term from d group by 1, 2 having count(distinct r) >= 3),
+c as (select lang, source, term, count(*)::hugeint n from d semi join kept using (lang, term) group by all),
+v as (select lang, count(*)::hugeint v from kept group by 1),
+g as (select distinct coalesce(lang, '') lang, coalesce(source, '') as source from documents),
+gn as (select g.lang, g.source, coalesce(sum(n), 0)::hugeint total, coalesce(max(v), 0)::hugeint v from g left join c using (lang, source) left join v on v.lang = g.lang group by 1, 2),
+s as (select gn.lang, gn.source, kept.term, coalesce(c.n, 0)::hugeint n, 1 + (1000000000 * (coalesce(c.n, 0)::hugeint + 1)) // (total + v) p
+  from gn join kept on kept.lang = gn.lang left join c on c.lang = gn.lang and c.source = gn.source and c.term = kept.term),
+l as (select lang, term, 1 + (1000000000 * (sum(n) + 1)) // (any_value(t.total) + any_value(v.v)) q from c join (select lang, sum(n) total from c group by 1) t using (lang) join v using (lang) group by lang, term),
+pair as (select a.lang, a.source, b.source item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0)::bigint as value
+  from gn a join gn b on a.lang = b.lang and a.source <> b.source left join s x on x.lang = a.lang and x.source = a.source left join s y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by 1, 2, 3),
+term as (select s.lang, s.source, s.term item, (((p - q) * (p - q)) // q)::bigint as value from s join l using (lang, term) where n > 0 and p > q)
+select lang, source, 'pair' part, item, value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from pair
+union all select * from (select lang, source, 'term' part, item, value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from term) where rank <= 200
+"""
+
+ORACLES = {"op3_near_dup": OP3, "op9_chat": OP9, "op10_mix": OP10, "op11_source_audit": OP11}

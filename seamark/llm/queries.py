@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, kn_rules, langid, mix, near_dup, passages, quality_fm, token_counts, token_ids
+from . import chat, decontaminate, kn_rules, langid, mix, near_dup, passages, quality_fm, source_audit, token_counts, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_mix": op10_mix,
+    "op11_source_audit": op11_source_audit,
     "pipeline": pipeline,
 }
