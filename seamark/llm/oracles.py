@@ -77,4 +77,14 @@ select lang, source, 'pair' part, item, value, (row_number() over (partition by
 union all select * from (select lang, source, 'term' part, item, value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from term) where rank <= 200
 """
 
-ORACLES = {"op3_near_dup": OP3, "op9_chat": OP9, "op10_mix": OP10, "op11_source_audit": OP11}
+OP12 = r"""
+with r as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint l, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id other, a.l = b.l alike, list_inner_product(a.v, b.v)::bigint score from r a join r b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+p as (select anchor_id, other positive_id, score positive_score from s where alike qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other)::int as rank, other negative_id, positive_score, score negative_score
+from p join s using (anchor_id) where not alike and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+ORACLES = {"op3_near_dup": OP3, "op9_chat": OP9, "op10_mix": OP10, "op11_source_audit": OP11, "op12_hard_negatives": OP12}
