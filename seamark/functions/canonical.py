@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Words that are read as a boolean.
 TRUE = ("1", "t", "true", "y", "yes", "on")
 FALSE = ("0", "f", "false", "n", "no", "off")
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"

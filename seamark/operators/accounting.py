@@ -113,49 +113,6 @@ def failure_export(deliveries: DataFrame, reason: str = "error") -> DataFrame:
     return last.select("job", "sequence", "n_rows", csv_safe(F.col(reason)).alias("error"))
 
 
-#: Causes of errors and the words of engines and services that show them; the first that matches counts, so narrow ones stand before broad ones.
-CAUSES = (
-    ("source changed", r"(?i)source table .* (has )?changed"),
-    ("transform failed", r"(?i)transform failed|CAST_INVALID_INPUT"),
-    ("log reading not enabled", r"(?i)wal_level|logical decoding|binlog_format|binlog_row_image|binary log(ging)? is not enabled|replica sets?\b|notify-keyspace"),
-    ("slots exhausted", r"(?i)all replication slots are in use|max_replication_slots|max_wal_senders"),
-    ("http: login", r"\bHTTP 40[13]\b"),
-    ("http: not found", r"\bHTTP 4(04|10)\b"),
-    ("http: too many requests", r"\bHTTP 429\b"),
-    ("http: refused by the client's fault", r"\bHTTP 4\d\d\b"),
-    ("http: server failed", r"\bHTTP 5\d\d\b"),
-    ("connection refused", r"(?i)connection refused|econnrefused"),
-    ("host not found", r"(?i)enotfound|unknown host|name or service not known"),
-    ("timed out", r"(?i)timed? ?out|etimedout"),
-    ("connection lost", r"(?i)econnreset|connection (reset|terminated|closed)|broken pipe"),
-    ("login failed", r"(?i)password authentication failed|access denied for user|authentication failed|wrongpass"),
-    ("no permission", r"(?i)permission denied|not authorized|insufficient privilege"),
-    ("certificate", r"(?i)certificate|self[- ]signed|tls|ssl"),
-    ("no such database", r"(?i)unknown database|database .* does not exist"),
-    ("no such table", r"(?i)relation .* does not exist|no such table|table .* doesn't exist"),
-    ("no such column", r"(?i)column .* does not exist|unknown column|no such column|has no column"),
-    ("duplicate key", r"(?i)duplicate (key|entry)|unique constraint|e11000"),
-    ("missing parent", r"(?i)foreign key"),
-    ("required value", r"(?i)not[- ]null|cannot be null"),
-    ("check failed", r"(?i)check constraint"),
-    ("too long", r"(?i)value too long|data too long"),
-    ("out of range", r"(?i)out of range|numeric field overflow"),
-    ("wrong type", r"(?i)invalid input syntax|incorrect .* value|datatype mismatch|cannot read"),
-    ("deadlock", r"(?i)deadlock|lock wait"),
-    ("out of space", r"(?i)no space left|disk full|database or disk is full"),
-    ("out of memory", r"(?i)out of memory|oom command"),
-    ("log position gone", r"(?i)replication slot|binlog|oplog|wal.*removed"),
-    ("too many connections", r"(?i)too many (connections|clients)"),
-)
-
-
-def classify(error: Column) -> Column:
-    out = F.lit("other")
-    for cause, pattern in reversed(CAUSES):
-        out = F.when(error.rlike(pattern), cause).otherwise(out)
-    return out
-
-
 def retention(details: DataFrame, jobs: DataFrame, now: dt.datetime, days: int, newest: int, protected: DataFrame) -> DataFrame:
     """Delivery details that are kept.
 
@@ -194,6 +151,7 @@ def audit_page(log: DataFrame, equal: dict[str, str], after: tuple | None, limit
     return log.orderBy(F.desc("at"), F.desc("id")).limit(limit)
 
 
+#: Parts of names whose values are secret.
 SECRET = r"(?i)(authorization|password|passwd|secret|token|api_?key|credential|private_?key)"
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import accounting as ac
+from ..operators.causes import PASSING, classify, may_pass
 from ..sources.tables import chunked_snapshot
 from .registry import Tables, plan
 from .sync import key
@@ -127,9 +128,67 @@ def l12(t: Tables):
     return ac.failure_export(deliveries(t))
 
 
-@plan("l13_classify_errors", f"with {_D} select case when sequence % 10 = 5 then 'connection refused' else 'duplicate key' end cause, count(*) n from b where sequence % 11 <> 0 and sequence % 5 = 0 group by 1")
+#: Messages as engines and services write them, each with its cause.
+MESSAGES = (
+    ("the source's columns changed: ssn is gone", "source changed"),
+    ("balance: cannot read n/a as number", "transform failed"),
+    ("ERROR: logical decoding requires wal_level >= logical (SQLSTATE 55000)", "log reading not enabled"),
+    ("The $changeStream stage is only supported on replica sets, code: 40573", "log reading not enabled"),
+    ("ERROR: all replication slots are in use, raise max_replication_slots", "slots exhausted"),
+    ("ERROR 1236 (HY000): could not find first log file name", "log position gone"),
+    ("the receiver answered HTTP 401 to the batch", "http: login"),
+    ("the receiver answered HTTP/1.1 410 Gone", "http: not found"),
+    ("the receiver answered HTTP 429 to the batch", "http: too many requests"),
+    ("the receiver answered HTTP 422 to the batch", "http: refused by the client's fault"),
+    ("the receiver answered HTTP 503 to the batch", "http: server failed"),
+    ("connect ECONNREFUSED 127.0.0.1:5432", "connection refused"),
+    ("java.net.UnknownHostException: db: Name or service not known", "host not found"),
+    ("canceling statement due to statement timeout (SQLSTATE 57014)", "timed out"),
+    ("read ECONNRESET", "connection lost"),
+    ("ERROR 1045 (28000): Access denied for user 'x'@'y'", "login failed"),
+    ("WRONGPASS invalid username-password pair", "login failed"),
+    ("ERROR: permission denied for table t (SQLSTATE 42501)", "no permission"),
+    ("unable to get local issuer certificate", "certificate"),
+    ("ERROR 1049 (42000): Unknown database 'd'", "no such database"),
+    ("[TABLE_OR_VIEW_NOT_FOUND] no such table or view. SQLSTATE: 42P01", "no such table"),
+    ("no such table: t", "no such table"),
+    ('column "c" of relation "t" does not exist', "no such column"),
+    ('duplicate key value violates unique constraint "t_pkey"', "duplicate key"),
+    ("E11000 duplicate key error collection: d.t", "duplicate key"),
+    ("SQLITE_CONSTRAINT_UNIQUE: t.k", "duplicate key"),
+    ("ERROR 1452 (23000): Cannot add or update a child row", "missing parent"),
+    ("SQLITE_CONSTRAINT_NOTNULL: t.c", "required value"),
+    ('new row for relation "t" violates check constraint "c"', "check failed"),
+    ("ERROR 1406 (22001): Data too long for column 'c' at row 1", "too long"),
+    ("ERROR: integer out of range (SQLSTATE 22003)", "out of range"),
+    ("ERROR: invalid text representation (SQLSTATE 22P02)", "wrong type"),
+    ("ERROR: deadlock detected", "deadlock"),
+    ("write failed: ENOSPC", "out of space"),
+    ("OOM command not allowed when used memory > 'maxmemory'", "out of memory"),
+    ("ERROR 1040 (HY000): Too many connections", "too many connections"),
+    ("something nobody has seen before", "other"),
+)
+
+
+def _sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@plan(
+    "l13_classify_errors",
+    f"""with m as (select [{", ".join(_sql(c) for _, c in MESSAGES)}] c), p as (select [{", ".join(_sql(c) for c in PASSING)}] p)
+select m.c[(o_orderkey % {len(MESSAGES)} + 1)::int] cause, list_contains(p.p, m.c[(o_orderkey % {len(MESSAGES)} + 1)::int]) may_pass, count(*) n from orders, m, p group by 1, 2""",
+)
 def l13(t: Tables):
-    return deliveries(t).where("status = 'failed'").groupBy(ac.classify(F.col("error")).alias("cause")).agg(F.count("*").alias("n"))
+    """Every cause, from messages of several engines and services."""
+    said = F.element_at(F.array(*[F.lit(m) for m, _ in MESSAGES]), (F.col("o_orderkey") % len(MESSAGES) + 1).cast("int"))
+    by_cause = t("orders").groupBy(classify(said).alias("cause")).agg(F.count("*").alias("n"))
+    return by_cause.select("cause", may_pass(F.col("cause")).alias("may_pass"), "n")
+
+
+@plan("l13_failed_batches", f"with {_D} select case when sequence % 10 = 5 then 'connection refused' else 'duplicate key' end cause, count(*) n from b where sequence % 11 <> 0 and sequence % 5 = 0 group by 1")
+def l13c(t: Tables):
+    return deliveries(t).where("status = 'failed'").groupBy(classify(F.col("error")).alias("cause")).agg(F.count("*").alias("n"))
 
 
 @plan(
@@ -142,7 +201,7 @@ def l13b(t: Tables):
     """Failures of a delivery over HTTP, by cause."""
     code = F.element_at(F.array(*map(F.lit, (401, 403, 404, 410, 422, 429, 500, 503))), (F.col("o_orderkey") % 8 + 1).cast("int"))
     said = F.concat(F.lit("the receiver answered HTTP "), code.cast("string"), F.lit(" to the batch"))
-    return t("orders").groupBy(ac.classify(said).alias("cause")).agg(F.count("*").alias("n"))
+    return t("orders").groupBy(classify(said).alias("cause")).agg(F.count("*").alias("n"))
 
 
 @plan(

@@ -7,7 +7,7 @@ from seamark.functions.canonical import canonical, key_text
 from seamark.functions.payload import render_key, render_payload
 from seamark.functions.predicate import Filter, predicate
 from seamark.functions.shaping import Cast, Mask, Set, shape_rows, volatile_columns
-from seamark.operators.accounting import classify
+from seamark.operators.causes import classify, may_pass
 from seamark.operators.exports import csv_safe
 from seamark.operators.verify import values_agree
 from seamark.sources.tables import glob_regex, key_glob, keyset_after, read_documents, resolve_order
@@ -125,6 +125,20 @@ def test_csv_safe_and_causes(spark):
     assert one(spark, "who knows").select(classify(F.col("c"))).first()[0] == "other"
 
 
+def test_causes_by_number_first(spark):
+    from seamark.operators import causes
+    from seamark.plans.accounts import MESSAGES
+
+    df = spark.createDataFrame([*MESSAGES, (None, None)], "said string, cause string")
+    assert [tuple(r) for r in df.where(~classify(F.col("said")).eqNullSafe(F.col("cause"))).collect()] == []
+    # a number counts before words, and an unknown one falls back on its class, then on words
+    for said, cause in (("HTTP 500: connection refused upstream", "http: server failed"), ("timeout (SQLSTATE 23505)", "duplicate key"), ("x SQLSTATE[22012] division by zero", "wrong type"), ("ERROR 9999: lock wait timeout exceeded", "deadlock"), ("HTTP 302 moved", "other"), ("HTTP 4010", "other")):
+        assert one(spark, said).select(classify(F.col("c"))).first()[0] == cause, said
+    known = {c for t in (causes.SQLSTATES, causes.SQLSTATE_CLASSES, causes.MYSQL, causes.MONGODB, causes.SYMBOLS) for c in t.values()} | {c for e in causes.WORDS.values() for c in e}
+    assert known <= {c for _, c in MESSAGES}
+    assert one(spark, "deadlock").select(may_pass(F.col("c"))).first()[0] and not one(spark, "duplicate key").select(may_pass(F.col("c"))).first()[0]
+
+
 def test_echoes_are_consumed_in_order(spark, tmp_path):
     w = [("write", "k", "v1", "2024-01-01 00:00:00"), ("write", "k", "v2", "2024-01-01 00:00:01"), ("change", "k", "v2", "2024-01-01 00:00:02"), ("change", "k", "v1", "2024-01-01 00:00:03"), ("write", "j", "v", "2024-01-01 00:00:00"), ("change", "j", "v", "2024-01-01 00:09:00")]
     df = spark.createDataFrame(w, "kind string, k string, reading string, at string").withColumn("at", F.col("at").cast("timestamp"))
