@@ -129,25 +129,40 @@ def drop_replays(changes: DataFrame, watermark: Column) -> DataFrame:
     return changes.where(F.col("pos") > watermark)
 
 
+def last_truncate(changes: DataFrame) -> DataFrame:
+    """One row: ``_cleared``, the last truncate's position, NULL if there is none."""
+    return changes.where("op = 'truncate'").agg(F.max("pos").alias("_cleared"))
+
+
 def fold(changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The net effect for each key: ``_k``, last ``op``, ``last_pos``, whether the key was ``deleted``, and each
     column's last carried value (``c``) with ``c__set`` (was it carried since the key's last delete or truncate?).
 
-    A hot key is fine: everything is a partial aggregate.
+    One aggregate over the log: a delete touches every column and resets it, so
+    a column's last touch tells both. A hot key is fine: all of it is partial.
     """
     c = changes.where("op <> 'truncate'").withColumn("_k", key_text(keys, changes.schema))
-    cleared = changes.where("op = 'truncate'").agg(F.max("pos").alias("_cleared"))
-    c = c.crossJoin(F.broadcast(cleared)).where(F.col("_cleared").isNull() | (F.col("pos") > F.col("_cleared")))  # one row
-    gone = c.groupBy("_k").agg(F.max(F.when(F.col("op") == "delete", F.col("pos"))).alias("_gone"))
-    c = c.join(gone, "_k")
-    live = (F.col("op") != "delete") & (F.col("_gone").isNull() | (F.col("pos") > F.col("_gone")))
+    c = c.crossJoin(F.broadcast(last_truncate(changes))).where(F.col("_cleared").isNull() | (F.col("pos") > F.col("_cleared")))  # one row
+    gone = F.col("op") == "delete"
+    return c.groupBy("_k").agg(F.max_by("op", "pos").alias("op"), F.max("pos").alias("last_pos"), F.max(gone).alias("deleted"), *_touches(changes, columns, gone)).select("_k", "op", "last_pos", "deleted", *_touched(columns))
+
+
+def _touches(changes: DataFrame, columns: list[str], resets: Column) -> list[Column]:
+    """For each column its last touch: carried by a change, or reset by one."""
     missing = unchanged_of(changes)
-    aggs = [F.max_by("op", "pos").alias("op"), F.max("pos").alias("last_pos"), F.max(F.col("_gone").isNotNull()).alias("deleted")]
+    out = []
     for name in columns:
-        carried = live & ~F.array_contains(missing, name)
-        value = F.max_by(F.when(carried, F.struct(F.col(name).alias("v"))), F.when(carried, F.col("pos")))
-        aggs += [value["v"].alias(name), F.coalesce(F.max(carried), F.lit(False)).alias(f"{name}__set")]
-    return c.groupBy("_k").agg(*aggs)
+        touched = resets | ((F.col("op") != "delete") & ~F.array_contains(missing, name))
+        out.append(F.max_by(F.when(touched, F.struct(resets.alias("reset"), F.col(name).alias("v"))), F.when(touched, F.col("pos"))).alias(f"{name}__touch"))
+    return out
+
+
+def _touched(columns: list[str]) -> list[Column]:
+    out = []
+    for name in columns:
+        touch = F.col(f"{name}__touch")
+        out += [touch["v"].alias(name), (touch.isNotNull() & ~F.coalesce(touch["reset"], F.lit(False))).alias(f"{name}__set")]
+    return out
 
 
 def latest_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,9 +187,9 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], policy
     if policy == "soft":
         return _apply_soft(target, changes, keys, columns, mark, at)
     f = fold(changes, keys, columns)
-    had = changes.where("op = 'truncate'").agg(F.count("*").alias("n"))
     t = target.withColumn("_k", key_text(keys, target.schema)).withColumn("_old", F.lit(True))
-    t = t.crossJoin(F.broadcast(had)).where("n = 0").drop("n")  # one row
+    if policy == "delete":
+        t = t.crossJoin(F.broadcast(last_truncate(changes))).where("_cleared is null").drop("_cleared")  # one row
     j = t.alias("t").join(f.alias("f"), "_k", "full_outer")
     keep = F.col("f.op").isNull()
     survives = F.col("t._old").isNotNull() & ~F.coalesce(F.col("f.deleted"), F.lit(False))
@@ -192,14 +207,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], policy
 def _apply_soft(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], mark: str, at: str | None) -> DataFrame:
     """Soft deletes keep a row's values: a delete marks it, and does not reset its columns. A key never upserted is not made."""
     c = changes.withColumn("_k", key_text(keys, changes.schema))
-    missing = unchanged_of(changes)
-    up = F.col("op") != "delete"
-    aggs = [F.max_by("op", "pos").alias("op"), F.max(up).alias("upserted")]
-    for name in columns:
-        carried = up & ~F.array_contains(missing, name)
-        value = F.max_by(F.when(carried, F.struct(F.col(name).alias("v"))), F.when(carried, F.col("pos")))
-        aggs += [value["v"].alias(name), F.coalesce(F.max(carried), F.lit(False)).alias(f"{name}__set")]
-    f = c.groupBy("_k").agg(*aggs)
+    f = c.groupBy("_k").agg(F.max_by("op", "pos").alias("op"), F.max(F.col("op") != "delete").alias("upserted"), *_touches(changes, columns, F.lit(False)))
+    f = f.select("_k", "op", "upserted", *_touched(columns))
     t = target.withColumn("_k", key_text(keys, target.schema)).withColumn("_old", F.lit(True))
     j = t.alias("t").join(f.alias("f"), "_k", "full_outer").where(F.col("t._old").isNotNull() | F.col("f.upserted"))
     kind = target.schema[mark].dataType.simpleString()

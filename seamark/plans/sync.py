@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.predicate import Filter
 from ..functions.scratch import folder
 from ..functions.shaping import Mask, Text
+from ..operators import digests as dg
 from ..operators import polls as po
 from ..operators import verify as ve
 from ..operators import writes as wr
+from ..operators.buckets import BucketTable, compare_tables
 from .registry import Tables, plan
 
 COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
@@ -117,6 +119,35 @@ def w10(t: Tables):
     return v.read()
 
 
+@plan(
+    "w10_bucket_versions",
+    f"""with {_TARGET}, {_ROWS}, up as (select * from rows_in union all select * from target where o_orderkey not in (select o_orderkey from rows_in))
+select * from up where o_orderkey % 1000 <> 7""",
+)
+def w10b(t: Tables):
+    """A copy in 64 buckets; an upsert, the same batch once more, and a delete, each a version of the buckets it touches."""
+    v = BucketTable(t.spark, folder(t.spark, "buckets"), ["o_orderkey"])
+    v.replace(target_copy(t), ("copy", 0))
+    for _ in range(2):  # the second is a repeat and does nothing
+        v.upsert(rows_in(t), batch=("feed", 1))
+    v.delete(target_copy(t).where(key() % 1000 == 7).select("o_orderkey"), batch=("feed", 2))
+    return v.read()
+
+
+@plan(
+    "w10_bucket_manifest",
+    f"""with {_TARGET}, {_ROWS}, up as (select * from rows_in union all select * from target where o_orderkey not in (select o_orderkey from rows_in))
+select count(*) n_rows, min('["' || o_orderkey || '"]') low_key, max('["' || o_orderkey || '"]') high_key, 3::bigint as versions from up""",
+)
+def w10c(t: Tables):
+    """What the manifest of a version says, after a version of few buckets: row counts and key ranges of all of them."""
+    v = BucketTable(t.spark, folder(t.spark, "buckets"), ["o_orderkey"])
+    v.replace(target_copy(t))
+    v.upsert(rows_in(t))
+    v.upsert(rows_in(t).where(key() < 20))
+    return v.manifest().agg(F.sum("n").alias("n_rows"), F.min("low_key").alias("low_key"), F.max("high_key").alias("high_key")).withColumn("versions", F.lit(len(v.numbers())).cast("long"))
+
+
 @plan("w9_fan_out", "select o_orderkey, 'a' as target from orders where o_orderkey % 4 = 0 union all select o_orderkey, 'b' from orders where o_orderkey % 4 = 0")
 def w9(t: Tables):
     spark = t.spark
@@ -265,6 +296,30 @@ def r5(t: Tables):
     return ve.report(ve.compare(orders(t), target_copy(t), ["o_orderkey"]))
 
 
+@plan("r5_digest_tree", _REPORT)
+def r5c(t: Tables):
+    """The same report from digest trees: equal ranges of keys are not joined."""
+    o, copy = orders(t), target_copy(t)
+    columns = dg.compared_columns(o, copy, ["o_orderkey"])
+    leaves = dg.tree(o, ["o_orderkey"], columns)
+    return dg.report_by_digest(leaves, dg.compare_by_digest(o, copy, ["o_orderkey"], trees=(leaves, dg.tree(copy, ["o_orderkey"], columns))))
+
+
+@plan(
+    "r5_version_trees",
+    """select '["' || o_orderkey || '"]' as _k, case when o_orderkey % 101 = 0 then 'missing' else 'different' end as class from orders where o_orderkey % 700 = 7 and (o_orderkey % 101 = 0 or o_orderkey % 97 = 0)""",
+)
+def r5d(t: Tables):
+    """Versions of two tables by the trees beside them: the copy is in sync but for a few keys of one write."""
+    source, copy = (BucketTable(t.spark, folder(t.spark, n), ["o_orderkey"]) for n in ("source", "copy"))
+    source.replace(orders(t))
+    copy.replace(orders(t))
+    late = orders(t).where((key() % 700 == 7) & ((key() % 101 == 0) | (key() % 97 == 0)))
+    copy.upsert(late.where(key() % 101 != 0).withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    copy.delete(late.where(key() % 101 == 0).select("o_orderkey"))
+    return compare_tables(source, copy).select("_k", "class")
+
+
 @plan(
     "r5_samples",
     f"""{_CLASSES}, c as (select '["' || coalesce(a, b) || '"]' as _k, case when b is null then 'missing' when a is null then 'extra' when d then 'different' else 'same' end as class from j)
@@ -281,6 +336,15 @@ def r6(t: Tables):
     return ve.second_look(first, orders(t), later, ["o_orderkey"]).select("_k")
 
 
+@plan("r6_second_look_by_ranges", "select '[\"' || o_orderkey || '\"]' as _k from orders where o_orderkey % 101 = 0")
+def r6b(t: Tables):
+    """The second look through the ranges that differed at first: only they are read again."""
+    o, copy, later = orders(t), target_copy(t), orders(t).where(key() % 101 != 0)
+    columns = dg.compared_columns(o, copy, ["o_orderkey"])
+    ranges = dg.descend(dg.tree(o, ["o_orderkey"], columns), dg.tree(copy, ["o_orderkey"], columns))
+    return dg.compare_ranges(o, later, ranges, ["o_orderkey"]).where("class <> 'same'").select("_k")
+
+
 @plan("r7_reconcile", f"with {_TARGET} select {COLS} from orders union all select * from target where o_orderkey >= 10000000")
 def r7(t: Tables):
     c = ve.compare(orders(t), target_copy(t), ["o_orderkey"])
