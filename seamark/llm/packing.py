@@ -48,8 +48,8 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class ChunkIds(dict):
-    """Bytes between two single blanks -> ids of the blank and those bytes; emptied when full.
+class ChunkIds:
+    """Bytes between two single blanks -> ids of the blank and those bytes, ``known``; emptied when full.
 
     A byte-level tokenizer's pieces never reach over a blank from left to right,
     so a text's ids are those of its chunks one after another, unless white space
@@ -58,12 +58,13 @@ class ChunkIds(dict):
     ends with one.
     """
 
-    LIMIT, GROUP = 900_000, 256
+    LIMIT, GROUP = 1_600_000, 256
     AFTER = [b" " + w for w in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")]
     RUN = re.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
+        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tok.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -80,25 +81,25 @@ class ChunkIds(dict):
         return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > self.LIMIT:
-            self.clear()
-        new = [c for c in chunks if c not in self]
-        alone = [c for c in new if not c or c.endswith(b" ") or c.decode()[0].isspace()]
-        joined = list(set(new).difference(alone))
+        if len(self.known) + len(chunks) > self.LIMIT:
+            self.known.clear()
+        new = chunks.difference(self.known)
+        alone = [c for c in new if not c or c[-1] == 32 or c[0] < 33 or (c[0] > 127 and c.decode()[0].isspace())]
+        joined = list(new.difference(alone))
         groups = [joined[i : i + self.GROUP] for i in range(0, len(joined), self.GROUP)]
         for at in range(0, len(groups), 64):
             some = groups[at : at + 64]
-            for group, ids in zip(some, self._ids(["".join(" " + c.decode() for c in g) for g in some]), strict=True):
+            for group, ids in zip(some, self._ids([(b" " + b" ".join(g)).decode() for g in some]), strict=True):
                 ends = np.append(np.flatnonzero(self.blank[ids])[1:], len(ids))
                 if len(ends) != len(group):
                     alone += group
                     continue
                 raw, start, step = ids.tobytes(), 0, self.kind.itemsize
                 for c, end in zip(group, (ends * step).tolist(), strict=True):
-                    self[c] = raw[start:end]
+                    self.known[c] = raw[start:end]
                     start = end
         for c, ids in zip(alone, self._ids([c[:-1].decode() if c.endswith(b" ") else " " + c.decode() for c in alone]), strict=True):
-            self[c] = ids.tobytes()
+            self.known[c] = ids.tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text in ``kind``."""
@@ -111,7 +112,8 @@ class ChunkIds(dict):
             parts[0] += b" "
             split.append(parts)
         self.learn(set().union(*(p for p in split if p)))
-        return [b"".join(map(self.__getitem__, p)) if p else (self._ids([t.decode()])[0].tobytes() if t else b"") for t, p in zip(texts, split, strict=True)]
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) if p else (self._ids([t.decode()])[0].tobytes() if t else b"") for t, p in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -363,7 +365,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, width: in
     residual = int(histogram.sum() - places[2].sum())
     # ranks: by part before, then by place within the part
     before = counts.select("part", "rest", (F.sum("k").over(Window.partitionBy("rest").orderBy("part")) - F.col("k")).alias("before"))
-    ranked = encoded.where("rest > 0").select("row", "part", "rest", "place").join(before, ["part", "rest"]).select("row", "rest", (F.col("before") + F.col("place")).alias("rank"))
+    ranked = encoded.where("rest > 0").select("row", "part", "rest", "place").join(before.hint("merge"), ["part", "rest"]).select("row", "rest", (F.col("before") + F.col("place")).alias("rank"))
     placed = materialize(ranked.mapInArrow(_assign(places, fulls), "row long, rest int, sequence_id long, offset int"), "packing-placed")
     taken = placed.where("sequence_id is not null").select("row", F.lit(0).alias("start"), F.col("rest").alias("length"), "sequence_id", "offset")
     left = placed.where("sequence_id is null").select("row", "rest").repartition(max(1, -(-residual // RESIDUAL_ROWS)), "row").sortWithinPartitions("row")

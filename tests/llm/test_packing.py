@@ -46,8 +46,8 @@ def gapless(pieces, width=2048):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text("ab 1.\n\t'é  \u0085一s", max_size=30), min_size=1, max_size=6))
-@example(["a \n \nb", "  x", "x  ", "x   y", "   y", "it's <|endoftext|> a", "a — b", "— ", " ", ""])
+@given(st.lists(st.text("ab 1.,\u2003\n\t'é  \u0085一s", max_size=30), min_size=1, max_size=6))
+@example(["a \n \nb", "  x", "x  ", "x   y", "   y", "it's <|endoftext|> a", "a — b", "— ", " ", "", "a.\nb, c\nd.", "é.\n\nb", ".\na", "a\u2003\nb c", "a.\n"])
 def test_ids_of_chunks_are_those_of_whole_texts(texts):
     cache = pk.chunk_cache(PATH)
     got = [np.frombuffer(x, cache.kind).tolist() for x in cache.encode([t.encode() for t in texts])]
