@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import folder
 from ..operators import accounting as ac
 from ..operators.causes import PASSING, classify, may_pass
 from ..sources.tables import chunked_snapshot
+from ..streaming.throttle import ROCKSDB, stream_throttle
 from .registry import Tables, plan
 from .sync import key
 
@@ -256,12 +258,15 @@ def l17(t: Tables):
     return ac.summary_metrics(bridges, jobs, deliveries(t), dead(t))
 
 
-@plan(
-    "l18_alert_throttle",
-    """with recursive sent(u, k, t, was) as (
+_THROTTLE = """with recursive sent(u, k, t, was) as (
 select user_id, event_type, min(ts), null::timestamp from events group by 1, 2
 union all select s.u, s.k, min(e.ts), s.t from sent s join events e on e.user_id = s.u and e.event_type = s.k and e.ts >= s.t + interval 6 hours group by s.u, s.k, s.t)
-select u as user_id, k as event_type, t as "at", (select count(*) from events e where e.user_id = s.u and e.event_type = s.k and e.ts > s.was and e.ts < s.t)::bigint as suppressed from sent s""",
+select u as user_id, k as event_type, t as "at", (select count(*) from events e where e.user_id = s.u and e.event_type = s.k and e.ts > s.was and e.ts < s.t)::bigint as suppressed from sent s"""
+
+
+@plan(
+    "l18_alert_throttle",
+    _THROTTLE,
 )
 def l18(t: Tables):
     """Alerts of each user and kind, at most one in six hours counted from the last sent."""
@@ -269,6 +274,30 @@ def l18(t: Tables):
     return ac.alert_throttle(e, ["user_id", "event_type"], 6 * 3600)
 
 
+@plan("l18_stream_throttle", _THROTTLE)
+def l18b(t: Tables):
+    """The same from a stream of files: four batches in time order, the query started anew for each from its checkpoint."""
+    spark, path = t.spark, folder(t.spark, "throttle")
+    e = t("events").select("user_id", "event_type", F.col("ts").alias("at"))
+    cuts = e.agg(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), [0.25, 0.5, 0.75]).alias("q")).first()["q"]  # one row
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    bounds = [None, *cuts, None]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            part = e if low is None else e.where(micros > low)
+            (part if high is None else part.where(micros <= high)).write.mode("append").parquet(f"{path}/in")
+            sent = stream_throttle(spark.readStream.schema(e.schema).parquet(f"{path}/in"), ["user_id", "event_type"], seconds=6 * 3600, forget=90 * 86_400)
+            sent.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(sent.schema).parquet(f"{path}/out").select("user_id", "event_type", "at", "suppressed")
+
+
 @plan("l19_level_changes", "select bridge, ts as at_, level from (select user_id as bridge, ts, event_type as level, lag(event_type) over (partition by user_id order by ts) p from events) where p is distinct from level")
 def l19(t: Tables):
     e = t("events").select(F.col("user_id").alias("bridge"), F.col("ts").alias("at"), F.col("event_type").alias("level"))
