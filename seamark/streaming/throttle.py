@@ -70,7 +70,9 @@ def stream_throttle(alerts: DataFrame, keys: list[str], at: str = "at", seconds:
     Alerts of one micro-batch are taken in time order; batches in the order they
     come. An alert earlier than the last one sent is held back and counted. With
     event time, alerts more than ``late`` seconds behind the watermark are
-    dropped by Spark, and state goes by timers; without, by the store's TTL. The
+    dropped by Spark, and state goes by timers; without, by the store's TTL (an
+    ``availableNow`` run then needs ``spark.sql.streaming.noDataMicroBatches.enabled``
+    off, or it never finds itself done). The
     session's state store must be RocksDB (``ROCKSDB``). A NULL key is a key.
     """
     if forget < seconds:
