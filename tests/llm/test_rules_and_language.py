@@ -33,8 +33,8 @@ def test_codes_are_per_text():
     assert codes[:2].tolist() == [ord("a"), ord("a") << 10 | ord("b")]
 
 
-def plain_kneser_ney(texts, least):
-    """Interpolated modified Kneser-Ney over document counts by dictionaries of tuples."""
+def plain_kneser_ney(texts, least, usual=0):
+    """Interpolated modified Kneser-Ney over document counts by dictionaries of tuples; all is counted before any is pruned."""
     level = {}
     for t in texts:
         s = [0] * 4 + [ord(c) for c in t]
@@ -46,6 +46,8 @@ def plain_kneser_ney(texts, least):
         for g in levels[size + 1]:
             levels[size][g[1:]] = levels[size].get(g[1:], 0) + 1
 
+    common = {g for g, n in levels[5].items() if n >= usual}
+
     def prob(g, size):
         if size == 0:
             return 1 / 1024
@@ -55,19 +57,19 @@ def plain_kneser_ney(texts, least):
         d = [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] and t[k] else min(0.5 * k, k - 0.05) for k in (1, 2, 3)]
         mine = {w[-1]: n for w, n in level.items() if w[:-1] == g[:-1]}
         total = sum(mine.values())
-        value = {w: (n - d[min(n, 3) - 1]) / total for w, n in mine.items() if n >= least}
+        value = {w: (n - d[min(n, 3) - 1]) / total for w, n in mine.items() if n >= least and any(c[5 - size :] == (*g[:-1], w) for c in common)}
         return value.get(g[-1], 0.0) + (1 - sum(value.values())) * prob(g[1:], size - 1)
 
     return lambda g: prob(g, 5)
 
 
-@pytest.mark.parametrize("least", [0, 2])
-def test_kneser_ney_of_all_orders(spark, least):
+@pytest.mark.parametrize("least, usual", [(0, 0), (2, 0), (0, 2), (2, 2)])
+def test_kneser_ney_of_all_orders(spark, least, usual):
     texts = ["the cat sat on the mat and the hat", "a cat that sat", "the the the"]
     df = spark.createDataFrame([(t, None) for t in texts], "text string, lang string").withColumn("n", F.lit(0))
-    counts = kn.count_ngrams(df).groupBy("lang", F.lit(0).alias("fold"), "code").agg(F.sum("n").alias("n"))
+    counts = kn.count_ngrams(df).groupBy("lang", F.lit(0).alias("fold"), "code").agg(F.sum("n").alias("n")).withColumn("usual", F.col("n") >= usual)
     model = kn.collect_models(kn.weights(kn.all_orders(counts), least))[None, 0]
-    plain = plain_kneser_ney(texts, least)
+    plain = plain_kneser_ney(texts, least, usual)
     some = ["the c", "at th", "xxxxx", "the x", "cat s", "xxxxe"] + [t[i : i + 5] for t in texts for i in range(0, len(t) - 5, 3)]
     codes = np.array([kn.codes_of([g.encode()])[0][-1] for g in some])
     want = [math.log(plain(tuple(map(ord, g)))) for g in some]
@@ -98,6 +100,65 @@ def test_rules(spark):
     assert kn.quality_rules(df.limit(0)).collect() == []
 
 
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def given_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    grams = kn.materialize(kn.all_orders(kn.usual(kn.count_ngrams(docs), docs)), "grams")
+    return docs, grams, kn.quality_rules(docs)
+
+
+def test_discounts_of_every_order_are_estimated_from_all_counts(spark, given_model):
+    _, grams, _ = given_model
+    d = {(r["lang"], r["fold"], r["size"]): (r["d1"], r["d2"], r["d3"]) for r in kn.discounts(grams).collect()}
+    t = {(r["lang"], r["fold"], r["size"], r["n"]): r["count"] for r in grams.where("n <= 4").groupBy("lang", "fold", "size", "n").count().collect()}
+    top = [k for k in d if k[2] == kn.ORDER]
+    assert len(top) == 8
+    for key in top:
+        t1, t2, t3, t4 = (t[*key, n] for n in (1, 2, 3, 4))
+        y = t1 / (t1 + 2 * t2)
+        assert np.allclose(d[key], [1 - 2 * y * t2 / t1, 2 - 3 * y * t3 / t2, 3 - 4 * y * t4 / t3])
+        assert 0 < d[key][0] < d[key][1] < d[key][2] < 3
+    rare = grams.where(f"size = {kn.ORDER} and n <= 4")
+    assert rare.count() > 0.5 * grams.where(f"size = {kn.ORDER}").count()  # what pruning leaves out did count
+
+
+def test_verdicts_on_labels_that_did_not_pick_the_width(spark, given_model):
+    _, _, verdicts = given_model
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    j = verdicts.where(~F.col("base_failed") & odd).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["count"] for r in j.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] >= 0.95 * (n[0, False] + n.get((0, True), 0))
+    assert n.get((1, False), 0) <= 0.01 * n[1, True]
+
+
+def test_shuffled_letters_are_rejected_and_shuffled_words_score_worse(spark, given_model):
+    docs, _, verdicts = given_model
+    clean = docs.join(verdicts.where("kept and n_words between 150 and 600").select("doc_id"), "doc_id").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(60).collect()
+    r = random.Random(3)
+    made = []
+    for x in clean:
+        words = x["text"].split()
+        r.shuffle(words)
+        letters = "".join(r.sample(x["text"], len(x["text"])))
+        made += [(-2 * x["doc_id"] - 2, " ".join(words), "en"), (-2 * x["doc_id"] - 1, letters, "en")]
+    more = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    got = {v["doc_id"]: v for v in kn.quality_rules(more).where("doc_id < 0 or doc_id in (%s)" % ", ".join(str(x["doc_id"]) for x in clean)).collect()}
+    assert sum(not got[-2 * x["doc_id"] - 1]["kept"] for x in clean) == len(clean)
+    # the given texts are chains of letters: the order of their words says little, but what it says is seen
+    assert sum(got[-2 * x["doc_id"] - 2]["log_ppl"] > got[x["doc_id"]]["log_ppl"] for x in clean) >= 0.9 * len(clean)
+
+
+def test_quartiles_are_exact(spark):
+    values = np.random.default_rng(1).normal(2, 0.3, 999)
+    df = spark.createDataFrame([("en", float(v)) for v in values] + [(None, 1.0)], "lang string, log_ppl double")
+    got = {r["lang"]: (r["lower"], r["middle"], r["upper"]) for r in kn.quartiles(df.repartition(5)).collect()}
+    assert np.allclose(got["en"], np.quantile(values, [0.25, 0.5, 0.75], method="inverted_cdf"), atol=1 / kn.STEPS)
+    assert np.allclose(got[None], 1.0, atol=1 / kn.STEPS)
+
+
 def naive_phrases(text, model):
     n = i = 0
     while i < len(text):
