@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbourhood to the smallest node it sees, so the number of rounds is
     logarithmic in the longest path. A star's neighbourhood is never gathered:
     only a minimum per node is aggregated and joined back. Each round is written
-    to the shared folder. Null ends and self-links are ignored.
+    to the shared folder, and so is the result, which the caller drops. Null ends and self-links are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m")).where("u <> m").distinct()
     e = materialize(e, "cc")
@@ -43,4 +43,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select("m").distinct().select(F.col("m").alias("v"), F.col("m").alias("root"))
-    return e.select(F.col("u").alias("v"), F.col("m").alias("root")).union(roots)
+    out = materialize(e.select(F.col("u").alias("v"), F.col("m").alias("root")).union(roots), "components")
+    drop(e)
+    return out

@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     stars = materialize(ranked.join(hubs, "bk").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     drop(ranked)
     links = [work.verified(stars)]
-    roots = materialize(connected_components(links[0]), "roots")
+    roots = connected_components(links[0])
     links += _rest(stars, roots, work)
     drop(stars, roots)
     roots = connected_components(reduce(DataFrame.union, links))
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = label.join(least, "root").select("ck", "component_id")
     out = sig.join(classes, "ck", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     result = materialize(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))), "near-dup")
-    drop(sig, nodes, label, least, *links, *work.fetched)
+    drop(sig, nodes, label, least, roots, *links, *work.fetched)
     return result
 
 
