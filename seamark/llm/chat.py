@@ -9,9 +9,8 @@ Grammar of one conversation (a sequence of turns):
 
 A body is escaped by one more backslash before every control string, with or
 without backslashes already there, and unescaped by taking one away; so any text
-comes back. A body with a control string is always escaped; then the rendered
-turn is reparsed and compared with its source, and one that doesn't come back
-would end the job.
+comes back. Every conversation is reparsed as a whole and compared with its
+source turns; one that doesn't come back is an error, never a silent loss.
 """
 
 from __future__ import annotations
@@ -83,13 +82,12 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     raw = ~F.contains("text", F.lit("###")) & ~F.contains("text", F.lit("</turn>"))
     t = t.withColumn("raw", raw).withColumn("body", F.when(F.col("raw"), F.col("text")).otherwise(escape(F.col("text"))))
     t = t.withColumn("out", render_turn(F.col("name"), F.col("body")))
-    # the grammar has one reading of a body without control strings; where one was escaped, the parser itself is asked
-    back = parse(F.col("out"))
-    same = (F.size(back) == 1) & (back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text"))
-    t = t.withColumn("out", F.when(F.col("raw") | same, F.col("out")).otherwise(F.raise_error(F.lit("a turn does not come back from its rendered text"))))
     t = t.select("conv_id", F.struct("turn", "role", "text", "out", (F.length("name") + len(OPEN) + 2).alias("head"), F.length("body").alias("len"), "raw").alias("t"))
     g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    out = F.concat_ws("", F.transform("t", lambda x: x["out"]))
+    whole = F.concat_ws("", F.transform("t", lambda x: x["out"]))
+    # the round trip: the parser's turns of the whole conversation are its source's
+    source = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    out = F.when(parse(whole) == source, whole).otherwise(F.raise_error(F.lit("a conversation does not come back from its rendered text")))
     sizes = F.aggregate(
         "t",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans")),
