@@ -31,36 +31,53 @@ def literal(c: Column, t: T.DataType, dialect: str = "postgres") -> Column:
         h = F.lower(F.hex(c))
         out = F.concat(F.lit("'\\x" if dialect == "postgres" else "X'"), h, F.lit("'"))
     else:
-        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if isinstance(t, (T.TimestampType, T.TimestampNTZType)) else text_of(c, t)
+        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if isinstance(t, (T.TimestampType, T.TimestampNTZType)) else c.cast("string") if isinstance(t, T.DateType) else text_of(c, t)
         if dialect == "mysql":
             text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
         out = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
     return F.when(c.isNull(), "NULL").otherwise(out)
 
 
-def insert_statements(df: DataFrame, table: str, dialect: str = "postgres") -> Column:
+def _quote(name: str, dialect: str) -> str:
     q = "`" if dialect == "mysql" else '"'
-    names = ", ".join(f"{q}{c}{q}" for c in df.columns)
+    return q + name.replace(q, q + q) + q
+
+
+def insert_statements(df: DataFrame, table: str, dialect: str = "postgres") -> Column:
+    names = ", ".join(_quote(c, dialect) for c in df.columns)
     values = F.concat_ws(", ", *[literal(F.col(f"`{f.name}`"), f.dataType, dialect) for f in df.schema.fields])
-    return F.concat(F.lit(f"INSERT INTO {q}{table}{q} ({names}) VALUES ("), values, F.lit(");"))
+    return F.concat(F.lit(f"INSERT INTO {_quote(table, dialect)} ({names}) VALUES ("), values, F.lit(");"))
+
+
+#: Column types of each dialect's CREATE TABLE; "json" is what holds arrays, maps and structs, "key" a text that stands in a key.
+SQL_TYPES = {
+    "postgres": {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "SMALLINT", "double": "DOUBLE PRECISION", "float": "REAL", "boolean": "BOOLEAN", "string": "TEXT", "key": "TEXT", "binary": "BYTEA", "date": "DATE", "timestamp": "TIMESTAMPTZ", "timestamp_ntz": "TIMESTAMP", "json": "JSONB", "decimal": "NUMERIC"},
+    "mysql": {"bigint": "BIGINT", "int": "INT", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE", "float": "FLOAT", "boolean": "TINYINT(1)", "string": "LONGTEXT", "key": "VARCHAR(255)", "binary": "LONGBLOB", "date": "DATE", "timestamp": "TIMESTAMP(6)", "timestamp_ntz": "DATETIME(6)", "json": "JSON", "decimal": "DECIMAL"},
+    "sqlite": {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "INTEGER", "string": "TEXT", "key": "TEXT", "binary": "BLOB", "date": "TEXT", "timestamp": "TEXT", "timestamp_ntz": "TEXT", "json": "TEXT", "decimal": "NUMERIC"},
+}
 
 
-#: Column types of the dialect's CREATE TABLE.
-_SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE PRECISION", "float": "REAL", "boolean": "BOOLEAN", "string": "TEXT", "binary": "BYTEA", "date": "DATE", "timestamp": "TIMESTAMPTZ", "timestamp_ntz": "TIMESTAMP"}
+def column_type(t: T.DataType, dialect: str, in_key: bool = False) -> str:
+    types = SQL_TYPES[dialect]
+    if isinstance(t, T.DecimalType):
+        return f"{types['decimal']}({t.precision},{t.scale})"
+    name = t.simpleString()
+    return types["key"] if name == "string" and in_key else types.get(name, types["json"])
 
 
-def create_statement(df: DataFrame, table: str, keys: list[str] = ()) -> str:
-    cols = [f'"{f.name}" ' + _SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString().upper() if isinstance(f.dataType, T.DecimalType) else "JSONB") for f in df.schema.fields]
+def create_statement(df: DataFrame, table: str, keys: list[str] = (), dialect: str = "postgres") -> str:
+    """CREATE TABLE in the words and quotes of the dialect whose INSERTs follow."""
+    cols = [f"{_quote(f.name, dialect)} {column_type(f.dataType, dialect, f.name in keys)}" for f in df.schema.fields]
     if keys:
-        cols.append("PRIMARY KEY (" + ", ".join(f'"{k}"' for k in keys) + ")")
-    return f'CREATE TABLE "{table}" ({", ".join(cols)});'
+        cols.append(f"PRIMARY KEY ({', '.join(_quote(k, dialect) for k in keys)})")
+    return f"CREATE TABLE {_quote(table, dialect)} ({', '.join(cols)});"
 
 
 def backup_sql(tables: dict[str, DataFrame], keys: dict[str, list[str]], path: str, dialect: str = "postgres") -> None:
     """DDL and INSERT text; rows in key order by ranges, not through one task."""
     for name, df in tables.items():
         spark = df.sparkSession
-        spark.createDataFrame([(create_statement(df, name, keys.get(name, [])),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.ddl")
+        spark.createDataFrame([(create_statement(df, name, keys.get(name, []), dialect),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.ddl")
         rows = df.orderBy(*keys[name]) if keys.get(name) else df
         rows.select(insert_statements(df, name, dialect).alias("value")).write.mode("overwrite").text(f"{path}/{name}.dml")
 

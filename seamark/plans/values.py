@@ -205,6 +205,22 @@ def w17(t: Tables):
     return t.spark.read.text(f"{path}/customer.dml")
 
 
+@plan(
+    "w17_backup_ddl",
+    """select s as value from (select unnest(['CREATE TABLE "supplier" ("s_suppkey" BIGINT, "s_name" TEXT, "s_acctbal" DOUBLE PRECISION, PRIMARY KEY ("s_suppkey"));',
+'CREATE TABLE `supplier` (`s_suppkey` BIGINT, `s_name` LONGTEXT, `s_acctbal` DOUBLE, PRIMARY KEY (`s_suppkey`));', 'CREATE TABLE "supplier" ("s_suppkey" INTEGER, "s_name" TEXT, "s_acctbal" REAL, PRIMARY KEY ("s_suppkey"));']) s)
+union all select 'INSERT INTO `supplier` (`s_suppkey`, `s_name`, `s_acctbal`) VALUES (' || s_suppkey || ', ''' || s_name || ''', ' || case when s_acctbal = trunc(s_acctbal) then s_acctbal::bigint::varchar else s_acctbal::varchar end || ');' from supplier""",
+)
+def w17b(t: Tables):
+    """Definitions in three dialects, and the rows of one."""
+    s, texts = t("supplier").select("s_suppkey", "s_name", "s_acctbal"), []
+    for dialect in ("postgres", "mysql", "sqlite"):
+        path = folder(t.spark, dialect)
+        ex.backup_sql({"supplier": s}, {"supplier": ["s_suppkey"]}, path, dialect)
+        texts += [f"{path}/supplier.ddl"] + [f"{path}/supplier.dml"] * (dialect == "mysql")
+    return t.spark.read.text(texts)
+
+
 @plan("w18_csv_line", """select page_id || ',' || case when regexp_matches(html, '[",\r\n]') then '"' || replace(html, '"', '""') || '"' else html end as line from pages""")
 def w18(t: Tables):
     p = t("pages").select("page_id", "html")
