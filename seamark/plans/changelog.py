@@ -251,6 +251,26 @@ def c19(t: Tables):
     return echo.recognise(incoming(t), ledger(t), "orders", ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"]).select("o_orderkey", "is_echo")
 
 
+@plan("c19_stream_join", "select o_orderkey, o_orderkey % 3 = 0 and o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 as is_echo from orders")
+def c19c(t: Tables):
+    """The same from two streams of files; a heartbeat far ahead lets both watermarks pass, in a second run of the query."""
+    spark, columns = t.spark, ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    changes, writes = incoming(t), ledger(t)
+    came, wrote, check, out = (folder(spark, n) for n in ("came", "wrote", "check", "echoes"))
+    ahead = F.expr("timestamp_ntz'2200-01-01 00:00:00'")
+
+    def beat(df):
+        given = {"op": F.lit(echo.HEARTBEAT), "at": ahead, "table": F.lit("orders"), "k": F.lit(""), "reading": F.lit("")}
+        return spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+
+    for c, w in ((changes, writes), (beat(changes), beat(writes))):
+        c.write.mode("append").parquet(came)
+        w.write.mode("append").parquet(wrote)
+        seen = echo.recognise_stream(spark.readStream.schema(changes.schema).parquet(came), spark.readStream.schema(writes.schema).parquet(wrote), "orders", ["o_orderkey"], columns, ["o_orderkey", "at"])
+        seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(seen.schema).parquet(out).select("o_orderkey", "is_echo")
+
+
 @plan("c19_consume", "select count(*) n from orders where o_orderkey % 3 = 0 and not (o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0)")
 def c19b(t: Tables):
     led = ledger(t)

@@ -60,14 +60,44 @@ def route(changes: DataFrame, source: str, targets: Column, origins: Column) ->
     return changes.withColumns({"forward": ~F.forall(targets, lambda t: F.array_contains(origins, t)), "origins": F.array_union(origins, F.array(F.lit(source)))})
 
 
+#: An op that only moves time on: its rows let both sides' watermarks pass, and are not given on.
+HEARTBEAT = "heartbeat"
+
+
+def recognise_stream(changes: DataFrame, writes: DataFrame, table: str, keys: list[str], columns: list[str], identity: list[str], at: str = "at", late: str = "10 minutes", ttl: int = TTL_SECONDS) -> DataFrame:
+    """A stream of changes beside a stream of ledger entries -> changes with ``is_echo``, by an interval join of both.
+
+    A change echoes an entry of its table, key, op and reading written at most
+    ``ttl`` seconds before it. An echo is given as soon as both are there; what
+    is none, once the watermark says that no entry can come any more. Each side
+    has a watermark of ``late``, so entries are held for ``ttl`` and the lateness,
+    and changes for the lateness, and no longer. Rows later than that are
+    dropped. ``identity`` tells changes apart: one that several entries match is
+    given once. Entries are not consumed: for that, see ``recognise_in_order``.
+    A source without traffic sends rows of op ``HEARTBEAT`` on both sides.
+    """
+    op = F.when(F.col("op").isin("insert", "update"), "upsert").otherwise(F.col("op"))
+    value = F.when(F.col("op").isin("delete", "truncate", HEARTBEAT), F.lit("")).otherwise(reading(changes, columns))
+    key = F.when(F.col("op") == "truncate", F.lit(table)).otherwise(key_text(keys, changes.schema))
+    c = changes.withColumns({"_k": key, "_v": value, "_op": op, "_at": F.col(at).cast("timestamp")}).withWatermark("_at", late)
+    e = writes.where((F.col("table") == table) | (F.col("op") == HEARTBEAT)).select("k", "reading", op.alias("e_op"), F.col("at").cast("timestamp").alias("e_at")).withWatermark("e_at", late)
+    hit = (F.col("_k") == F.col("k")) & (F.col("_v") == F.col("reading")) & (F.col("_op") == F.col("e_op")) & (F.col("e_at") <= F.col("_at")) & (F.col("e_at") >= F.col("_at") - F.expr(f"interval {ttl} seconds"))
+    j = c.join(e, hit, "left_outer").select(*changes.columns, "_at", F.col("e_at").isNotNull().alias("is_echo"))
+    return j.dropDuplicatesWithinWatermark(identity).where(F.col("op") != HEARTBEAT).drop("_at")
+
+
 def recognise_in_order(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """A stream of writes and changes (``kind`` write or change, ``k``, ``reading``, ``at``) -> changes with ``is_echo``.
 
     Entries are consumed in order: a match takes the entry and all older ones
-    of its key. The state of a key is its ledger, at most PER_KEY entries.
+    of its key. The state of a key is its ledger, at most PER_KEY entries; it
+    goes when nothing is held, and TTL_SECONDS after the last entry at the latest.
     """
 
     def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held: list[tuple[str, pd.Timestamp]] = list(zip(*state.get, strict=True)) if state.exists else []
         rows = pd.concat(list(groups)).sort_values(["at", "kind"], ascending=[True, False])
         out = []
@@ -80,7 +110,12 @@ def recognise_in_order(events: DataFrame, watermark: str = "10 minutes") -> Data
             out.append((key[0], r.reading, r.at, hit is not None))
             if hit is not None:
                 held = held[hit + 1 :]
-        state.update(([v for v, _ in held], [pd.Timestamp(t).to_pydatetime() for _, t in held]))
+        if held:
+            state.update(([v for v, _ in held], [pd.Timestamp(t).to_pydatetime() for _, t in held]))
+            end = int(pd.Timestamp(held[-1][1]).timestamp() * 1000) + TTL_SECONDS * 1000
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["k", "reading", "at", "is_echo"])
 
-    return events.withWatermark("at", watermark).groupBy("k").applyInPandasWithState(step, "k string, reading string, at timestamp, is_echo boolean", "readings array<string>, times array<timestamp>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("at", watermark).groupBy("k").applyInPandasWithState(step, "k string, reading string, at timestamp, is_echo boolean", "readings array<string>, times array<timestamp>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamark.operators.accounting import alert_throttle
+from seamark.streaming import echo
 from seamark.streaming.throttle import ROCKSDB, stream_throttle
 
 from .conftest import rows
@@ -73,3 +74,56 @@ def test_processing_time_state_has_a_ttl(spark, tmp_path, rocksdb):
     assert rows(got.select("suppressed")) == [(0,), (1,)]
     with pytest.raises(ValueError):
         stream_throttle(spark.readStream.schema(ALERTS).parquet(str(tmp_path)), ["channel"], seconds=10, forget=5)
+
+
+CHANGES = "op string, id long, v string, at timestamp_ntz"
+WRITES = "table string, k string, op string, reading string, origins array<string>, at timestamp_ntz"
+
+
+def at(seconds):
+    return DAY + dt.timedelta(seconds=seconds)
+
+
+def echoes(spark, path, steps):
+    """Each step is (changes, writes) and a run of the query; rows given, and rows that the join still holds."""
+    for c, w in steps:
+        spark.createDataFrame(c, CHANGES).write.mode("append").parquet(f"{path}/c")
+        spark.createDataFrame([("t", f'["{i}"]', op, "" if op in ("delete", echo.HEARTBEAT) else f'["{v}"]', ["a"], when) for op, i, v, when in w], WRITES).write.mode("append").parquet(f"{path}/w")
+        out = echo.recognise_stream(spark.readStream.schema(CHANGES).parquet(f"{path}/c"), spark.readStream.schema(WRITES).parquet(f"{path}/w"), "t", ["id"], ["v"], ["id", "at"], late="60 seconds", ttl=100)
+        q = out.writeStream.format("parquet").option("path", f"{path}/o").option("checkpointLocation", f"{path}/s").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r["op"], r["id"], r["at"]): r["is_echo"] for r in spark.read.schema(out.schema).parquet(f"{path}/o").collect()}
+    join = [o for o in q.lastProgress["stateOperators"] if "Join" in o["operatorName"]]
+    return got, sum(o["numRowsTotal"] for o in join)
+
+
+def test_echoes_of_two_streams(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    beat = lambda s: ([(echo.HEARTBEAT, None, None, at(s))], [(echo.HEARTBEAT, None, None, at(s))])
+    steps = [
+        ([("update", 1, "x", at(10)), ("update", 2, "y", at(10)), ("delete", 3, None, at(10)), ("update", 4, "x", at(150))], [("insert", 1, "x", at(0)), ("update", 1, "x", at(5)), ("update", 2, "other", at(5)), ("delete", 3, None, at(5)), ("update", 4, "x", at(1))]),
+        ([], [("insert", 5, "z", at(160))]),  # written, and the change comes later
+        ([("insert", 5, "z", at(170))], []),
+        beat(5_000),
+        ([("update", 6, "late", at(20))], []),  # behind the watermark: dropped
+        beat(9_000),
+    ]
+    try:
+        got, held = echoes(spark, tmp_path, steps)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {("update", 1, at(10)): True, ("update", 2, at(10)): False, ("delete", 3, at(10)): True, ("update", 4, at(150)): False, ("insert", 5, at(170)): True}
+    assert got == want
+    assert held <= 4  # heartbeats alone
+
+
+def test_ordered_echoes_forget_their_ledgers(spark, tmp_path):
+    schema = "kind string, k string, reading string, at timestamp"
+    steps = [[("write", "a", "v", at(0)), ("write", "b", "v", at(0)), ("change", "b", "v", at(1))], [("write", "c", "v", at(5_000))], [("write", "c", "v", at(5_001))]]
+    for rows_ in steps:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = echo.recognise_in_order(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [r["is_echo"] for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/o").collect()] == [True]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # c's; a's has expired, b's was used up
