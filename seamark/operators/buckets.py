@@ -18,14 +18,14 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import key_text
 from .changes import apply_changes
 from .digests import LEAF_BITS, SUMS, compare_ranges, differing, key_hash, merge, place, row_digest, sums
-from .writes import delete_by_key, soft_delete, upsert
+from .writes import counted_write, delete_by_key, soft_delete, upsert
 
 MANIFEST = "bucket int, folder string, low_key string, high_key string, n long, low long, high long, x long"
 BUCKET_BITS = 6
@@ -42,6 +42,8 @@ class Version:
     schema: T.StructType
     #: The last batch that each writer applied.
     batches: dict[str, int] = field(default_factory=dict)
+    #: What the write counted, if it did.
+    counts: dict[str, int] = field(default_factory=dict)
 
 
 class BucketTable:
@@ -82,7 +84,7 @@ class BucketTable:
         number = known[-1] if number is None else number
         text = self.spark.read.text(f"{self.path}/versions/{number:010d}", wholetext=True).first()["value"]  # one small file
         v = json.loads(text)
-        return Version(number, v["manifest"], T.StructType.fromJson(v["schema"]), v["batches"])
+        return Version(number, v["manifest"], T.StructType.fromJson(v["schema"]), v["batches"], v.get("counts", {}))
 
     def _claim(self, number: int, text: str) -> None:
         """Make the version's file appear, complete, if there is none of that number."""
@@ -138,12 +140,13 @@ class BucketTable:
 
     # writing
 
-    def apply(self, rows: DataFrame, change: Callable[[DataFrame], DataFrame], schema: T.StructType | None = None, batch: tuple[str, int] | None = None, tries: int = 1) -> int:
+    def apply(self, rows: DataFrame, change: Callable[[DataFrame], DataFrame], schema: T.StructType | None = None, batch: tuple[str, int] | None = None, tries: int = 1, counts: Callable[[], dict] | None = None) -> int:
         """Commit ``change(rows of the touched buckets)`` as the next version; returns its number.
 
         ``rows`` tells which buckets are touched: those of its keys. ``batch`` is
         a writer's name and its batch number; a batch that the current version
-        already holds does nothing. ``schema`` is the table's if there is none
+        already holds does nothing. ``counts`` is asked once the rows are written,
+        and its answer stands in the version. ``schema`` is the table's if there is none
         yet, and may add columns. If another writer commits first, the work is
         done again on its version, ``tries`` times in all; then ``Conflict``.
         """
@@ -153,7 +156,7 @@ class BucketTable:
             if now and batch and now.batches.get(batch[0], -1) >= batch[1]:
                 return now.number
             try:
-                return self._commit(now, change, schema or (now.schema if now else rows.schema), touched, batch)
+                return self._commit(now, change, schema or (now.schema if now else rows.schema), touched, batch, counts)
             except Conflict:
                 if not left:
                     raise
@@ -164,7 +167,7 @@ class BucketTable:
         now = self.version()
         return self._commit(now, lambda _: rows, rows.schema, None, batch)
 
-    def _commit(self, now: Version | None, change: Callable[[DataFrame], DataFrame], schema: T.StructType, touched: list[int] | None, batch: tuple[str, int] | None) -> int:
+    def _commit(self, now: Version | None, change: Callable[[DataFrame], DataFrame], schema: T.StructType, touched: list[int] | None, batch: tuple[str, int] | None, counts: Callable[[], dict] | None = None) -> int:
         number = now.number + 1 if now else 0
         tag = f"{number:010d}-{uuid.uuid4().hex[:12]}"
         current = self.spark.createDataFrame([], schema)
@@ -178,7 +181,7 @@ class BucketTable:
         batches = dict(now.batches) if now else {}
         if batch:
             batches[batch[0]] = batch[1]
-        self._claim(number, json.dumps({"manifest": f"manifests/{tag}", "schema": json.loads(schema.json()), "batches": batches}))
+        self._claim(number, json.dumps({"manifest": f"manifests/{tag}", "schema": json.loads(schema.json()), "batches": batches, "counts": counts() if counts else {}}))
         return number
 
     def _write(self, new: DataFrame, tag: str, touched: list[int] | None) -> DataFrame:
@@ -205,6 +208,17 @@ class BucketTable:
         change = (lambda now: soft_delete(now, ids, self.keys, column, at)) if column else (lambda now: delete_by_key(now, ids, self.keys))
         return self.apply(ids, change, None, batch, tries)
 
+    def write(self, rows: DataFrame, ids: DataFrame, batch: tuple[str, int] | None = None, tries: int = 1) -> int:
+        """Upsert ``rows`` and delete ``ids`` as one version, which tells how many keys were inserted, updated, alike and deleted."""
+        seen: list[Observation] = []
+
+        def change(now: DataFrame) -> DataFrame:
+            seen.append(Observation())
+            return counted_write(now, rows, ids, self.keys, seen[-1])
+
+        both = rows.select(*self.keys).unionByName(ids.select(*self.keys))
+        return self.apply(both, change, None if self.numbers() else rows.schema, batch, tries, lambda: seen[-1].get if seen else {})
+
     def follow(self, changes: DataFrame, policy: str = "delete", mark: str | None = None, at: str | None = None, batch: tuple[str, int] | None = None, schema: T.StructType | None = None, tries: int = 1) -> int:
         """Fold a change log (``changes.apply_changes``); a log with a truncate touches every bucket."""
         if changes.where("op = 'truncate'").isEmpty():

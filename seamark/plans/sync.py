@@ -191,15 +191,25 @@ def w13(t: Tables):
     return wr.skip_unchanged(target_copy(t), orders(t), ["o_orderkey"])
 
 
-@plan(
-    "w14_write_counts",
-    f"""with {_TARGET} select count(*) filter (where o_orderkey % 101 = 0) inserted, count(*) filter (where o_orderkey % 97 = 0 and o_orderkey % 101 <> 0) updated,
-count(*) filter (where o_orderkey % 97 <> 0 and o_orderkey % 101 <> 0) as same, (select count(*) from target where o_orderkey < 10000000 and o_orderkey % 10 = 5) as deleted from orders""",
-)
+_COUNTS = f"""with {_TARGET} select count(*) filter (where o_orderkey % 101 = 0) inserted, count(*) filter (where o_orderkey % 97 = 0 and o_orderkey % 101 <> 0) updated,
+count(*) filter (where o_orderkey % 97 <> 0 and o_orderkey % 101 <> 0) as same, (select count(*) from target where o_orderkey < 10000000 and o_orderkey % 10 = 5) as deleted from orders"""
+
+
+@plan("w14_write_counts", _COUNTS)
 def w14(t: Tables):
     return wr.write_counts(target_copy(t), orders(t), ids(t), ["o_orderkey"])
 
 
+@plan("w14_observed_counts", _COUNTS)
+def w14b(t: Tables):
+    """The same counts, observed while a version of buckets is written and kept in it."""
+    v = BucketTable(t.spark, folder(t.spark, "counted"), ["o_orderkey"])
+    v.replace(target_copy(t))
+    v.write(orders(t), ids(t))
+    n = v.version().counts
+    return t.spark.createDataFrame([(n["inserted"], n["updated"], n["same"], n["deleted"])], "inserted long, updated long, same long, deleted long")
+
+
 @plan("i1_poll_increment", "select event_id, null::bigint as cursor from events where event_id > 6000 union all select null, greatest(max(event_id), 6000) from events")
 def i1(t: Tables):
     rows, cursor = po.poll_increment(t("events"), "event_id", F.lit(6000).cast("long"))

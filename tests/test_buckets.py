@@ -170,3 +170,19 @@ def test_tables_are_compared_by_the_trees_beside_them(spark, tmp_path):
     assert wrong(bk.compare_tables(e, a)) == wrong(ve.compare(e.read(), a.read(), ["k"]).where("class <> 'same'"))
     # the kept tree of a version that grew by writes is that of its rows
     assert dg.differing(a.leaves(), dg.tree(a.read(), ["k"], ["a", "b"])).count() == 0
+
+
+def test_a_counted_write_is_one_rewrite(spark, tmp_path):
+    t = table(spark, tmp_path, bits=2)
+    t.replace(data(spark, 20))
+    new = spark.createDataFrame([(0, "v0", 0.0), (1, "changed", 0.0), (50, "new", 0.0), (2, None, None)], KEYED)
+    t.write(new, spark.createDataFrame([(3,), (4,), (99,), (None,)], "k long"), batch=("w", 1))
+    assert t.version().counts == {"inserted": 1, "updated": 2, "same": 1, "deleted": 2}
+    assert sorted(r["k"] for r in t.read().collect()) == [k for k in range(20) if k not in (3, 4)] + [50]
+    assert t.read().where("k = 2").first()["a"] is None
+    from pyspark.sql import Observation
+
+    from seamark.operators.writes import counted_write
+
+    plan = counted_write(data(spark), new, new.select("k"), ["k"], Observation())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("Join") == 2  # the target once; the rows and the ids beside it
