@@ -224,6 +224,31 @@ def fan_out(batch: DataFrame, batch_id: int, targets: dict[str, Callable[[DataFr
     return written
 
 
+def fan_out_once(batch: DataFrame, batch_id: int, targets: dict[str, tuple[VersionedTable, Callable[[DataFrame | None, DataFrame], DataFrame]]]) -> list[str]:
+    """Write one batch to several versioned targets, each exactly once. Returns the names written now.
+
+    ``change(current, batch)`` gives a target's next version. The batch's id
+    stands in the target's own pointer row, which appears with the data or not at
+    all; so a crash at any moment leaves no target that was written and does not
+    know it, and a retry, or a second writer that comes later, repeats no append.
+    The first failure is raised after the others were tried.
+    """
+    batch = batch.persist()
+    written, failure = [], None
+    try:
+        for name, (table, change) in targets.items():
+            try:
+                if table.apply(lambda now, change=change: change(now, batch), batch_id):
+                    written.append(name)
+            except Exception as e:  # noqa: BLE001 - any target may fail in its own way
+                failure = failure or e
+    finally:
+        batch.unpersist()
+    if failure:
+        raise failure
+    return written
+
+
 def merge_into(rows: DataFrame, table: str, keys: list[str]) -> None:
     """Pass-through for table formats that have MERGE."""
     on = " and ".join(f"{table}.`{k}` = source.`{k}`" for k in keys)

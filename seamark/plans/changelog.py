@@ -8,6 +8,7 @@ from ..functions.predicate import Filter
 from ..functions.scratch import folder
 from ..operators import changes as ch
 from ..operators.writes import VersionedTable
+from ..sources.tables import chunked_snapshot
 from ..streaming import echo
 from ..streaming import follow as fo
 from .registry import Tables, plan
@@ -120,22 +121,14 @@ def c4(t: Tables):
 @plan("c5_position_order", "select o_orderkey, row_number() over (order by o_orderkey % 7, o_orderkey * 100003) r, row_number() over (order by o_orderkey % 12, o_orderkey) m from orders")
 def c5(t: Tables):
     """Ranks by parsed positions: hexadecimal and file numbers sort by value, not as text."""
-    from pyspark.sql import Window
-
     lsn = lambda x: F.concat(F.lit("0/"), F.hex(x))
     pg = ch.pg_position(F.concat(lsn(key() % 7), F.lit("#"), lsn(key() * 100003)))
     my = ch.mysql_position(F.concat(F.lit("bin."), (key() % 12).cast("string"), F.lit(":"), key().cast("string")))
     o = t("orders").select("o_orderkey", pg.alias("pg"), my.alias("my"))
-    # a rank over all rows is the check's own; the operator is the order of the struct
-    return o.withColumns({"r": F.row_number().over(Window.partitionBy("pg.commit").orderBy("pg")), "m": F.row_number().over(Window.partitionBy("my.file").orderBy("my"))}).join(_before(o, "pg.commit", "c1", "n1"), F.col("pg.commit") == F.col("c1")).join(_before(o, "my.file", "c2", "n2"), F.col("my.file") == F.col("c2")).select("o_orderkey", (F.col("r") + F.col("n1")).alias("r"), (F.col("m") + F.col("n2")).alias("m"))
-
-
-def _before(o, group: str, name: str, n: str):
-    """Rows in earlier groups, for the few groups there are."""
-    from pyspark.sql import Window
-
-    g = o.groupBy(F.col(group).alias(name)).agg(F.count("*").alias("c"))
-    return g.select(name, (F.sum("c").over(Window.orderBy(name)) - F.col("c")).alias(n))
+    # ranks over all rows, by ranges
+    r = chunked_snapshot(o.select("o_orderkey", "pg"), [("pg", True)], 1000).select("o_orderkey", (F.col("row_index") + 1).alias("r"))
+    m = chunked_snapshot(o.select("o_orderkey", "my"), [("my", True)], 1000).select("o_orderkey", (F.col("row_index") + 1).alias("m"))
+    return r.join(m, "o_orderkey")
 
 
 @plan(

@@ -173,6 +173,29 @@ def w9(t: Tables):
     return a.read().withColumn("target", F.lit("a")).union(b.read().withColumn("target", F.lit("b")))
 
 
+@plan("w9_fan_out_once", "select o_orderkey, 'a' as target from orders where o_orderkey % 4 = 0 union all select o_orderkey, 'b' from orders where o_orderkey % 4 = 0")
+def w9b(t: Tables):
+    """Two append targets, a batch that fails at the second, and two retries: the batch ids in the targets' own pointers keep every row single."""
+    spark = t.spark
+    a, b = (wr.VersionedTable(spark, folder(spark, n)) for n in ("a", "b"))
+    batch = rows_in(t).select("o_orderkey")
+    add = lambda now, more: more if now is None else now.union(more)
+    tries: list[int] = []
+
+    def fails_once(now, more):
+        tries.append(1)
+        if len(tries) == 1:
+            raise RuntimeError("the first try fails")
+        return add(now, more)
+
+    for _ in range(3):
+        try:
+            wr.fan_out_once(batch, 7, {"a": (a, add), "b": (b, fails_once)})
+        except RuntimeError:
+            continue
+    return a.read().withColumn("target", F.lit("a")).union(b.read().withColumn("target", F.lit("b")))
+
+
 @plan("w11_ensure_target", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice * 2 as o_totalprice from orders where o_orderkey % 4 = 0")
 def w11(t: Tables):
     r = rows_in(t)

@@ -186,3 +186,26 @@ def test_a_counted_write_is_one_rewrite(spark, tmp_path):
 
     plan = counted_write(data(spark), new, new.select("k"), ["k"], Observation())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (") == 1 and plan.count("Join") == 2  # the target once; the rows and the ids beside it
+
+
+def test_fan_out_survives_a_crash_after_any_step(spark, tmp_path, monkeypatch):
+    from seamark.operators.writes import VersionedTable, fan_out_once
+
+    batch = data(spark, 5)
+    add = lambda now, more: more if now is None else now.union(more)
+    a, b = (VersionedTable(spark, f"file://{tmp_path}/{n}") for n in "ab")
+    write, steps = VersionedTable.write, []
+
+    def dies(self, df, i=-1):
+        steps.append(self.path)
+        write(self, df, i)
+        if len(steps) == 1:
+            raise KeyboardInterrupt("the process dies after a's pointer is there")
+
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "write", dies)
+        with pytest.raises(KeyboardInterrupt):
+            fan_out_once(batch, 3, {"a": (a, add), "b": (b, add)})
+    assert fan_out_once(batch, 3, {"a": (a, add), "b": (b, add)}) == ["b"]
+    assert fan_out_once(batch, 3, {"a": (a, add), "b": (b, add)}) == []
+    assert a.read().count() == b.read().count() == 5
