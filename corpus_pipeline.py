@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold a benchmark item, whole or edited, go."""
+    """Operator 5: documents that hold a benchmark item, whole or edited, go. Of rows with one id, or without one, all go if one does."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontaminate.contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")), "left_anti")
