@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.predicate import Filter, change_predicate, lookup_in, predicate
+from ..functions.scratch import folder
+from ..operators.buckets import BucketTable
+from ..operators.sketches import profile_buckets, shared_values, sketch
 from ..sources import tables as src
 from .registry import Tables, plan
 
@@ -156,14 +159,43 @@ def s11(t: Tables):
     return src.profile("supplier", t("supplier"))
 
 
+_O = [("o_orderkey", "bigint", "{}::double", "null"), ("o_custkey", "bigint", "{}::double", "null"), ("o_orderstatus", "string", "null", "{}"), ("o_totalprice", "double", "{}", "null"), ("o_orderdate", "timestamp_ntz", "epoch_us({})::double", "null"), ("o_orderpriority", "string", "null", "{}")]
+
+
+@plan(
+    "s11_profile_sketch",
+    " union all ".join(
+        f"""select '{c}' as "column", '{k}' as type, count(*) n_rows, count(*) - count({c}) n_null, count(distinct {c}) n_distinct, count(distinct {c}) = count(*) is_unique,
+{n.format(f"min({c})")}::double low, {n.format(f"max({c})")}::double high, {x.format(f"min({c})")}::varchar low_text, {x.format(f"max({c})")}::varchar high_text from orders"""
+        for c, k, n, x in _O
+    ),
+)
+def s11b(t: Tables):
+    """The profile of a version of buckets: sketches of the first version, and of what the second wrote."""
+    table = BucketTable(t.spark, folder(t.spark, "profiled"), ["o_orderkey"], bits=3)
+    table.upsert(t("orders").where("o_orderkey % 3 <> 0"))
+    profile_buckets(table)
+    table.upsert(t("orders").where("o_orderkey % 3 = 0"))
+    return profile_buckets(table).drop("quantiles")
+
+
+@plan(
+    "s11_shared_values",
+    """select 'o_custkey' as "left", 'c_custkey' as "right", count(distinct o_custkey) n_left, count(distinct o_custkey) filter (where o_custkey in (select c_custkey from customer)) n_shared from orders
+union all select 'o_orderkey', 'c_custkey', count(distinct o_orderkey), count(distinct o_orderkey) filter (where o_orderkey in (select c_custkey from customer)) from orders""",
+)
+def s11c(t: Tables):
+    """Which columns of orders hold customers' keys? From the sketches of both tables."""
+    pairs = [("o_custkey", "c_custkey"), ("o_orderkey", "c_custkey")]
+    return shared_values(sketch(t("orders").select("o_custkey", "o_orderkey")), sketch(t("customer").select("c_custkey")), pairs)
+
+
 @plan(
     "s12_bulk_copy",
     """select 'copy_nation' as target, (select count(*) from nation) n_rows, null::varchar skipped
 union all select 'copy_region', (select count(*) from region), null union all select 'copy_lineitem', null, 'no primary key'""",
 )
 def s12(t: Tables):
-    from ..functions.scratch import folder
-
     tables = {n: t(n) for n in ("nation", "region", "lineitem")}
     keys = {"nation": ["n_nationkey"], "region": ["r_regionkey"]}
     path = folder(t.spark, "bulk")
