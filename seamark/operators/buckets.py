@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.canonical import key_text
 from .changes import apply_changes
+from .claims import Claims, Conflict
 from .digests import LEAF_BITS, SUMS, compare_ranges, differing, key_hash, merge, place, row_digest, sums
 from .writes import counted_write, delete_by_key, soft_delete, upsert
 
@@ -31,10 +32,6 @@ MANIFEST = "bucket int, folder string, low_key string, high_key string, n long,
 BUCKET_BITS = 6
 
 
-class Conflict(RuntimeError):
-    """Another writer committed this version first."""
-
-
 @dataclass(frozen=True)
 class Version:
     number: int
@@ -59,6 +56,7 @@ class BucketTable:
         if not 0 < bits <= LEAF_BITS:
             raise ValueError(f"from 1 to {LEAF_BITS} bits")
         self.spark, self.path, self.keys, self.bits = spark, path.rstrip("/"), keys, bits
+        self._versions = Claims(spark, f"{self.path}/versions")
 
     # versions
 
@@ -71,42 +69,18 @@ class BucketTable:
 
     def numbers(self) -> list[int]:
         """Committed versions, in order."""
-        fs, folder = self._fs(), self._hadoop("versions")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n) for n in names if n.isdigit())
+        return self._versions.numbers()
 
     def version(self, number: int | None = None) -> Version | None:
         known = self.numbers()
         if not known or (number is not None and number not in known):
             return None
         number = known[-1] if number is None else number
-        text = self.spark.read.text(f"{self.path}/versions/{number:010d}", wholetext=True).first()["value"]  # one small file
-        v = json.loads(text)
+        v = json.loads(self._versions.read(number))
         return Version(number, v["manifest"], T.StructType.fromJson(v["schema"]), v["batches"], v.get("counts", {}))
 
     def _claim(self, number: int, text: str) -> None:
-        """Make the version's file appear, complete, if there is none of that number."""
-        jvm, fs = self.spark._jvm, self._fs()
-        fs.mkdirs(self._hadoop("versions"))
-        name, temporary = f"versions/{number:010d}", f"versions/_{uuid.uuid4().hex}"
-        out = fs.create(self._hadoop(temporary), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        try:
-            if fs.getUri().getScheme() == "file":
-                paths = [jvm.java.nio.file.Paths.get(self._hadoop(n).toUri().getPath(), self.spark._sc._gateway.new_array(jvm.java.lang.String, 0)) for n in (name, temporary)]
-                jvm.java.nio.file.Files.createLink(*paths)
-            else:
-                files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-                files.rename(self._hadoop(temporary), self._hadoop(name), self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Exception as e:
-            if fs.exists(self._hadoop(name)):
-                raise Conflict(f"version {number} is there already") from e
-            raise
-        finally:
-            fs.delete(self._hadoop(temporary), False)
+        self._versions.claim(number, text)
 
     def manifest(self, version: Version | None = None) -> DataFrame:
         """Buckets of a version: at most 2^bits rows."""

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.predicate import Filter
 from ..functions.scratch import folder
 from ..operators import changes as ch
+from ..operators.buckets import BucketTable
 from ..operators.writes import VersionedTable
 from ..sources.tables import chunked_snapshot
 from ..streaming import echo
 from ..streaming import follow as fo
+from ..streaming.spool import Spool
 from .registry import Tables, plan
 from .sync import COLS, key, orders
 
@@ -211,6 +213,37 @@ def c16(t: Tables):
     return fo.depth(spark.read.schema(log.schema).parquet(landing), delivered)
 
 
+@plan("c16_spool", _FOLD)
+def c16b(t: Tables):
+    """Changes in files, through a spool that holds half of them, to buckets: the stream waits for room, and the delivery under way dies between the target's write and the index, then comes again."""
+    spark, log = t.spark, change_log(t)
+    source, check = folder(spark, "source"), folder(spark, "check")
+    third = F.when(F.col("pos.round") == 2, 3).otherwise(F.col("pos.at") % 3)
+    for i in range(4):  # in the order of files
+        log.where(third == i).coalesce(1).write.mode("append").parquet(source)
+    target = BucketTable(spark, folder(spark, "target"), ["o_orderkey"], bits=2)
+    target.replace(base(t))
+    spool = Spool(spark, folder(spark, "spool"), log.schema, max_rows=max(log.count() // 2, 1))
+    dies = [True]
+
+    def apply(changes, number):
+        target.follow(changes, batch=("spool", number))
+        if dies:
+            dies.pop()
+            raise InterruptedError
+
+    def relieve():
+        try:
+            return spool.deliver(apply)
+        except InterruptedError:
+            return True
+
+    spool.follow(fo.read_changes(spark, source, log.schema, 1), check, relieve).awaitTermination()
+    while relieve():
+        spool.compact(1000)
+    return target.read()
+
+
 @plan("c17_column_signature", "select case when event_id % 3 = 0 then 'a,k' else 'k' end as signature, count(*) n from events group by 1")
 def c17(t: Tables):
     m = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("k"), F.lit("1"), F.lit("a"), F.lit("2"))).otherwise(F.create_map(F.lit("k"), F.lit("1")))

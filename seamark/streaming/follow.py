@@ -25,11 +25,15 @@ class FollowSpec:
     at: str | None = None
 
 
-def read_changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Landed changes as a stream, limited in files for each micro-batch."""
+def read_changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, fmt: str = "parquet", bytes_per_batch: int | None = None) -> DataFrame:
+    """Landed changes as a stream, limited in files or in their bytes for each micro-batch (one file at least)."""
+    if files_per_batch and bytes_per_batch:
+        raise ValueError("a limit in files or one in bytes")
     r = spark.readStream.format(fmt).schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        r = r.option("maxBytesPerTrigger", bytes_per_batch)
     return r.load(path)
 
 
