@@ -8,6 +8,7 @@ from ..functions.predicate import Filter, change_predicate, lookup_in, predicate
 from ..functions.scratch import folder
 from ..operators.buckets import BucketTable
 from ..operators.sketches import profile_buckets, shared_values, sketch
+from ..sources import documents
 from ..sources import tables as src
 from .registry import Tables, plan
 
@@ -136,6 +137,46 @@ def s8(t: Tables):
     return src.infer_document_schema(t("events"), "props")
 
 
+def nested(t: Tables):
+    """An order as a document: objects, arrays of objects and of arrays, a code of two kinds, a wrapped date."""
+    k = F.col("o_orderkey")
+    lines = F.when(k % 3 != 0, F.array(F.struct(F.col("o_totalprice").alias("price")), F.struct(k.cast("double").alias("price")))).otherwise(F.array().cast("array<struct<price:double>>"))
+    doc = F.to_json(F.struct(k.alias("_id"), F.struct(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("a.b")).alias("customer"), lines.alias("lines"), F.array(F.array(k, F.lit(1)), F.array().cast("array<bigint>")).alias("m"), F.struct(F.lit("2024-01-01T00:00:00Z").alias("$date")).alias("at")))
+    code = F.when(k % 2 == 0, '"A"').when(k % 5 == 0, "null").otherwise("7")
+    return t("orders").select("o_orderkey", F.concat(F.lit('{"code":'), code, F.lit(","), F.substring(doc, 2, 1_000_000)).alias("value"))
+
+
+@plan(
+    "s8_nested_schema",
+    """select path, type, n::bigint n_present, z::bigint n_null from (select count(*) c, count(*) filter (where o_orderkey % 3 <> 0) l, count(*) filter (where o_orderkey % 2 <> 0 and o_orderkey % 5 = 0) x from orders),
+lateral (values ('$', 'object', c, 0), ('$._id', 'int', c, 0), ('$.customer', 'object', c, 0), ('$.customer.id', 'int', c, 0), ('$.customer[''a.b'']', 'string', c, 0), ('$.lines', 'array', c, 0),
+('$.lines[]', 'object', 2 * l, 0), ('$.lines[].price', 'double', 2 * l, 0), ('$.m', 'array', c, 0), ('$.m[]', 'array', 2 * c, 0), ('$.m[][]', 'int', 2 * c, 0), ('$.at', 'date', c, 0), ('$.code', 'mixed', c, x)) as v(path, type, n, z)""",
+)
+def s8b(t: Tables):
+    return documents.nested_schema(nested(t), "value").drop("types")
+
+
+@plan(
+    "s7_documents_after",
+    """select o_orderkey, row_number() over (order by kind, n, s) - 1 as place from
+(select o_orderkey, (o_orderkey % 3)::int kind, case when o_orderkey % 3 = 0 then o_orderkey end n, case when o_orderkey % 3 <> 0 then lpad(o_orderkey::varchar, 24, '0') end s from orders)
+where kind > 1 or (kind = 1 and s > '000000000000000000000010') order by kind, n, s limit 5000""",
+)
+def s7b(t: Tables):
+    """A page of documents whose ids are numbers, texts and object ids, from a text on."""
+    k = F.col("o_orderkey")
+    text = F.lpad(k.cast("string"), 24, "0")
+    name = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit('{"$oid":"'), text, F.lit('"}')))
+    docs = src.read_documents(t("orders").select(F.concat(F.lit('{"_id":'), name, F.lit(',"k":'), k.cast("string"), F.lit("}")).alias("value")))
+    page = documents.documents_after(docs, '"000000000000000000000010"', 5000)
+    return chunked_place(page.select(F.variant_get("doc", "$.k", "long").alias("o_orderkey"), (F.variant_get("doc", "$.k", "long") % 3).alias("kind")))
+
+
+def chunked_place(page):
+    """Places in a page of bounded length, by kind and key."""
+    return src.chunked_snapshot(page, [("kind", True), ("o_orderkey", True)], 1000).select("o_orderkey", F.col("row_index").alias("place"))
+
+
 @plan("s9_read_keyspace", "select key, user_id from (select 'user:' || user_id || ':' || event_type as key, min(user_id) user_id from events group by 1) where regexp_full_match(key, 'user:1.*:[cpv][^m-z].*')")
 def s9(t: Tables):
     k = t("events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("key"), "user_id")
