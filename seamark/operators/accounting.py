@@ -121,12 +121,13 @@ def retention(details: DataFrame, jobs: DataFrame, now: dt.datetime, days: int,
     Parked sequences (``protected``: job, sequence) stay.
     """
     cut = F.lit(str(now - dt.timedelta(days=days))).cast("timestamp_ntz")
-    d = details.join(jobs.select("job", "finished_at"), "job", "left")
-    r = F.row_number().over(Window.partitionBy("job").orderBy(F.desc("at"), F.desc("sequence")))
-    d = d.withColumn("_r", r).join(protected.select("job", "sequence", F.lit(True).alias("_p")).distinct(), ["job", "sequence"], "left")
-    finished = F.col("finished_at").isNotNull()
-    keep = F.when(finished, F.col("finished_at") >= cut).otherwise((F.col("at") >= cut) & (F.col("_r") <= newest))
-    return d.where(keep | F.col("_p")).select(*details.columns)
+    ended = jobs.where(F.col("finished_at").isNotNull()).select("job", "finished_at")
+    finished = details.join(ended.where(F.col("finished_at") >= cut), "job", "left_semi")
+    # a filter on the rank alone lets every task keep its newest before the shuffle; older rows than the cut rank behind all others
+    w = Window.partitionBy("job").orderBy(F.desc("at"), F.desc("sequence"))
+    live = details.where(F.col("at") >= cut).join(ended, "job", "left_anti").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= newest).drop("_r")
+    kept = finished.unionByName(live).join(protected, ["job", "sequence"], "left_anti")
+    return kept.unionByName(details.join(protected, ["job", "sequence"], "left_semi")).select(*details.columns)
 
 
 def expire_letters(dead: DataFrame, now: dt.datetime, days: int) -> DataFrame:

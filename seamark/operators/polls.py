@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import key_text
 from ..functions.predicate import Filter, predicate
+from ..sources.tables import chunked_snapshot
 
 
 def poll_increment(df: DataFrame, column: str, cursor: Column, limit: int | None = None, key: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +46,7 @@ def poll_snapshot(df: DataFrame, keys: list[str], seen: DataFrame, max_tracked:
     new = df.withColumn("_k", key_text(keys, df.schema)).join(seen.select(F.col("k").alias("_k")), "_k", "left_anti")
     grown = seen.select("k", "n").union(new.select("_k").distinct().crossJoin(F.broadcast(now)).select(F.col("_k").alias("k"), (F.col("last") + 1).alias("n")))
     if max_tracked is not None:
-        grown = grown.orderBy(F.desc("n"), "k").limit(max_tracked)
+        grown = chunked_snapshot(grown, [("n", False), ("k", True)], max_tracked).where(F.col("row_index") < max_tracked).select("k", "n")
     return new.drop("_k"), grown
 
 
@@ -72,6 +73,13 @@ def usable_cursor(stored: dict | None, strategy: str, column: str | None) -> dic
 
 
 def at_most(rows: DataFrame, column: str, key: list[str], limit: int) -> DataFrame:
-    """At most ``limit`` rows in cursor order, but ties of the last value stay together with it, so none is lost."""
-    edge = rows.where(F.col(f"`{column}`").isNotNull()).orderBy(F.col(f"`{column}`"), *[F.col(f"`{k}`") for k in key]).limit(limit).agg(F.max(f"`{column}`").alias("_edge"))
-    return rows.crossJoin(F.broadcast(edge)).where(F.col(f"`{column}`") <= F.col("_edge")).drop("_edge")  # one row
+    """At most ``limit`` rows in cursor order, but ties of the last value stay together with it, so none is lost.
+
+    The last value is found from counts by ranges of the cursor, so no task
+    holds ``limit`` rows, however many they are. ``key`` breaks ties and so never
+    moves that value.
+    """
+    c = F.col(f"`{column}`")
+    places = chunked_snapshot(rows.select(c.alias("_edge")).where(c.isNotNull()), [("_edge", True)], max(limit, 1))
+    edge = places.where(F.col("row_index") < limit).agg(F.max("_edge").alias("_edge"))
+    return rows.crossJoin(F.broadcast(edge)).where(c <= F.col("_edge")).drop("_edge")  # one row
