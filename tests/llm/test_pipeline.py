@@ -55,10 +55,23 @@ def test_stages_one_by_one(spark, sf_dir):
 
 def test_stages_on_nulls_and_empty(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "some words " * 8, None, None, None), (2, "z" * 30000, "xx", "b", 3)]
-    for data in (rows, []):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, spark.createDataFrame(data, schema), sf_dir).collect()
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null").first()["text"]
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "some words " * 8, None, None, None), (2, "z" * 30000, "xx", "b", 3), (3, "some words " * 8, None, "a", 1), (4, f"before {item} after", "en", "b", 9)]
+    stages = dict(corpus_pipeline.STAGES)
+
+    def ids(name, data):
+        return sorted((r["doc_id"] for r in stages[name](spark, spark.createDataFrame(data, schema), sf_dir).collect()), key=repr)
+
+    assert set(ids("quality rules", rows)) <= {4}  # fewer than ten words, or the same words over and over
+    assert ids("near duplicates", rows)[:2] == [1, 1] and 3 not in ids("near duplicates", rows)  # 3 is a copy of a row of 1
+    assert ids("decontamination", rows) == [1, 1, 2, 3, None]
+    assert ids("decontamination", [*rows, (None, item, "en", "a", 1), (3, item, "en", "a", 1)]) == [1, 1, 2]  # all rows of an id, or without one
+    mixed = ids("mixing", rows)
+    assert {1, 2, 3, 4} <= set(mixed) and all(mixed.count(i) <= 2 * [r[0] for r in rows].count(i) for i in set(mixed))  # at most twice
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in stages["token ids"](spark, spark.createDataFrame(rows, schema), sf_dir).collect()), key=repr)
+    assert len(got) == 6 and (None, 1) in got and (1, 1) in got  # the end id alone
+    for name in stages:
+        assert ids(name, []) == []
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
