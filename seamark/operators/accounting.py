@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canonical import key_text
 
@@ -175,37 +178,67 @@ def summary_metrics(bridges: DataFrame, jobs: DataFrame, deliveries: DataFrame,
     return out
 
 
+def sent_alerts(first: np.ndarray, micros: np.ndarray, span: int) -> np.ndarray:
+    """Which of the alerts are sent, each ``span`` or more after the last sent; they stand by key and time, and ``first`` marks each key's first.
+
+    An alert that comes ``span`` or more after the one before it is always sent,
+    so the rows between two such are walked side by side, one step of all at once.
+    """
+    sent = np.zeros(len(micros), bool)
+    gap = np.diff(micros, prepend=micros[:1])
+    apart = first | (gap >= span)
+    apart[:1] = True
+    clock = np.cumsum(np.where(apart, span, gap))
+    now = np.flatnonzero(apart)
+    ends = np.append(now[1:], len(micros))
+    while len(now):
+        sent[now] = True
+        now = np.maximum(np.searchsorted(clock, clock[now] + span), now + 1)
+        inside = now < ends
+        now, ends = now[inside], ends[inside]
+    return sent
+
+
+def _throttle(seconds: int):
+    span = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number = 0, 0  # when the last alert was sent, and which of its key's it was
+        for b in batches:
+            at, n = b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_numpy()
+            if not len(n):
+                continue
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            micros = at.cast(pa.timestamp("us")).cast(pa.int64()).fill_null(0).to_numpy()
+            # alerts without a time come first in their key, and each is sent; so is the first with one
+            first = (n == 1) | ~known | ~np.append(True, known[:-1])
+            start = 0 if first[0] else 1
+            if start:  # the last sent stands before its key's other alerts
+                first, micros = np.append(True, first), np.append(last, micros)
+            sent = np.flatnonzero(sent_alerts(first, micros, span)[start:])
+            if not len(sent):
+                continue
+            before = np.append(number, n[sent[:-1]])
+            held = np.where(n[sent] == 1, 0, n[sent] - before - 1)
+            last, number = micros[start:][sent[-1]], n[sent[-1]]
+            out = b.take(pa.array(sent))
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(held, pa.int64())], names=[*out.schema.names[:-1], "suppressed"])
+
+    return run
+
+
 def alert_throttle(alerts: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
     """Alerts that are sent: for each key one in ``seconds``, counted from the last *sent*; each carries how many were held back since.
 
-    An alert that comes ``seconds`` or more after the one before it is always
-    sent, so a key's alerts are first cut there by a window; only the pieces,
-    each an unbroken burst, are walked in order. Only key and time move.
+    Each task walks its keys' alerts as one sorted stream of batches, whatever
+    the number of keys and of a key's alerts. Only key and time move. An alert
+    without a time is sent.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
     order = Window.partitionBy(*keys).orderBy("at")
-    before = F.lag("at").over(order)
-    apart = before.isNull() | (F.col("at") >= before + F.expr(f"interval {seconds} seconds"))
-    pieces = alerts.select(*keys, "at").withColumn("_apart", apart.cast("int")).withColumn("_piece", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        last, sent, held = None, [], []
-        for i, t in enumerate(group["at"]):
-            if last is None or (t - last).total_seconds() >= seconds:
-                sent.append(i)
-                held.append(0)
-                last = t
-            else:
-                held[-1] += 1
-        out = group.iloc[sent][[*keys, "at"]].copy()
-        out["_held"] = held
-        return out
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "at")) + ", _held long"
-    sent = pieces.drop("_apart").groupBy(*keys, "_piece").applyInPandas(walk, schema)
-    # what was held back after one alert is told with the next
-    return sent.withColumn("suppressed", F.coalesce(F.lag("_held").over(order), F.lit(0).cast("long"))).drop("_held")
+    number = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = alerts.select(*keys, "at").withColumn("_n", number).sortWithinPartitions(*keys, "at", "_n")
+    schema = T.StructType([alerts.schema[c] for c in (*keys, "at")]).add("suppressed", "long")
+    return rows.mapInArrow(_throttle(seconds), schema)
 
 
 def level_changes(levels: DataFrame) -> DataFrame:

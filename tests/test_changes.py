@@ -1,5 +1,6 @@
 """Folding a change log equals applying it change by change."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -113,3 +114,28 @@ def test_versions_are_idempotent(spark, tmp_path):
     assert v.apply(lambda now: now.union(df), 1)
     assert not v.apply(lambda now: now.union(df), 1)
     assert v.read().count() == 2
+
+
+def test_throttle_equals_a_plain_walk_at_any_batch_size_in_one_pass(spark):
+    r = random.Random(5)
+    span, start = 60, dt.datetime(2024, 1, 1)
+    data = [(k, start + dt.timedelta(seconds=r.randrange(4_000))) for k in [None, *range(12)] for _ in range(r.choice([1, 3, 300]))]
+    want = []
+    for k in {k for k, _ in data}:
+        last, held = None, 0
+        for at in sorted(at for x, at in data if x == k):
+            if last is None or (at - last).total_seconds() >= span:
+                want.append((k, at, held))
+                last, held = at, 0
+            else:
+                held += 1
+    df = spark.createDataFrame(data, "k int, at timestamp_ntz")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert rows(alert_throttle(df, ["k"], span)) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    plan = alert_throttle(df, ["k"], span)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan  # a Python call for each batch of rows, not for each burst
