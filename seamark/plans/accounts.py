@@ -102,7 +102,7 @@ def l7(t: Tables):
     return dead(t).select("c_custkey", "error", F.get_json_object("row", "$.c_mktsegment").alias("segment"))
 
 
-@plan("l8_pending", f"select 'orders-bridge' as bridge, count(*) entries, count(*) n_rows, false as full from customer where ({_REASON}) is not null")
+@plan("l8_pending", f"select 'orders-bridge' as bridge, count(*) entries, count(*) n_rows, count(*) >= 10000 as full from customer where ({_REASON}) is not null having count(*) > 0")
 def l8(t: Tables):
     return ac.pending(dead(t)).select("bridge", "entries", "n_rows", "full")
 
