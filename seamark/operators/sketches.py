@@ -6,7 +6,7 @@ spread. Sketches of parts merge to the sketch of the whole, so what is appended
 is profiled alone, and of a table of buckets only the buckets written since.
 
 Distinct counts are exact up to 2^precision values; beyond that their standard
-error is 2^(-precision/2), 0.8 % by default. Quantiles are within about 1.3 %
+error is 2^(-precision/2), 0.8 % by default, or the column is counted (``exact``). Quantiles are within about 1.3 %
 of the rank asked for. Counts, least and greatest values are exact.
 """
 
@@ -103,13 +103,25 @@ def merge(sketches: DataFrame, precision: int = PRECISION, by: list[str] = ()) -
     )
 
 
-def summary(sketches: DataFrame, n_rows: Column, ranks: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, n_exact``: the distinct values of each column, one aggregate of that column alone for each."""
+    each = [df.agg(F.count_distinct(F.col(f"`{c}`")).alias("n_exact")).select(F.lit(c).alias("column"), "n_exact") for c in columns]
+    return reduce(DataFrame.union, each) if each else df.sparkSession.createDataFrame([], "column string, n_exact long")
+
+
+def full(sketches: DataFrame, precision: int = PRECISION) -> set[str]:
+    """Columns with too many distinct values for an exact count by their sketch."""
+    return {r["column"] for r in sketches.where(F.theta_sketch_estimate("distinct") >= 1 << precision).select("column").collect()}
+
+
+def summary(sketches: DataFrame, n_rows: Column, ranks: tuple[float, ...] = (0.25, 0.5, 0.75), exact: DataFrame | None = None) -> DataFrame:
     """``column, type, n_rows, n_null, n_distinct, is_unique, low, high, quantiles, low_text, high_text`` of merged sketches.
 
     ``low``, ``high`` and ``quantiles`` are numbers; dates count in days and
     times in microseconds since 1970. They are null for other types and for
     columns without a number. ``is_unique`` tells that no value is NULL or seen
-    twice, as far as ``n_distinct`` is exact.
+    twice, as far as ``n_distinct`` is exact; ``exact`` (``distinct_counts``)
+    goes before the sketch where it has the column.
     """
 
     def at(rank: float) -> Column:
@@ -117,27 +129,45 @@ def summary(sketches: DataFrame, n_rows: Column, ranks: tuple[float, ...] = (0.2
         return F.coalesce(whole, F.when(F.kll_sketch_get_n_double("doubles") > 0, F.kll_sketch_get_quantile_double("doubles", F.lit(rank))))
 
     n_distinct = F.coalesce(F.theta_sketch_estimate("distinct"), F.lit(0))
+    if exact is not None:
+        sketches = sketches.join(F.broadcast(exact), "column", "left")
+        n_distinct = F.coalesce("n_exact", n_distinct)
     spread = F.array(*map(at, ranks))
     out = sketches.select("column", "type", n_rows.cast("long").alias("n_rows"), "n_values", n_distinct.alias("n_distinct"), at(0.0).alias("low"), at(1.0).alias("high"), spread.alias("quantiles"), "low_text", "high_text")
     out = out.withColumns({"n_null": F.col("n_rows") - F.col("n_values"), "is_unique": (F.col("n_rows") == F.col("n_values")) & (F.col("n_distinct") == F.col("n_rows"))})
     return out.withColumn("quantiles", F.when(F.col("low").isNotNull(), F.col("quantiles"))).drop("n_values")
 
 
-def shared_values(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def shared_values(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], precision: int = PRECISION, exact: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``left, right, n_left, n_shared`` of pairs of columns of one type, from two sketches alone: does one refer to the other?
 
-    Exact while both have fewer than 2^precision values; else an estimate of the intersection.
+    Exact while both have fewer than 2^precision values; else an estimate of the
+    intersection. With the two tables as ``exact``, pairs with a column beyond
+    that are counted by a join of their distinct values, and only these columns are read.
     """
     wanted = reduce(Column.__or__, [(F.col("left") == a) & (F.col("right") == b) for a, b in pairs])
     a = left.select(F.col("column").alias("left"), "type", F.col("distinct").alias("_a"))
     b = right.select(F.col("column").alias("right"), "type", F.col("distinct").alias("_b"))
     both = a.join(b, "type").where(wanted & F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    return both.select("left", "right", F.theta_sketch_estimate("_a").alias("n_left"), F.theta_sketch_estimate(F.theta_intersection("_a", "_b")).alias("n_shared"))
-
-
-def profile_buckets(table: BucketTable, version: Version | None = None, precision: int = PRECISION) -> DataFrame:
+    n_left, n_shared = F.theta_sketch_estimate("_a"), F.theta_sketch_estimate(F.theta_intersection("_a", "_b"))
+    if exact is None:
+        return both.select("left", "right", n_left.alias("n_left"), n_shared.alias("n_shared"))
+    beyond = F.greatest(n_left, F.theta_sketch_estimate("_b")) >= 1 << precision
+    found = [(r["left"], r["right"], r["n_left"], r["n_shared"], r["beyond"]) for r in both.select("left", "right", n_left.alias("n_left"), n_shared.alias("n_shared"), beyond.alias("beyond")).collect()]  # a row for each pair
+    out = [left.sparkSession.createDataFrame([r[:4] for r in found if not r[4]], "left string, right string, n_left long, n_shared long")]
+    for x, y in [r[:2] for r in found if r[4]]:
+        values, others = (df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct() for df, c in zip(exact, (x, y), strict=True))
+        hits = values.join(others.withColumn("hit", F.lit(1)), "v", "left")
+        out.append(hits.agg(F.count("v").alias("n_left"), F.count("hit").alias("n_shared")).select(F.lit(x).alias("left"), F.lit(y).alias("right"), "n_left", "n_shared"))
+    return reduce(DataFrame.union, out)
+
+
+def profile_buckets(table: BucketTable, version: Version | None = None, precision: int = PRECISION, exact: bool = False) -> DataFrame:
     """The ``summary`` of a version of a bucketed table; only buckets that no earlier profile saw are read.
 
+    ``exact``: columns whose distinct values are too many for their sketch are
+    read as well, each alone, and counted.
+
     Sketches stand beside the buckets, each row with its folder's name, which no
     two writes share; so a crash or two profiles at once leave at most rows that
     are alike, of which one counts. Columns added later are NULL in older buckets.
@@ -163,4 +193,5 @@ def profile_buckets(table: BucketTable, version: Version | None = None, precisio
     none = spark.createDataFrame([(c, k, 0, None, None, None, None, None) for c, k in sorted(kinds)], SKETCH)
     merged = merge(found.select(none.columns).unionByName(none), precision)
     current = merged.join(F.broadcast(none.select("column", "type")), ["column", "type"], "left_semi")
-    return summary(current, F.lit(sum(r["n"] for r in manifest)))
+    counts = distinct_counts(table._rows(v), sorted(full(current, precision))) if exact else None
+    return summary(current, F.lit(sum(r["n"] for r in manifest)), exact=counts)

@@ -82,3 +82,16 @@ def test_shared_values_need_one_type(spark):
     a, b = sketch(spark.range(10).select(F.col("id").alias("x"), F.col("id").cast("string").alias("y"))), sketch(spark.range(5, 20).select(F.col("id").alias("z")))
     got = shared_values(a, b, [("x", "z"), ("y", "z")]).collect()
     assert [tuple(r) for r in got] == [("x", "z", 10, 5)]
+
+
+def test_counts_beyond_the_sketch_are_exact_where_asked(spark, tmp_path):
+    df = spark.range(3_000).select("id", (F.col("id") % 2_000).alias("twice"), (F.col("id") % 9).alias("few"), F.when(F.col("id") > 5, F.col("id")).alias("gap"))
+    table = BucketTable(spark, str(tmp_path), ["id"], bits=2)
+    table.upsert(df)
+    got = {r["column"]: (r["n_distinct"], r["is_unique"]) for r in profile_buckets(table, precision=8, exact=True).collect()}
+    assert got == {"id": (3_000, True), "twice": (2_000, False), "few": (9, False), "gap": (2_994, False)}
+    other = spark.range(1_000, 5_000, 3).select(F.col("id").alias("key"))
+    pairs = [("gap", "key"), ("few", "key"), ("few", "few")]
+    left, right = df.select("gap", "few"), other.withColumn("few", F.col("key") % 4)
+    shared = shared_values(sketch(left, 8), sketch(right, 8), pairs, 8, (left, right)).collect()
+    assert {(r["left"], r["right"]): (r["n_left"], r["n_shared"]) for r in shared} == {("gap", "key"): (2_994, 667), ("few", "key"): (9, 0), ("few", "few"): (9, 4)}
