@@ -1,5 +1,6 @@
 import math
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -209,3 +210,24 @@ def test_language(spark):
     assert all(0 <= x["score"] <= 1 for x in got.values())
     assert langid.fit(df.limit(0), F.lit(True)) == []
     assert {x["lang_pred"] for x in langid.identify(df, []).collect()} == {"und"}
+
+
+def test_languages_beyond_one_broadcast_are_scored_in_rounds_and_lose_no_ngram(spark, monkeypatch):
+    r = random.Random(8)
+    say = lambda k: " ".join("".join(r.choices("abcdefgh"[k:] + "xyz", k=5)) for _ in range(60))
+    data = [(40 * k + i, say(k), lang) for k, lang in enumerate(["en", "de", "fr", None]) for i in range(40)] + [(900, "", "en"), (901, None, None), (902, say(0), "alone")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    want = sorted(map(tuple, kn.quality_rules(df).collect()))
+    calls, collect = [], kn.collect_models
+
+    def collected(weights):
+        models = collect(weights)
+        calls.append({(*key, size): [len(a) for a in arrays] for key, sizes in models.items() for size, arrays in sizes.items()})
+        return models
+
+    monkeypatch.setattr(kn, "collect_models", collected)
+    kn.quality_rules(df)
+    monkeypatch.setattr(kn, "rounds", partial(kn.rounds, most=1))
+    assert sorted(map(tuple, kn.quality_rules(df).collect())) == want
+    whole, *each = calls
+    assert len(each) == len({k[:2] for k in whole}) and {k: v for part in each for k, v in part.items()} == whole
