@@ -45,15 +45,15 @@ def kind_of(t: T.DataType) -> str:
 
 def number_text(c: Column) -> Column:
     """Canonical digits: no leading plus or zeros, no trailing fraction zeros, no exponent, ``-0`` is ``0``; other text is NULL."""
-    s = F.trim(c.cast("string"))
+    s = F.btrim(c.cast("string"), F.lit(" \t\n\x0b\f\r"))  # what NUMBER passes over
     plain = F.when(s.rlike("[eE]"), s.try_cast("decimal(38,12)").cast("string")).otherwise(s)
-    sign = F.when(F.startswith(plain, F.lit("-")), "-").otherwise("")
-    digits = F.regexp_replace(plain, r"^[+-]", "")
-    whole = F.regexp_replace(F.substring_index(digits, ".", 1), "^0+", "")
-    part = F.when(F.contains(digits, F.lit(".")), F.regexp_replace(F.substring_index(digits, ".", -1), "0+$", "")).otherwise("")
-    whole = F.when(whole == "", "0").otherwise(whole)
-    out = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
-    return F.when(s.rlike(NUMBER), F.when(out == "0", out).otherwise(F.concat(sign, out)))
+    # each step reads the one before once: an expression named twice is evaluated twice
+    out = F.regexp_replace(plain, r"^\+", "")
+    out = F.regexp_replace(out, r"^(-?)0*(?=\d|\.|$)", "$1")  # leading zeros, all of them
+    out = F.regexp_replace(out, r"(\.\d*?)0+$", "$1")
+    out = F.regexp_replace(out, r"\.$", "")
+    out = F.regexp_replace(out, r"^(-?)(?=\.|$)", "$10")
+    return F.when(s.rlike(NUMBER), F.regexp_replace(out, "^-0$", "0"))
 
 
 def boolean_of(c: Column, t: T.DataType) -> Column:

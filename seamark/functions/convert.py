@@ -126,6 +126,12 @@ def digits_of(c: Column) -> Column:
     return F.length(F.regexp_replace(number_text(c), r"[^0-9]", ""))
 
 
+def more_digits(c: Column, most: int) -> Column:
+    """Has a number more than ``most`` digits? Text that is no longer has not, unless it has an exponent; only the rest is made canonical."""
+    text = c.cast("string")
+    return ((F.length(text) > most) | F.contains(text, F.lit("E"))) & (digits_of(c) > most)
+
+
 def scale_of(c: Column) -> Column:
     n = number_text(c)
     return F.when(F.contains(n, F.lit(".")), F.length(F.substring_index(n, ".", -1))).otherwise(0)
@@ -150,13 +156,13 @@ def rules_for(target: str, schema: T.StructType, keys: list[str] = (), limits: d
             if text:
                 out.append(Rule(n, "length", F.length(c) > min(limits.get(n, 16_383), 255 if n in keys else 16_383)))
             if number:
-                out.append(Rule(n, "digits", digits_of(c) > 65))
+                out.append(Rule(n, "digits", more_digits(c, 65)))
                 out.append(Rule(n, "scale", scale_of(c) > 30))
             if isinstance(t, T.TimestampType):
                 out.append(Rule(n, "zone", c.isNotNull()))
         elif target == "sqlite":
             if number:
-                out.append(Rule(n, "digits", digits_of(c) > 15))
+                out.append(Rule(n, "digits", more_digits(c, 15)))
         elif target == "document":
             if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
                 out.append(Rule(n, "fraction of second", c != F.date_trunc("MILLISECOND", c)))

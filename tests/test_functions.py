@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seamark.functions.canonical import canonical, key_text
+from seamark.functions.canonical import canonical, key_text, number_text
+from seamark.functions.convert import digits_of, more_digits
 from seamark.functions.payload import render_key, render_payload
 from seamark.functions.predicate import Filter, predicate
 from seamark.functions.shaping import Cast, Mask, Set, shape_rows, volatile_columns
@@ -153,3 +154,19 @@ def test_echoes_are_consumed_in_order(spark, tmp_path):
 
 def test_rows_helper(spark):
     assert rows(one(spark, "a")) == [("a",)]
+
+
+def test_number_text_is_canonical_and_names_its_parts_once(spark):
+    texts = {"+007.500": "7.5", "-0": "0", "-0.00": "0", "+0": "0", "000": "0", ".5": "0.5", "-.5": "-0.5", "5.": "5", "-00.10": "-0.1", "100": "100", "1e3": "1000", "-2.50E1": "-25", " 10.0 ": "10", "\t0\n": "0", "0.001": "0.001", "x": None, "": None, "-": None, ".": None, "1.2.3": None}
+    got = spark.createDataFrame([(x,) for x in texts], "v string").select("v", number_text(F.col("v")).alias("n")).collect()
+    assert {r["v"]: r["n"] for r in got} == texts
+    plan = spark.range(1).select(number_text(F.col("id").cast("double")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(id") <= 5  # it was 60 and more
+
+
+def test_more_digits_equals_a_count_of_canonical_digits(spark):
+    values = [0.0, -0.0, 0.1 + 0.2, 1e15, 1e14, 123456789012345.0, 1234567890123456.0, 1e-7, 1e20, -1e22, 5e-324, 123456.123456789, float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in values], "v double").select("v", F.col("v").try_cast("decimal(38,10)").alias("d"))
+    for c in ("v", "d"):
+        wrong = df.where(~F.coalesce(more_digits(F.col(c), 15), F.lit(False)).eqNullSafe(F.coalesce(digits_of(F.col(c)) > 15, F.lit(False))))
+        assert wrong.collect() == []
