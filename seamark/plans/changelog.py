@@ -219,8 +219,6 @@ def c16b(t: Tables):
     spark, log = t.spark, change_log(t)
     source, check = folder(spark, "source"), folder(spark, "check")
     third = F.when(F.col("pos.round") == 2, 3).otherwise(F.col("pos.at") % 3)
-    for i in range(4):  # in the order of files
-        log.where(third == i).coalesce(1).write.mode("append").parquet(source)
     target = BucketTable(spark, folder(spark, "target"), ["o_orderkey"], bits=2)
     target.replace(base(t))
     spool = Spool(spark, folder(spark, "spool"), log.schema, max_rows=max(log.count() // 2, 1))
@@ -238,7 +236,9 @@ def c16b(t: Tables):
         except InterruptedError:
             return True
 
-    spool.follow(fo.read_changes(spark, source, log.schema, 1), check, relieve).awaitTermination()
+    for i in range(4):  # a batch each, of as many files as there were tasks
+        log.where(third == i).write.mode("append").parquet(source)
+        spool.follow(fo.read_changes(spark, source, log.schema), check, relieve).awaitTermination()
     while relieve():
         spool.compact(1000)
     return target.read()
