@@ -30,8 +30,8 @@ millions is spread over many tasks. Every size takes this one way.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,47 +55,57 @@ MEET = 25
 NEAR = 10
 #: Base of the windows' hash.
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLIERS = splitmix(np.arange(2000, 2000 + BANDS, dtype=U64)) | U64(1)
 
 
-def chosen(h: np.ndarray, width: int) -> np.ndarray:
-    """Places picked by winnowing: of every ``width`` neighbouring word pairs, the first with the least hash."""
-    pair = shingle_hashes(h, 2)
-    if len(h) < 2:
-        return np.zeros(0, np.int64)
-    width = min(width, len(pair))
-    low = np.lib.stride_tricks.sliding_window_view(pair, width).argmin(1) + np.arange(len(pair) - width + 1)
-    return low[np.concatenate([[True], low[1:] != low[:-1]])]
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbouring values."""
+    w = 1
+    while 2 * w <= width:
+        values, w = np.minimum(values[:-w], values[w:]), 2 * w
+    return values if w == width else np.minimum(values[: len(values) - (width - w)], values[width - w :])
 
 
-def paragraphs(h: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """``(start, band keys)`` of a text's paragraphs; a text of fewer than ``least`` words has none."""
-    none = np.zeros(0, np.int64), np.zeros((0, BANDS), U64)
-    if len(h) < max(least, SPAN):
-        return none
-    start = np.clip(chosen(h, max(1, least - SPAN)) - SPAN // 2, 0, len(h) - SPAN)
-    start = start[np.concatenate([[True], start[1:] != start[:-1]])]
+def paragraphs(h: np.ndarray, lengths: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start, band keys)`` of the paragraphs of texts whose word hashes lie end to end; texts of fewer than ``least`` words have none.
+
+    Places are picked by winnowing: of every ``least`` - SPAN neighbouring word pairs, the first with the least hash.
+    """
+    ends = np.cumsum(lengths)
+    width = max(1, least - SPAN)
+    texts = np.flatnonzero(lengths >= max(least, SPAN))
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS), U64)
+    # the place in the low bits: of equal hashes the first is less
+    bits = U64((1 << int(len(h)).bit_length()) - 1)
+    least_of = _least((shingle_hashes(h, 2) & ~bits) | np.arange(len(h) - 1, dtype=U64), width) & bits
+    windows = lengths[texts] - width
+    text = np.repeat(texts, windows)
+    begin = ends[texts] - lengths[texts]
+    start = least_of[np.arange(len(text)) + np.repeat(begin - (np.cumsum(windows) - windows), windows)].astype(np.int64)
+    keep = np.concatenate([[True], start[1:] != start[:-1]])
+    text, start = text[keep], start[keep]
+    begin = ends[text] - lengths[text]
+    start = np.clip(start - SPAN // 2, begin, ends[text] - SPAN)
+    keep = np.concatenate([[True], start[1:] != start[:-1]])
+    text, start, begin = text[keep], start[keep], begin[keep]
     grams = shingle_hashes(h, SHINGLE)
-    both = np.stack([start, start + SPAN - SHINGLE + 1], 1).ravel()
-    both = both[:-1] if both[-1] >= len(grams) else both
     with np.errstate(over="ignore"):
-        low = np.stack([np.minimum.reduceat(grams * m, both)[::2] for m in _MULTIPLIERS], 1)
+        low = np.stack([_least(grams * m, SPAN - SHINGLE + 1)[start] for m in _MULTIPLIERS], 1)
     keys = splitmix(low + splitmix(np.arange(BANDS, dtype=U64)))
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])  # one word over and over has one paragraph
-    return start[new], keys[new]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1) | (text[1:] != text[:-1])])  # one word over and over has one paragraph
+    return text[new], (start - begin)[new], keys[new]
 
 
 def _emit(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: WordHashes = WordHashes()
         for b, texts in text_slices(batches, "text", 1 << 20):
-            out: list[list[np.ndarray]] = [[], [], []]
-            for k, text in zip(b.column(0).to_pylist(), texts, strict=True):
-                start, keys = paragraphs(cache.of(text.split()), least)
-                out[0].append(keys.T.ravel().view(np.int64))
-                out[1].append(np.full(len(start) * BANDS, k, np.int64))
-                out[2].append(np.tile(start.astype(np.int32), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["bk", "k", "p"])
+            words = [t.split() for t in texts]
+            text, start, keys = paragraphs(cache.of([w for ws in words for w in ws]), np.array([len(w) for w in words], np.int64), least)
+            out = [keys.T.ravel().view(np.int64), np.tile(b.column(0).to_numpy()[text], BANDS), np.tile(start.astype(np.int32), BANDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["bk", "k", "p"])
 
     return run
 
@@ -179,6 +189,11 @@ def _stretches(ga: np.ndarray, gb: np.ndarray, blocks: list[tuple[int, int, int]
     From block x to block y, shared >= SIMILAR * (mine + other - shared) is a
     difference of two prefix sums, so the first x of each y is a binary search.
     """
+    (first_i, first_j, _), (last_i, last_j, last_n) = blocks[0], blocks[-1]
+    if min(last_i - first_i, last_j - first_j) + last_n < least:
+        return []
+    if len(blocks) == 1:
+        return [(first_i, first_i + last_n, first_j, first_j + last_n, 1.0)]
     out, todo = [], [(0, len(blocks))]
     i, j, n = (np.array(x) for x in zip(*blocks, strict=True))
     shared = np.cumsum(np.maximum(n - SHINGLE + 1, 0))
@@ -203,21 +218,24 @@ def _stretches(ga: np.ndarray, gb: np.ndarray, blocks: list[tuple[int, int, int]
     return out
 
 
-def passages(a: np.ndarray, b: np.ndarray, links: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int, float]]:
-    """Verified ``(start, end, other start, other end, similarity)`` of two texts' word hashes."""
-    ga, gb = shingle_hashes(a, SHINGLE), shingle_hashes(b, SHINGLE)
+def passages(mine: Pieces, other: Pieces, links: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int, float]]:
+    """Verified ``(start, end, other start, other end, similarity)`` of two texts' pieces."""
+    a, b, ga, gb = mine.h, other.h, mine.grams, other.grams
     out: list[tuple[int, int, int, int, float]] = []
     seen: list[tuple[int, int, int, int]] = []
     width = SPAN - SHINGLE + 1
     for p, lp in links:
         if any(s <= p < e and p - s == lp - u for s, e, u, _ in seen):
             continue
-        x, y = np.nonzero(ga[p : p + width, None] == gb[None, lp : lp + width])
-        if not len(x):
-            continue
-        i, j = p + int(x[0]), lp + int(y[0])
-        if any(s <= i < e and u <= j < v and i - s == j - u for s, e, u, v in seen):
-            continue
+        if ga[p] == gb[lp]:
+            i, j = p, lp
+        else:
+            x, y = np.nonzero(ga[p : p + width, None] == gb[None, lp : lp + width])
+            if not len(x):
+                continue
+            i, j = p + int(x[0]), lp + int(y[0])
+            if any(s <= i < e and u <= j < v and i - s == j - u for s, e, u, v in seen):
+                continue
         right = _blocks(a, b, ga, gb, i, j)
         if not right or right[0][2] < SHINGLE:
             continue
@@ -252,39 +270,73 @@ def cut_out(h: np.ndarray, places: list[int], around: int) -> tuple[list[int], l
 class Pieces:
     """Words of pieces laid end to end, between them marks that equal nothing and that no alignment can jump."""
 
-    def __init__(self, at: list[int], words: list[bytes], mark: int):
-        parts, self.start, n = [], [], 0
-        for piece in words:
-            h = np.frombuffer(piece, "<u4").astype(U64)
-            self.start.append(n)
-            parts += [h, np.arange(n, n + JUMP + 1, dtype=U64) + U64(mark)]
-            n += len(h) + JUMP + 1
-        self.at, self.h = at, np.concatenate(parts)
-
-    def here(self, p: int) -> int:
-        k = bisect_right(self.at, p) - 1
+    def __init__(self, at: np.ndarray, words: list[bytes], mark: int):
+        sizes = np.array([len(x) // 4 + JUMP + 1 for x in words])
+        ends = np.cumsum(sizes)
+        self.at, self.start, self.end = at, ends - sizes, ends - JUMP - 1
+        self.h = np.arange(ends[-1]).astype(U64) + U64(mark)
+        for s, e, x in zip(self.start.tolist(), self.end.tolist(), words, strict=True):
+            self.h[s:e] = np.frombuffer(x, "<u4")
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        return shingle_hashes(self.h, SHINGLE)
+
+    @cached_property
+    def _sums(self) -> np.ndarray:
+        """Sums of the words' hashes, each times its place's power, up to each place."""
+        with np.errstate(over="ignore"):
+            return np.concatenate([np.zeros(1, U64), np.cumsum(splitmix(self.h) * _powers(_BASE, len(self.h)), dtype=U64)])
+
+    def here(self, p: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.at, p, "right") - 1
         return self.start[k] + p - self.at[k]
 
     def there(self, x: int) -> int:
-        k = bisect_right(self.start, x) - 1
-        return self.at[k] + x - self.start[k]
-
-    def windows(self, p: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(start, key)`` of every STEP-th window of ``width`` words that holds the paragraph at ``p``."""
-        k = bisect_right(self.at, p) - 1
-        low, x = self.start[k], self.here(p)
-        high = (self.start[k + 1] if k + 1 < len(self.start) else len(self.h)) - JUMP - 1
-        starts = [s for s in range(x - (width - SPAN) // STEP * STEP, x + 1, STEP) if low <= s and s + width <= high]
-        if not starts:
-            return np.zeros(0, np.int32), np.zeros(0, U64)
+        k = int(np.searchsorted(self.start, x, "right")) - 1
+        return int(self.at[k] + x - self.start[k])
+
+    def runs(self, starts: np.ndarray, width: int) -> np.ndarray:
+        """The same hash for the same ``width`` words, wherever they begin."""
         with np.errstate(over="ignore"):
-            keys = splitmix((np.lib.stride_tricks.sliding_window_view(splitmix(self.h[starts[0] : starts[-1] + width]), width)[::STEP] * _powers(width)).sum(1, dtype=U64))
-        return np.array(starts, np.int32) + np.int32(self.at[k] - low), keys
+            return (self._sums[starts + width] - self._sums[starts]) * _powers(_INVERSE, len(self.h))[starts]
+
+    def windows(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(start, key)`` of windows of ``width`` words near the paragraphs at ``places``.
+
+        Of STEP + 1 neighbouring ones, that with the least key; so who shares STEP words more shares one.
+        """
+        x = self.here(places)
+        near = np.zeros(len(self.h) + 1, np.int32)
+        k = np.searchsorted(self.start, x, "right") - 1
+        low, high = np.maximum(x - (width - SPAN) - STEP, self.start[k]), np.minimum(x + STEP, self.end[k] - width) + 1
+        low, high = low[low < high], high[low < high]
+        np.add.at(near, low, 1)
+        np.add.at(near, high, -1)
+        starts = np.flatnonzero(np.cumsum(near) > 0)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, U64)
+        keys = splitmix(self.runs(starts, width))
+        rank = np.full(starts[-1] - starts[0] + 1 + 2 * STEP, ~U64(0))
+        rank[starts - starts[0] + STEP] = keys
+        least = _least(rank, STEP + 1)  # at i: of the STEP windows before start i and itself
+        keep = np.zeros(len(starts), bool)
+        at = starts - starts[0]
+        for j in range(STEP + 1):
+            keep |= least[at + j] == keys
+        k = np.searchsorted(self.start, starts[keep], "right") - 1
+        return (starts[keep] + self.at[k] - self.start[k]).astype(np.int32), keys[keep]
+
+
+@lru_cache(maxsize=8)
+def _table(base: int, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, base, U64), dtype=U64)])
 
 
-def _powers(width: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(width, _BASE, U64), dtype=U64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``, modulo 2^64."""
+    return _table(base, max(1 << 12, 1 << n.bit_length()))[:n]
 
 
 def _slices(id_type: pa.DataType):
@@ -317,38 +369,40 @@ def _verify(least: int, id_type: pa.DataType):
         lead = None
         for b in batches:
             column = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+            lk, k, ids, mate = (column[name].to_pylist() for name in ("lk", "k", "id", "mate"))
+            links, own = _lists(column["links"], "p", "lp"), _lists(column["own"], "lp", "p")
+            wide, starts = _lists(column["wide"]), _lists(column["at"])
             rows: list[tuple] = []
             met: list[tuple[int, np.ndarray, np.ndarray]] = []
             for at in range(b.num_rows):
-                row = {name: c[at].as_py() for name, c in column.items()}
-                pieces = Pieces(row["at"], row["words"], 1 << (40 + row["mate"]))
-                if not row["mate"]:  # rows arrive sorted: a text's own slices, then its mates'
-                    own: dict[int, list[int]] = {}
-                    for x in row["own"]:
-                        own.setdefault(x["lp"], []).append(x["p"])
-                    lead, other, wide, shown = row, pieces, set(row["wide"]), set()
+                pieces = Pieces(starts(at)[0], column["words"][at].as_py(), 1 << (40 + mate[at]))
+                if not mate[at]:  # rows arrive sorted: a text's own slices, then its mates'
+                    again: dict[int, list[int]] = {}
+                    for lp, p in zip(*(x.tolist() for x in own(at)), strict=True):
+                        again.setdefault(lp, []).append(p)
+                    lead_id, other, in_wide, shown = ids[at], pieces, set(wide(at)[0].tolist()), set()
                     continue
-                links = {(x["p"], x["lp"]) for x in row["links"]}
-                first: dict[int, int] = {}
-                for p, lp in sorted(links):
-                    first.setdefault(lp, p)
-                links |= {(p, again) for lp, p in first.items() for again in own.get(lp, ())}
-                near = sorted((pieces.here(p), other.here(lp)) for p, lp in links)
-                found = passages(pieces.h, other.h, near, least)
+                p, lp = links(at)
+                if again:
+                    pairs = set(zip(p.tolist(), lp.tolist(), strict=True))
+                    first: dict[int, int] = {}
+                    for x, y in sorted(pairs):
+                        first.setdefault(y, x)
+                    pairs |= {(x, z) for y, x in first.items() for z in again.get(y, ())}
+                    p, lp = (np.array(x) for x in zip(*pairs, strict=True))
+                near = sorted(zip(pieces.here(p).tolist(), other.here(lp).tolist(), strict=True))
+                found = passages(pieces, other, near, least)
                 found = [(pieces.there(s), pieces.there(e - 1) + 1, other.there(u), other.there(v - 1) + 1, r) for s, e, u, v, r in found]
-                rows += [(row["k"], row["id"], s, e, lead["k"], lead["id"], u, v, r, None) for s, e, u, v, r in found]
-                done = set()
-                for p, lp in sorted(links) if wide else ():
-                    # deep inside a passage, whoever shares a window of this text shares it with the leading text
-                    if lp in wide and not any((s == 0 or s <= p - reach) and p + SPAN + reach <= e and u <= lp < v for s, e, u, v, _ in found):
-                        if p not in done:
-                            done.add(p)
-                            met.append((row["k"], *pieces.windows(p, least)))
-                        if lp not in shown:
-                            shown.add(lp)
-                            met.append((lead["k"], *other.windows(lp, least)))
-                if done:  # ids of the texts whose windows follow
-                    rows += [(x["k"], x["id"], None, None, None, None, None, None, None, None) for x in (row, lead)]
+                rows += [(k[at], ids[at], s, e, lk[at], lead_id, u, v, r, None) for s, e, u, v, r in found]
+                # deep inside a passage, whoever shares a window of this text shares it with the leading text
+                failed = [(x, y) for x, y in zip(p.tolist(), lp.tolist(), strict=True) if y in in_wide and not any((s == 0 or s <= x - reach) and x + SPAN + reach <= e and u <= y < v for s, e, u, v, _ in found)]
+                if failed:
+                    met.append((k[at], *pieces.windows(np.unique([x for x, _ in failed]), least)))
+                    if fresh := {y for _, y in failed} - shown:
+                        shown |= fresh
+                        met.append((lk[at], *other.windows(np.array(sorted(fresh)), least)))
+                    # ids of the texts whose windows follow
+                    rows += [(x, i, None, None, None, None, None, None, None, None) for x, i in ((k[at], ids[at]), (lk[at], lead_id))]
             if met:
                 n = [len(x[1]) for x in met]
                 own_columns = {"k": np.repeat([x[0] for x in met], n), "s": np.concatenate([x[1] for x in met]), "wk": np.concatenate([x[2] for x in met]).view(np.int64)}
@@ -359,6 +413,13 @@ def _verify(least: int, id_type: pa.DataType):
     return run
 
 
+def _lists(column: pa.Array, *fields: str):
+    """Of a column of lists: what gives the numbers of one row's list, or the named fields of its structs."""
+    ends, values = column.offsets.to_numpy(), column.values
+    parts = [(values.field(f) if fields else values).to_numpy() for f in fields or ("",)]
+    return lambda at: [x[ends[at] : ends[at + 1]] for x in parts]
+
+
 def _checked(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
     """Passages of all linked texts, and as rows with a ``wk`` the windows by which texts are met again; see FOUND."""
     mate = "k <> lk"
@@ -389,7 +450,7 @@ def _again(checked: DataFrame, least: int) -> DataFrame:
     links = linked(checked.where("wk is not null").select("wk", "k", F.col("s").alias("p")), "wk")
     met = links.where("k <> lk").select("k", "lk", "p", (F.col("lp") - F.col("p")).alias("shift")).distinct()
     order = Window.partitionBy("k", "lk", "shift").orderBy("p")  # within one text's places
-    new = met.withColumn("new", F.coalesce((F.col("p") - F.lag("p").over(order) > STEP).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    new = met.withColumn("new", F.coalesce((F.col("p") - F.lag("p").over(order) > STEP + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
     out = new.groupBy("k", "lk", "shift", "run").agg(F.min("p").alias("s"), (F.max("p") + least).alias("e"))
     out = out.select("k", "s", "e", "lk", (F.col("s") + F.col("shift")).alias("u"), (F.col("e") + F.col("shift")).alias("v"), F.lit(1.0).alias("similarity"))
     held = checked.where("similarity is not null").select("k", "lk", "s", "e", "u", "v").alias("f")

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
 
 from seamark.llm import passages
+from seamark.llm.text import WordHashes, shingle_hashes
+
 
 def test_passages(spark):
     r = random.Random(4)
@@ -184,3 +187,25 @@ def test_given_documents_agree(spark):
     rows = [x.asDict() for x in QUERIES["op7_passages"](spark, "/root/testdata/sf0.01").collect()]
     assert len(rows) > 100
     agree(rows)
+
+
+def test_paragraphs_of_many_texts_are_those_of_each_alone():
+    """A plain walk: of 30 neighbouring word pairs the first with the least hash, and the least shingle of 20 words around it."""
+    r = random.Random(41)
+    words = [[f"w{r.randrange(m)}" for _ in range(n)] for n, m in ((0, 9), (49, 99), (50, 9**9), (300, 40), (400, 1), (1, 9), (700, 9**9))]
+    cache = WordHashes()
+    hashes = [cache.of([w.encode() for w in t]) for t in words]
+    text, start, keys = passages.paragraphs(np.concatenate(hashes), np.array([len(h) for h in hashes]))
+    want = []
+    for t, h in enumerate(hashes):
+        pair, grams, last, previous = shingle_hashes(h, 2), shingle_hashes(h, 5), None, None
+        for at in range(len(h) - 30 if len(h) >= 50 else 0):
+            least = at + int(pair[at : at + 30].argmin())
+            s = min(max(least - 10, 0), len(h) - 20)
+            key = [int((grams[s : s + 16] * m).min()) for m in passages._MULTIPLIERS]
+            if s != last and key != previous:
+                want.append((t, s, key))
+                previous = key
+            last = s
+    low = [[int(x) for x in passages.splitmix(np.array(key, np.uint64) + passages.splitmix(np.arange(2, dtype=np.uint64)))] for _, _, key in want]
+    assert [(t, s) for t, s, _ in want] == list(zip(text.tolist(), start.tolist(), strict=True)) and low == keys.tolist()
