@@ -14,8 +14,11 @@ LEAST_WORDS words or more whose sets of 5-word shingles have an exact Jaccard
 similarity of SIMILAR are passages. Where a bucket of three texts or more holds
 a link that fails, or one near a passage's end, its texts are met again by
 windows of LEAST_WORDS words around the paragraph: whoever shares so many words
-exactly is found, whatever the first paragraph's text shares. Passages are
-clustered by components; all but the first of each are removed.
+exactly is found, whatever the first paragraph's text shares. Edited ones are met
+by gapped keys, 32 words of 40 around the paragraph: in one task all mates of a
+leading text that share one are compared, unless passages join them there already;
+mates in different tasks (a text of more than MATES) are led anew by these keys,
+once. Passages are clustered by components; all but the first of each are removed.
 
 Nothing depends on how the rows are dealt: buckets are led by the least row key.
 
@@ -55,6 +58,18 @@ MEET = 25
 NEAR = 10
 #: Base of the windows' hash.
 _BASE = 0x9E3779B97F4A7C15
+#: Of a place whose words are met again: its link failed, the leading text's, or that of a text beside one whose link failed.
+FAILED, LEADS, BESIDE = 0, 1, 2
+#: Words of a block of the gapped keys, of which (words before the gap from the place on, how many, words of the gap).
+BLOCK = 8
+GAPPED = [(t * BLOCK, 4 * BLOCK, 0) for t in range(-3, 2)]
+for _t in range(-3, 1):
+    for _c in range(1, 4):
+        GAPPED.append((_t * BLOCK, _c * BLOCK, BLOCK))
+        if _t + _c <= 1:  # a word more in the gap moves what stands before it, or what follows; a place is told by the words in its middle
+            GAPPED.append((_t * BLOCK - 1, _c * BLOCK, BLOCK + 1))
+        if _t + _c >= 1:
+            GAPPED.append((_t * BLOCK, _c * BLOCK, BLOCK + 1))
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLIERS = splitmix(np.arange(2000, 2000 + BANDS, dtype=U64)) | U64(1)
 
@@ -218,11 +233,11 @@ def _stretches(ga: np.ndarray, gb: np.ndarray, blocks: list[tuple[int, int, int]
     return out
 
 
-def passages(mine: Pieces, other: Pieces, links: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int, float]]:
-    """Verified ``(start, end, other start, other end, similarity)`` of two texts' pieces."""
+def passages(mine: Pieces, other: Pieces, links: list[tuple[int, int]], least: int, seen: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Verified ``(start, end, other start, other end, similarity)`` of two texts' pieces; ``seen`` holds what earlier calls aligned."""
     a, b, ga, gb = mine.h, other.h, mine.grams, other.grams
     out: list[tuple[int, int, int, int, float]] = []
-    seen: list[tuple[int, int, int, int]] = []
+    seen = [] if seen is None else seen
     width = SPAN - SHINGLE + 1
     for p, lp in links:
         if any(s <= p < e and p - s == lp - u for s, e, u, _ in seen):
@@ -248,7 +263,7 @@ def passages(mine: Pieces, other: Pieces, links: list[tuple[int, int]], least: i
     return sorted(set(out))
 
 
-SLICES = "lk long, salt int, mate boolean, k long, id {id}, links array<struct<p:int,lp:int>>, wide array<int>, own array<struct<lp:int,p:int>>, at array<int>, words array<binary>"
+SLICES = "lk long, salt int, mate boolean, k long, id {id}, links array<struct<p:int,lp:int>>, wide array<int>, own array<struct<lp:int,p:int>>, many boolean, at array<int>, words array<binary>"
 FOUND = "k long, id {id}, s int, e int, lk long, lid {id}, u int, v int, similarity double, wk long"
 
 
@@ -268,13 +283,13 @@ def cut_out(h: np.ndarray, places: list[int], around: int) -> tuple[list[int], l
 
 
 class Pieces:
-    """Words of pieces laid end to end, between them marks that equal nothing and that no alignment can jump."""
+    """Words of pieces laid end to end, between them marks of the text's ``number`` that equal nothing and that no alignment can jump."""
 
-    def __init__(self, at: np.ndarray, words: list[bytes], mark: int):
+    def __init__(self, at: np.ndarray, words: list[bytes], number: int):
         sizes = np.array([len(x) // 4 + JUMP + 1 for x in words])
         ends = np.cumsum(sizes)
         self.at, self.start, self.end = at, ends - sizes, ends - JUMP - 1
-        self.h = np.arange(ends[-1]).astype(U64) + U64(mark)
+        self.h = np.arange(ends[-1]).astype(U64) + U64(number + 1 << 32)
         for s, e, x in zip(self.start.tolist(), self.end.tolist(), words, strict=True):
             self.h[s:e] = np.frombuffer(x, "<u4")
 
@@ -282,12 +297,6 @@ class Pieces:
     def grams(self) -> np.ndarray:
         return shingle_hashes(self.h, SHINGLE)
 
-    @cached_property
-    def _sums(self) -> np.ndarray:
-        """Sums of the words' hashes, each times its place's power, up to each place."""
-        with np.errstate(over="ignore"):
-            return np.concatenate([np.zeros(1, U64), np.cumsum(splitmix(self.h) * _powers(_BASE, len(self.h)), dtype=U64)])
-
     def here(self, p: np.ndarray) -> np.ndarray:
         k = np.searchsorted(self.at, p, "right") - 1
         return self.start[k] + p - self.at[k]
@@ -296,36 +305,80 @@ class Pieces:
         k = int(np.searchsorted(self.start, x, "right")) - 1
         return int(self.at[k] + x - self.start[k])
 
+
+class Near:
+    """Keys of the words near some places of many texts, whose pieces are laid end to end: ``add``, then ``windows`` and ``gapped``."""
+
+    def __init__(self):
+        self.texts: list[tuple[int, Pieces, np.ndarray, int, bool]] = []
+        self.words = 0
+
+    def add(self, k: int, pieces: Pieces, places: np.ndarray, kind: int, many: bool = False) -> None:
+        self.texts.append((k, pieces, places, kind, many))
+        self.words += len(pieces.h)
+
+    def lay(self) -> None:
+        sizes = np.array([len(x.h) for _, x, _, _, _ in self.texts])
+        base = np.cumsum(sizes) - sizes
+        with np.errstate(over="ignore"):
+            h = splitmix(np.concatenate([x.h for _, x, _, _, _ in self.texts]))
+            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * _powers(_BASE, len(h)), dtype=U64)])
+        self.k = np.repeat(np.array([k for k, _, _, _, _ in self.texts], np.int64), [len(x.at) for _, x, _, _, _ in self.texts])  # of each piece
+        self.start, self.end = (np.concatenate([getattr(x, name) + o for (_, x, _, _, _), o in zip(self.texts, base, strict=True)]) for name in ("start", "end"))
+        self.at = np.concatenate([x.at for _, x, _, _, _ in self.texts])
+        self.places = np.concatenate([x for _, _, x, _, _ in self.texts])
+        self.many = np.repeat([x for _, _, _, _, x in self.texts], [len(x) for _, _, x, _, _ in self.texts])
+        self.kind = np.repeat([x for _, _, _, x, _ in self.texts], [len(x) for _, _, x, _, _ in self.texts])
+        self.x = np.concatenate([x.here(places) + o for (_, x, places, _, _), o in zip(self.texts, base, strict=True)])
+        self.piece = np.searchsorted(self.start, self.x, "right") - 1
+
     def runs(self, starts: np.ndarray, width: int) -> np.ndarray:
         """The same hash for the same ``width`` words, wherever they begin."""
         with np.errstate(over="ignore"):
-            return (self._sums[starts + width] - self._sums[starts]) * _powers(_INVERSE, len(self.h))[starts]
+            return splitmix((self.sums[starts + width] - self.sums[starts]) * _powers(_INVERSE, len(self.sums))[starts])
 
-    def windows(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(start, key)`` of windows of ``width`` words near the paragraphs at ``places``.
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(k, start, key)`` of windows of ``width`` words near the places that are not of kind BESIDE.
 
         Of STEP + 1 neighbouring ones, that with the least key; so who shares STEP words more shares one.
         """
-        x = self.here(places)
-        near = np.zeros(len(self.h) + 1, np.int32)
-        k = np.searchsorted(self.start, x, "right") - 1
-        low, high = np.maximum(x - (width - SPAN) - STEP, self.start[k]), np.minimum(x + STEP, self.end[k] - width) + 1
+        of = self.kind != BESIDE
+        x, piece = self.x[of], self.piece[of]
+        low, high = np.maximum(x - (width - SPAN) - STEP, self.start[piece]), np.minimum(x + STEP, self.end[piece] - width) + 1
         low, high = low[low < high], high[low < high]
+        near = np.zeros(len(self.sums) + 1, np.int32)
         np.add.at(near, low, 1)
         np.add.at(near, high, -1)
         starts = np.flatnonzero(np.cumsum(near) > 0)
-        if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(0, U64)
-        keys = splitmix(self.runs(starts, width))
-        rank = np.full(starts[-1] - starts[0] + 1 + 2 * STEP, ~U64(0))
-        rank[starts - starts[0] + STEP] = keys
-        least = _least(rank, STEP + 1)  # at i: of the STEP windows before start i and itself
+        rank = np.full(len(self.sums) + 2 * STEP, ~U64(0))
+        keys = self.runs(starts, width)
+        rank[starts + STEP] = keys
+        least = _least(rank, STEP + 1)
         keep = np.zeros(len(starts), bool)
-        at = starts - starts[0]
         for j in range(STEP + 1):
-            keep |= least[at + j] == keys
-        k = np.searchsorted(self.start, starts[keep], "right") - 1
-        return (starts[keep] + self.at[k] - self.start[k]).astype(np.int32), keys[keep]
+            keep |= least[starts + j] == keys
+        starts, keys = starts[keep], keys[keep]
+        piece = np.searchsorted(self.start, starts, "right") - 1
+        return self.k[piece], (starts + self.at[piece] - self.start[piece]).astype(np.int32), keys
+
+    def gapped(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place's number, number in GAPPED, key)``: words around the places that are not of kind LEADS, but for a gap of BLOCK words or one more.
+
+        Five blocks that LEAST_WORDS words around a place hold whole, without one: who has these
+        words with one edit, or several in one block, shares a key with the other.
+        """
+        of = self.kind != LEADS
+        x, piece = self.x[of], self.piece[of]
+        rows, keys = [], []
+        for n, (left, words, gap) in enumerate(GAPPED):
+            starts = x + left
+            ok = np.flatnonzero((starts >= self.start[piece]) & (starts + 4 * BLOCK + gap <= self.end[piece]))
+            key = self.runs(starts[ok], words)
+            if words < 4 * BLOCK:
+                key = splitmix(key + splitmix(self.runs(starts[ok] + words + gap, 4 * BLOCK - words) + U64(words)))
+            rows.append(ok)
+            keys.append(key)
+        return np.flatnonzero(of)[np.concatenate(rows)], np.repeat(np.arange(len(GAPPED)), [len(x) for x in rows]), np.concatenate(keys)
 
 
 @lru_cache(maxsize=8)
@@ -342,7 +395,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def _slices(id_type: pa.DataType):
     places = pa.list_(pa.int32())
     links, own = pa.list_(pa.struct([("p", pa.int32()), ("lp", pa.int32())])), pa.list_(pa.struct([("lp", pa.int32()), ("p", pa.int32())]))
-    schema = pa.schema([("lk", pa.int64()), ("salt", pa.int32()), ("mate", pa.bool_()), ("k", pa.int64()), ("id", id_type), ("links", links), ("wide", places), ("own", own), ("at", places), ("words", pa.list_(pa.binary()))])
+    schema = pa.schema([("lk", pa.int64()), ("salt", pa.int32()), ("mate", pa.bool_()), ("k", pa.int64()), ("id", id_type), ("links", links), ("wide", places), ("own", own), ("many", pa.bool_()), ("at", places), ("words", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: WordHashes = WordHashes()
@@ -351,10 +404,10 @@ def _slices(id_type: pa.DataType):
             for row, text in zip(b.drop_columns(["text"]).to_pylist(), texts, strict=True):
                 h = cache.of(text.split())
                 for m in row["mates"] or ():
-                    rows.append((m["lk"], m["salt"], True, row["k"], row["id"], m["links"], None, None, *cut_out(h, [x["p"] for x in m["links"]], AROUND)))
+                    rows.append((m["lk"], m["salt"], True, row["k"], row["id"], m["links"], None, None, None, *cut_out(h, [x["p"] for x in m["links"]], AROUND)))
                 if row["places"]:
                     lead = cut_out(h, row["places"] + [x["p"] for x in row["own"]], AROUND + 2 * JUMP)
-                    rows += [(row["k"], salt, False, row["k"], row["id"], None, row["wide"], row["own"], *lead) for salt in range(row["salts"])]
+                    rows += [(row["k"], salt, False, row["k"], row["id"], None, row["wide"], row["own"], row["salts"] > 1, *lead) for salt in range(row["salts"])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -365,22 +418,34 @@ def _verify(least: int, id_type: pa.DataType):
     schema = pa.schema([("k", pa.int64()), ("id", id_type), ("s", pa.int32()), ("e", pa.int32()), ("lk", pa.int64()), ("lid", id_type), ("u", pa.int32()), ("v", pa.int32()), ("similarity", pa.float64()), ("wk", pa.int64())])
     reach = least - SPAN
 
+    def met_again(near: Near) -> pa.RecordBatch:
+        near.lay()
+        k, p, wk = near.windows(least)
+        gk = gp = np.zeros(0, np.int64)
+        gkey = np.zeros(0, U64)
+        if near.many.any():
+            at, _, gkey = near.gapped()
+            at, gkey = at[near.many[at]], gkey[near.many[at]]
+            gk, gp = near.k[near.piece[at]], near.places[at]
+        own_columns = {"k": np.concatenate([k, gk]), "s": np.concatenate([p, gp]), "e": np.repeat([0, 1], [len(k), len(gk)]), "wk": np.concatenate([wk, gkey]).view(np.int64)}
+        return pa.RecordBatch.from_arrays([pa.array(own_columns[f.name], f.type) if f.name in own_columns else pa.nulls(len(k) + len(gk), f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None
+        lead, near, number = Lead(), Near(), 0
         for b in batches:
             column = {f.name: b.column(i) for i, f in enumerate(b.schema)}
             lk, k, ids, mate = (column[name].to_pylist() for name in ("lk", "k", "id", "mate"))
             links, own = _lists(column["links"], "p", "lp"), _lists(column["own"], "lp", "p")
             wide, starts = _lists(column["wide"]), _lists(column["at"])
             rows: list[tuple] = []
-            met: list[tuple[int, np.ndarray, np.ndarray]] = []
             for at in range(b.num_rows):
-                pieces = Pieces(starts(at)[0], column["words"][at].as_py(), 1 << (40 + mate[at]))
+                pieces = Pieces(starts(at)[0], column["words"][at].as_py(), number := number + 1)
                 if not mate[at]:  # rows arrive sorted: a text's own slices, then its mates'
+                    rows += lead.end(near, least)
                     again: dict[int, list[int]] = {}
                     for lp, p in zip(*(x.tolist() for x in own(at)), strict=True):
                         again.setdefault(lp, []).append(p)
-                    lead_id, other, in_wide, shown = ids[at], pieces, set(wide(at)[0].tolist()), set()
+                    lead = Lead(k[at], ids[at], pieces, set(wide(at)[0].tolist()), column["many"][at].as_py())
                     continue
                 p, lp = links(at)
                 if again:
@@ -390,29 +455,160 @@ def _verify(least: int, id_type: pa.DataType):
                         first.setdefault(y, x)
                     pairs |= {(x, z) for y, x in first.items() for z in again.get(y, ())}
                     p, lp = (np.array(x) for x in zip(*pairs, strict=True))
-                near = sorted(zip(pieces.here(p).tolist(), other.here(lp).tolist(), strict=True))
-                found = passages(pieces, other, near, least)
-                found = [(pieces.there(s), pieces.there(e - 1) + 1, other.there(u), other.there(v - 1) + 1, r) for s, e, u, v, r in found]
-                rows += [(k[at], ids[at], s, e, lk[at], lead_id, u, v, r, None) for s, e, u, v, r in found]
-                # deep inside a passage, whoever shares a window of this text shares it with the leading text
-                failed = [(x, y) for x, y in zip(p.tolist(), lp.tolist(), strict=True) if y in in_wide and not any((s == 0 or s <= x - reach) and x + SPAN + reach <= e and u <= y < v for s, e, u, v, _ in found)]
-                if failed:
-                    met.append((k[at], *pieces.windows(np.unique([x for x, _ in failed]), least)))
-                    if fresh := {y for _, y in failed} - shown:
-                        shown |= fresh
-                        met.append((lk[at], *other.windows(np.array(sorted(fresh)), least)))
-                    # ids of the texts whose windows follow
-                    rows += [(x, i, None, None, None, None, None, None, None, None) for x, i in ((k[at], ids[at]), (lk[at], lead_id))]
-            if met:
-                n = [len(x[1]) for x in met]
-                own_columns = {"k": np.repeat([x[0] for x in met], n), "s": np.concatenate([x[1] for x in met]), "wk": np.concatenate([x[2] for x in met]).view(np.int64)}
-                yield pa.RecordBatch.from_arrays([pa.array(own_columns[f.name], f.type) if f.name in own_columns else pa.nulls(sum(n), f.type) for f in schema], schema=schema)
+                seeds = sorted(zip(pieces.here(p).tolist(), lead.pieces.here(lp).tolist(), strict=True))
+                found = passages(pieces, lead.pieces, seeds, least)
+                found = [(pieces.there(s), pieces.there(e - 1) + 1, lead.pieces.there(u), lead.pieces.there(v - 1) + 1, r) for s, e, u, v, r in found]
+                rows += [(k[at], ids[at], s, e, lk[at], lead.id, u, v, r, None) for s, e, u, v, r in found]
+                inside, failed = [], []
+                for x, y in zip(p.tolist(), lp.tolist(), strict=True) if lead.wide else ():
+                    if y in lead.wide:
+                        # deep inside a passage, whoever shares a window of this text shares it with the leading text
+                        deep = any((s == 0 or s <= x - reach) and x + SPAN + reach <= e and u <= y < v for s, e, u, v, _ in found)
+                        (inside if deep else failed).append((x, y))
+                lead.met(k[at], ids[at], pieces, failed, inside, found)
+                if near.words > 1 << 18:
+                    yield met_again(near)
+                    near = Near()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if rows := lead.end(near, least):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if near.texts:
+            yield met_again(near)
 
     return run
 
 
+class Lead:
+    """A leading text with its mates of one task, and which of their places are to be met again."""
+
+    def __init__(self, k: int = 0, id_=None, pieces: Pieces | None = None, wide: set[int] = frozenset(), many: bool = False):
+        self.k, self.id, self.pieces, self.wide, self.many = k, id_, pieces, wide, many
+        self.mates: list[tuple[int, object, Pieces]] = []
+        self.links: list[tuple[int, int, int, bool]] = []  # number of the mate, its place, the leading text's, whether it failed
+        self.failed: set[int] = set()
+        self.extents = Extents()
+
+    def met(self, k: int, id_, pieces: Pieces, failed: list[tuple[int, int]], inside: list[tuple[int, int]], found: list[tuple]) -> None:
+        if failed or inside:
+            n = len(self.mates)
+            self.links += [(n, x, y, True) for x, y in failed] + [(n, x, y, False) for x, y in inside]
+            for s, e, u, v, _ in found:
+                self.extents.join((n, s, e), (-1, u, v))
+            self.mates.append((k, id_, pieces))
+            self.failed |= {y for _, y in failed}
+
+    def end(self, near: Near, least: int) -> list[tuple]:
+        """Passages of mates with each other; adds the places to be met by other tasks, and gives the ids of all texts added, as rows."""
+        links = [x for x in self.links if self.many or x[2] in self.failed]
+        if not links:
+            return []
+        ids, own = {}, Near()
+        places: dict[tuple[int, int], set[int]] = {}
+        for m, x, _, failed in links:
+            places.setdefault((m, FAILED if failed else BESIDE), set()).add(x)
+        of = []
+        for (m, kind), some in places.items():
+            k, id_, pieces = self.mates[m]
+            at = np.array(sorted(some))
+            own.add(k, pieces, at, kind)
+            of += [m] * len(at)
+            if kind == FAILED or self.many:
+                near.add(k, pieces, at, kind, self.many)
+                ids[k] = id_
+        if self.failed:
+            near.add(self.k, self.pieces, np.array(sorted(self.failed)), LEADS)
+            ids[self.k] = self.id
+        return self._mates(own, np.array(of), least) + [(k, id_, None, None, None, None, None, None, None, None) for k, id_ in ids.items()]
+
+    def _mates(self, near: Near, of: np.ndarray, least: int) -> list[tuple]:
+        """Passages of mates that share a gapped key, of which one's link failed, and which the leading text's passages do not join there already."""
+        if len(set(of.tolist())) < 2:
+            return []
+        near.lay()
+        at, shape, key = near.gapped()
+        order = np.lexsort((at, key))
+        at, shape, key = at[order], shape[order], key[order]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        shared = np.diff(cuts) > 1
+        failed, n = near.kind == FAILED, len(of)
+        known: dict[int, int] = {}  # to which extents a passage with these words would be joined
+
+        def group(name: int) -> int:
+            if (x := known.get(name, -1)) < 0:
+                place, (left, _, gap) = name // len(GAPPED), GAPPED[name % len(GAPPED)]
+                start = int(near.places[place]) + left
+                x = known[name] = self.extents.group(int(of[place]), start, start + 4 * BLOCK + gap)
+            return self.extents.root(x) if x >= 0 else -1 - name
+
+        tried: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], list] = {}
+        rows = []
+        for low, high in zip(cuts[:-1][shared].tolist(), cuts[1:][shared].tolist(), strict=True):
+            them = at[low:high]
+            bad = failed[them]
+            if not bad.any() or (of[them] == of[them[0]]).all():
+                continue
+            names = (them * len(GAPPED) + shape[low:high]).tolist()
+            groups = [group(x) for x in names]
+            if len(set(groups)) == 1:
+                continue
+            them, text = them.tolist(), of[them].tolist()
+            for i in np.flatnonzero(bad).tolist():
+                for j in range(len(them)):
+                    if groups[i] == groups[j] or text[i] == text[j]:
+                        continue
+                    a, b = (i, j) if text[i] > text[j] else (j, i)
+                    pair = them[a], them[b]
+                    if pair in tried:
+                        continue
+                    tried.add(pair)
+                    (k, id_, mine), (lk, lid, other) = self.mates[text[a]], self.mates[text[b]]
+                    seed = int(mine.here(near.places[pair[0]])), int(other.here(near.places[pair[1]]))
+                    found = passages(mine, other, [seed], least, seen.setdefault((text[a], text[b]), []))
+                    for s, e, u, v, r in found:
+                        s, e, u, v = mine.there(s), mine.there(e - 1) + 1, other.there(u), other.there(v - 1) + 1
+                        rows.append((k, id_, s, e, lk, lid, u, v, r, None))
+                        self.extents.join((text[a], s, e), (text[b], u, v))
+                    if found:
+                        groups = [group(x) for x in names]
+        return rows
+
+
+class Extents:
+    """Extents of texts that passages join, through extents of one text that overlap by MEET words too."""
+
+    def __init__(self):
+        self.of: dict[int, dict[tuple[int, int], int]] = {}  # of each text its extents, and the number of each
+        self.parent: list[int] = []
+
+    def root(self, x: int) -> int:
+        while (up := self.parent[x]) != x:
+            self.parent[x] = self.parent[up]
+            x = up
+        return x
+
+    def number(self, text: int, s: int, e: int) -> int:
+        mine = self.of.setdefault(text, {})
+        if (s, e) not in mine:
+            mine[s, e] = len(self.parent)
+            self.parent.append(len(self.parent))
+            for (u, v), other in mine.items():
+                if min(e, v) - max(s, u) >= MEET:
+                    self.parent[self.root(other)] = self.root(mine[s, e])
+        return mine[s, e]
+
+    def join(self, a: tuple[int, int, int], b: tuple[int, int, int]) -> None:
+        self.parent[self.root(self.number(*a))] = self.root(self.number(*b))
+
+    def group(self, text: int, start: int, end: int) -> int:
+        """An extent that overlaps these words by MEET, as any passage that holds them then does; -1 if there is none."""
+        for (s, e), x in self.of.get(text, {}).items():
+            if min(e, end) - max(s, start) >= MEET:
+                return x
+        return -1
+
+
 def _lists(column: pa.Array, *fields: str):
     """Of a column of lists: what gives the numbers of one row's list, or the named fields of its structs."""
     ends, values = column.offsets.to_numpy(), column.values
@@ -447,7 +643,7 @@ def _checked(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
 
 def _again(checked: DataFrame, least: int) -> DataFrame:
     """``k, s, e, lk, u, v, similarity`` of stretches that share windows of ``least`` words exactly, of buckets with links that failed."""
-    links = linked(checked.where("wk is not null").select("wk", "k", F.col("s").alias("p")), "wk")
+    links = linked(checked.where("wk is not null and e = 0").select("wk", "k", F.col("s").alias("p")), "wk")
     met = links.where("k <> lk").select("k", "lk", "p", (F.col("lp") - F.col("p")).alias("shift")).distinct()
     order = Window.partitionBy("k", "lk", "shift").orderBy("p")  # within one text's places
     new = met.withColumn("new", F.coalesce((F.col("p") - F.lag("p").over(order) > STEP + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
@@ -483,8 +679,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: s
     A stretch that different documents share to different extents has a row for
     each extent, so what is removed is always kept elsewhere.
 
-    Exact copies of ``least_words`` + STEP words or more are all found (of fewer,
-    and edited ones, those that share a bucket whose first text has them too; a
+    Exact copies of ``least_words`` + STEP words or more are all found (of fewer, and
+    edited ones, those that share a bucket with the first text, or a gapped key of it; a
     stretch met by windows alone is given to within STEP words at either end). Words are compared
     by 32 bits of their hashes. Ids may have any type that can be
     ordered. Null ids and null, empty or short texts give no row; nor do repeats
@@ -501,6 +697,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: s
     drop(emitted)
     checked = _checked(rows, links, least_words)
     drop(links)
+    # mates of one leading text that other tasks met: by their gapped keys, each such bucket led anew
+    apart = checked.where("wk is not null and e = 1").select("wk", "k", F.col("s").alias("p"))
+    if not apart.isEmpty():
+        links = linked(apart, "wk")
+        second = _checked(rows, links, least_words)
+        both = materialize(checked.union(second), "checked")
+        drop(checked, links, second)
+        checked = both
     more = _again(checked, least_words)
     named = checked.where("id is not null")
     ids = materialize(named.select("k", "id").union(named.where("lid is not null").select("lk", "lid")).distinct(), "ids")

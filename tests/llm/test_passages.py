@@ -209,3 +209,26 @@ def test_paragraphs_of_many_texts_are_those_of_each_alone():
             last = s
     low = [[int(x) for x in passages.splitmix(np.array(key, np.uint64) + passages.splitmix(np.arange(2, dtype=np.uint64)))] for _, _, key in want]
     assert [(t, s) for t, s, _ in want] == list(zip(text.tolist(), start.tolist(), strict=True)) and low == keys.tolist()
+
+
+def test_edited_passages_whose_first_text_has_only_their_line(spark, monkeypatch):
+    """A line of 22 words stands first in a text of its own, then in pairs that share an edited passage around it: all pairs are found."""
+    r = random.Random(43)
+    docs, want, n = [], set(), 0
+    for k in range(12):
+        line = noise(r, 22)
+        docs.append((n, noise(r, 40) + line + noise(r, 40)))
+        n += 1
+        for j in range(3):
+            left, right = noise(r, 20), noise(r, 22)
+            edited = left + line + right
+            at = (14, 17, 45, 48)[(k + j) % 4]
+            edited[at : at + 1] = ([], noise(r, 1), [edited[at], *noise(r, 1)])[(k + j) % 3]
+            docs += [(n, noise(r, 12) + left + line + right + noise(r, 30)), (n + 1, noise(r, 31) + edited + noise(r, 9))]
+            want.add((n, n + 1))
+            n += 2
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    for mates in (250, 2):  # all in one task, and in several
+        monkeypatch.setattr(passages, "MATES", mates)
+        got = {(x["component_id"], x["doc_id"]) for x in passages.repeated_passages(df).collect() if x["removed"]}
+        assert got <= want and len(got) >= 0.95 * len(want), (mates, want - got)
