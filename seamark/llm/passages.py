@@ -34,7 +34,7 @@ millions is spread over many tasks. Every size takes this one way.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,7 @@ for _t in range(-3, 1):
             GAPPED.append((_t * BLOCK - 1, _c * BLOCK, BLOCK + 1))
         if _t + _c >= 1:
             GAPPED.append((_t * BLOCK, _c * BLOCK, BLOCK + 1))
+_LEFT, _WORDS, _GAP = np.array(GAPPED).T
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLIERS = splitmix(np.arange(2000, 2000 + BANDS, dtype=U64)) | U64(1)
 
@@ -168,37 +169,50 @@ def linked(rows: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def _blocks(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
-    """Equal runs ``(i, j, words)`` in order, from a common shingle at (i, j) on in one direction, over gaps of up to JUMP words."""
+#: Gaps on either side, the shortest first.
+_GAPS = sorted(((x, y) for x in range(JUMP + 1) for y in range(JUMP + 1)), key=lambda g: (g[0] + g[1], g[0]))
+
+
+def _blocks(a: list[int], b: list[int], ga: list[int], gb: list[int], i: int, j: int) -> list[tuple[int, int, int]]:
+    """Equal runs ``(i, j, words)`` in order, from a common shingle at (i, j) on, over gaps of up to JUMP words."""
     out = []
     while True:
-        n, size = min(len(a) - i, len(b) - j), 0
+        n, size, step = min(len(a) - i, len(b) - j), 0, 16
         while size < n:
-            step = min(256, n - size)
-            differ = a[i + size : i + size + step] != b[j + size : j + size + step]
-            if differ.any():
-                size += int(differ.argmax())
+            x, y = i + size, j + size
+            if (some := a[x : x + step]) == (others := b[y : y + step]):
+                size, step = min(n, size + step), 2 * step
+                continue
+            if len(some) == len(others) == 1:
                 break
-            size += step
+            if step > 16:
+                step = 16
+                continue
+            for w, v in zip(some, others, strict=False):
+                if w != v:
+                    break
+                size += 1
+            break
         if not size:
             return out
         out.append((i, j, size))
         i, j = i + size, j + size
-        x, y = np.nonzero(ga[i : i + JUMP + 1, None] == gb[None, j : j + JUMP + 1])
-        if not len(x):
+        some, others = ga[i : i + JUMP + 1], gb[j : j + JUMP + 1]
+        if not (both := set(some).intersection(others)):
             return out
-        near = int(np.lexsort((x, x + y))[0])
-        i, j = i + int(x[near]), j + int(y[near])
+        n, m = len(some), len(others)
+        x, y = next((x, y) for x, y in _GAPS if x < n and y < m and some[x] in both and some[x] == others[y])
+        i, j = i + x, j + y
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+def jaccard(a: list[int], b: list[int]) -> float:
     """Exact similarity of two sets of shingle hashes."""
-    x, y = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = set(a), set(b)
+    both = len(x & y)
     return both / max(1, len(x) + len(y) - both)
 
 
-def _stretches(ga: np.ndarray, gb: np.ndarray, blocks: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int, int, float]]:
+def _stretches(ga: list[int], gb: list[int], blocks: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int, int, float]]:
     """The passages of one alignment: the longest that is similar enough, then what lies before and after it.
 
     From block x to block y, shared >= SIMILAR * (mine + other - shared) is a
@@ -233,32 +247,46 @@ def _stretches(ga: np.ndarray, gb: np.ndarray, blocks: list[tuple[int, int, int]
     return out
 
 
-def passages(mine: Pieces, other: Pieces, links: list[tuple[int, int]], least: int, seen: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int, int, int, float]]:
-    """Verified ``(start, end, other start, other end, similarity)`` of two texts' pieces; ``seen`` holds what earlier calls aligned."""
-    a, b, ga, gb = mine.h, other.h, mine.grams, other.grams
+#: Of two texts, the runs of the one's words that equal the other's so many words before.
+Seen = dict[int, list[tuple[int, int]]]
+
+
+def aligned(seen: Seen, i: int, j: int) -> bool:
+    for s, e in seen.get(i - j, ()):
+        if s <= i < e:
+            return True
+    return False
+
+
+def passages(mine: Pieces, other: Pieces, links: list[tuple[int, int]], least: int, seen: Seen | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Verified ``(start, end, other start, other end, similarity)`` of two texts' pieces; ``seen`` tells what earlier calls aligned."""
+    (a, ga, ra, rga), (b, gb, rb, rgb) = _as_lists(mine), _as_lists(other)
     out: list[tuple[int, int, int, int, float]] = []
-    seen = [] if seen is None else seen
+    seen = {} if seen is None else seen
     width = SPAN - SHINGLE + 1
     for p, lp in links:
-        if any(s <= p < e and p - s == lp - u for s, e, u, _ in seen):
+        if aligned(seen, p, lp):
             continue
         if ga[p] == gb[lp]:
             i, j = p, lp
         else:
-            x, y = np.nonzero(ga[p : p + width, None] == gb[None, lp : lp + width])
-            if not len(x):
+            some, others = ga[p : p + width], gb[lp : lp + width]
+            both = set(some).intersection(others)
+            if not both:
                 continue
-            i, j = p + int(x[0]), lp + int(y[0])
-            if any(s <= i < e and u <= j < v and i - s == j - u for s, e, u, v in seen):
+            x = next(x for x, g in enumerate(some) if g in both)
+            i, j = p + x, lp + others.index(some[x])
+            if aligned(seen, i, j):
                 continue
         right = _blocks(a, b, ga, gb, i, j)
         if not right or right[0][2] < SHINGLE:
             continue
-        left = _blocks(a[::-1], b[::-1], ga[::-1], gb[::-1], len(a) - i - SHINGLE, len(b) - j - SHINGLE)
+        left = _blocks(ra, rb, rga, rgb, len(a) - i - SHINGLE, len(b) - j - SHINGLE)
         left = [(len(a) - q - n, len(b) - r - n, n) for q, r, n in reversed(left)]
         s, r = left[-1], right[0]  # both hold the shingle at (i, j)
         blocks = [*left[:-1], (s[0], s[1], r[0] + r[2] - s[0]), *right[1:]]
-        seen += [(q, q + n, r, r + n) for q, r, n in blocks]
+        for q, r, n in blocks:
+            seen.setdefault(q - r, []).append((q, q + n))
         out += _stretches(ga, gb, blocks, least)
     return sorted(set(out))
 
@@ -306,33 +334,41 @@ class Pieces:
         return int(self.at[k] + x - self.start[k])
 
 
+@lru_cache(maxsize=100)
+def _as_lists(pieces: Pieces) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Words and shingles, and both from the end on."""
+    words, grams = pieces.h.tolist(), pieces.grams.tolist()
+    return words, grams, words[::-1], grams[::-1]
+
+
 class Near:
     """Keys of the words near some places of many texts, whose pieces are laid end to end: ``add``, then ``windows`` and ``gapped``."""
 
     def __init__(self):
-        self.texts: list[tuple[int, Pieces, np.ndarray, int, bool]] = []
+        self.texts: list[tuple[int, Pieces, np.ndarray, int]] = []
+        self.apart: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # k, place, gapped key
         self.words = 0
 
-    def add(self, k: int, pieces: Pieces, places: np.ndarray, kind: int, many: bool = False) -> None:
-        self.texts.append((k, pieces, places, kind, many))
+    def add(self, k: int, pieces: Pieces, places: np.ndarray, kind: int) -> None:
+        self.texts.append((k, pieces, places, kind))
         self.words += len(pieces.h)
 
     def lay(self) -> None:
-        sizes = np.array([len(x.h) for _, x, _, _, _ in self.texts])
+        sizes = np.array([len(x.h) for _, x, _, _ in self.texts])
         base = np.cumsum(sizes) - sizes
         with np.errstate(over="ignore"):
-            h = splitmix(np.concatenate([x.h for _, x, _, _, _ in self.texts]))
+            h = splitmix(np.concatenate([x.h for _, x, _, _ in self.texts]))
             self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * _powers(_BASE, len(h)), dtype=U64)])
-        self.k = np.repeat(np.array([k for k, _, _, _, _ in self.texts], np.int64), [len(x.at) for _, x, _, _, _ in self.texts])  # of each piece
-        self.start, self.end = (np.concatenate([getattr(x, name) + o for (_, x, _, _, _), o in zip(self.texts, base, strict=True)]) for name in ("start", "end"))
-        self.at = np.concatenate([x.at for _, x, _, _, _ in self.texts])
-        self.places = np.concatenate([x for _, _, x, _, _ in self.texts])
-        self.many = np.repeat([x for _, _, _, _, x in self.texts], [len(x) for _, _, x, _, _ in self.texts])
-        self.kind = np.repeat([x for _, _, _, x, _ in self.texts], [len(x) for _, _, x, _, _ in self.texts])
-        self.x = np.concatenate([x.here(places) + o for (_, x, places, _, _), o in zip(self.texts, base, strict=True)])
+        self.k = np.repeat(np.array([k for k, _, _, _ in self.texts], np.int64), [len(x.at) for _, x, _, _ in self.texts])  # of each piece
+        self.start, self.end = (np.concatenate([getattr(x, name) + o for (_, x, _, _), o in zip(self.texts, base, strict=True)]) for name in ("start", "end"))
+        self.at = np.concatenate([x.at for _, x, _, _ in self.texts])
+        self.places = np.concatenate([x for _, _, x, _ in self.texts])
+        self.kind = np.repeat([x for _, _, _, x in self.texts], [len(x) for _, _, x, _ in self.texts])
+        self.within = np.concatenate([x.here(places) for _, x, places, _ in self.texts])
+        self.x = self.within + np.repeat(base, [len(x) for _, _, x, _ in self.texts])
         self.piece = np.searchsorted(self.start, self.x, "right") - 1
 
-    def runs(self, starts: np.ndarray, width: int) -> np.ndarray:
+    def runs(self, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
         """The same hash for the same ``width`` words, wherever they begin."""
         with np.errstate(over="ignore"):
             return splitmix((self.sums[starts + width] - self.sums[starts]) * _powers(_INVERSE, len(self.sums))[starts])
@@ -369,16 +405,14 @@ class Near:
         """
         of = self.kind != LEADS
         x, piece = self.x[of], self.piece[of]
-        rows, keys = [], []
-        for n, (left, words, gap) in enumerate(GAPPED):
-            starts = x + left
-            ok = np.flatnonzero((starts >= self.start[piece]) & (starts + 4 * BLOCK + gap <= self.end[piece]))
-            key = self.runs(starts[ok], words)
-            if words < 4 * BLOCK:
-                key = splitmix(key + splitmix(self.runs(starts[ok] + words + gap, 4 * BLOCK - words) + U64(words)))
-            rows.append(ok)
-            keys.append(key)
-        return np.flatnonzero(of)[np.concatenate(rows)], np.repeat(np.arange(len(GAPPED)), [len(x) for x in rows]), np.concatenate(keys)
+        starts = x + _LEFT[:, None]
+        shape, at = np.nonzero((starts >= self.start[piece]) & (starts + (4 * BLOCK + _GAP)[:, None] <= self.end[piece]))
+        starts, words, gap = starts[shape, at], _WORDS[shape], _GAP[shape]
+        key = self.runs(starts, words)
+        part = np.flatnonzero(words < 4 * BLOCK)
+        starts, words, gap = starts[part], words[part], gap[part]
+        key[part] = splitmix(key[part] + splitmix(self.runs(starts + words + gap, 4 * BLOCK - words) + words.astype(U64)))
+        return np.flatnonzero(of)[at], shape, key
 
 
 @lru_cache(maxsize=8)
@@ -414,21 +448,19 @@ def _slices(id_type: pa.DataType):
     return run
 
 
-def _verify(least: int, id_type: pa.DataType):
+def _verify(least: int, id_type: pa.DataType, apart: bool = True):
     schema = pa.schema([("k", pa.int64()), ("id", id_type), ("s", pa.int32()), ("e", pa.int32()), ("lk", pa.int64()), ("lid", id_type), ("u", pa.int32()), ("v", pa.int32()), ("similarity", pa.float64()), ("wk", pa.int64())])
     reach = least - SPAN
 
     def met_again(near: Near) -> pa.RecordBatch:
-        near.lay()
-        k, p, wk = near.windows(least)
-        gk = gp = np.zeros(0, np.int64)
-        gkey = np.zeros(0, U64)
-        if near.many.any():
-            at, _, gkey = near.gapped()
-            at, gkey = at[near.many[at]], gkey[near.many[at]]
-            gk, gp = near.k[near.piece[at]], near.places[at]
-        own_columns = {"k": np.concatenate([k, gk]), "s": np.concatenate([p, gp]), "e": np.repeat([0, 1], [len(k), len(gk)]), "wk": np.concatenate([wk, gkey]).view(np.int64)}
-        return pa.RecordBatch.from_arrays([pa.array(own_columns[f.name], f.type) if f.name in own_columns else pa.nulls(len(k) + len(gk), f.type) for f in schema], schema=schema)
+        parts = list(near.apart)
+        if near.texts:
+            near.lay()
+            parts.append(near.windows(least))
+        k, p, wk = (np.concatenate(x) for x in zip(*parts, strict=True))
+        kind = np.repeat([1] * len(near.apart) + [0] * bool(near.texts), [len(x) for x, _, _ in parts])
+        own_columns = {"k": k, "s": p, "e": kind, "wk": wk.view(np.int64)}
+        return pa.RecordBatch.from_arrays([pa.array(own_columns[f.name], f.type) if f.name in own_columns else pa.nulls(len(k), f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, near, number = Lead(), Near(), 0
@@ -445,7 +477,7 @@ def _verify(least: int, id_type: pa.DataType):
                     again: dict[int, list[int]] = {}
                     for lp, p in zip(*(x.tolist() for x in own(at)), strict=True):
                         again.setdefault(lp, []).append(p)
-                    lead = Lead(k[at], ids[at], pieces, set(wide(at)[0].tolist()), column["many"][at].as_py())
+                    lead = Lead(k[at], ids[at], pieces, set(wide(at)[0].tolist()), apart and column["many"][at].as_py())
                     continue
                 p, lp = links(at)
                 if again:
@@ -473,7 +505,7 @@ def _verify(least: int, id_type: pa.DataType):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         if rows := lead.end(near, least):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        if near.texts:
+        if near.texts or near.apart:
             yield met_again(near)
 
     return run
@@ -513,65 +545,82 @@ class Lead:
             at = np.array(sorted(some))
             own.add(k, pieces, at, kind)
             of += [m] * len(at)
+            if kind == FAILED:
+                near.add(k, pieces, at, kind)
             if kind == FAILED or self.many:
-                near.add(k, pieces, at, kind, self.many)
                 ids[k] = id_
         if self.failed:
             near.add(self.k, self.pieces, np.array(sorted(self.failed)), LEADS)
             ids[self.k] = self.id
-        return self._mates(own, np.array(of), least) + [(k, id_, None, None, None, None, None, None, None, None) for k, id_ in ids.items()]
+        return self._mates(own, np.array(of), near, least) + [(k, id_, None, None, None, None, None, None, None, None) for k, id_ in ids.items()]
+
+    def _mates(self, near: Near, of: np.ndarray, more: Near, least: int) -> list[tuple]:
+        """Passages of mates that share a gapped key, of which one's link failed, and which the leading text's passages do not join there already.
 
-    def _mates(self, near: Near, of: np.ndarray, least: int) -> list[tuple]:
-        """Passages of mates that share a gapped key, of which one's link failed, and which the leading text's passages do not join there already."""
-        if len(set(of.tolist())) < 2:
+        ``more`` gets the keys by which mates in other tasks are met.
+        """
+        if not self.many and len(set(of.tolist())) < 2:
             return []
         near.lay()
         at, shape, key = near.gapped()
         order = np.lexsort((at, key))
         at, shape, key = at[order], shape[order], key[order]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-        shared = np.diff(cuts) > 1
-        failed, n = near.kind == FAILED, len(of)
+        first, last = cuts[:-1], cuts[1:]
+        failed = near.kind == FAILED
+        if len(first):
+            several = np.minimum.reduceat(of[at], first) < np.maximum.reduceat(of[at], first)
+            todo = several & np.logical_or.reduceat(failed[at], first)
+            first, last = first[todo], last[todo]
         known: dict[int, int] = {}  # to which extents a passage with these words would be joined
+        places, within, bad, texts, root = near.places.tolist(), near.within.tolist(), failed.tolist(), of.tolist(), self.extents.root
 
         def group(name: int) -> int:
             if (x := known.get(name, -1)) < 0:
                 place, (left, _, gap) = name // len(GAPPED), GAPPED[name % len(GAPPED)]
-                start = int(near.places[place]) + left
-                x = known[name] = self.extents.group(int(of[place]), start, start + 4 * BLOCK + gap)
-            return self.extents.root(x) if x >= 0 else -1 - name
+                start = places[place] + left
+                if (x := self.extents.group(texts[place], start, start + 4 * BLOCK + gap)) >= 0:
+                    known[name] = x
+            return root(x) if x >= 0 else -1 - name
 
         tried: set[tuple[int, int]] = set()
-        seen: dict[tuple[int, int], list] = {}
+        seen: dict[tuple[int, int], Seen] = {}
         rows = []
-        for low, high in zip(cuts[:-1][shared].tolist(), cuts[1:][shared].tolist(), strict=True):
-            them = at[low:high]
-            bad = failed[them]
-            if not bad.any() or (of[them] == of[them[0]]).all():
-                continue
-            names = (them * len(GAPPED) + shape[low:high]).tolist()
+        for low, high in zip(first.tolist(), last.tolist(), strict=True):
+            them = at[low:high].tolist()
+            names = [x * len(GAPPED) + n for x, n in zip(them, shape[low:high].tolist(), strict=True)]
             groups = [group(x) for x in names]
-            if len(set(groups)) == 1:
-                continue
-            them, text = them.tolist(), of[them].tolist()
-            for i in np.flatnonzero(bad).tolist():
+            left = len(set(groups))
+            for i in range(len(them)):
+                if left == 1:
+                    break
+                if not bad[them[i]]:
+                    continue
                 for j in range(len(them)):
-                    if groups[i] == groups[j] or text[i] == text[j]:
+                    if groups[i] == groups[j] or texts[them[i]] == texts[them[j]]:
                         continue
-                    a, b = (i, j) if text[i] > text[j] else (j, i)
-                    pair = them[a], them[b]
+                    pair = (them[i], them[j]) if texts[them[i]] > texts[them[j]] else (them[j], them[i])
                     if pair in tried:
                         continue
                     tried.add(pair)
-                    (k, id_, mine), (lk, lid, other) = self.mates[text[a]], self.mates[text[b]]
-                    seed = int(mine.here(near.places[pair[0]])), int(other.here(near.places[pair[1]]))
-                    found = passages(mine, other, [seed], least, seen.setdefault((text[a], text[b]), []))
+                    a, b = pair
+                    mine, other = texts[a], texts[b]
+                    runs = seen.setdefault((mine, other), {})
+                    if aligned(runs, within[a], within[b]):
+                        continue
+                    (k, id_, pieces), (lk, lid, others) = self.mates[mine], self.mates[other]
+                    found = passages(pieces, others, [(within[a], within[b])], least, runs)
                     for s, e, u, v, r in found:
-                        s, e, u, v = mine.there(s), mine.there(e - 1) + 1, other.there(u), other.there(v - 1) + 1
+                        s, e, u, v = pieces.there(s), pieces.there(e - 1) + 1, others.there(u), others.there(v - 1) + 1
                         rows.append((k, id_, s, e, lk, lid, u, v, r, None))
-                        self.extents.join((text[a], s, e), (text[b], u, v))
+                        self.extents.join((mine, s, e), (other, u, v))
                     if found:
-                        groups = [group(x) for x in names]
+                        groups = [root(g) if g >= 0 else group(x) if texts[place] == mine or texts[place] == other else g for g, x, place in zip(groups, names, them, strict=True)]
+                        if (left := len(set(groups))) == 1:
+                            break
+        if self.many:  # texts in other tasks may share these keys
+            ks = np.array([self.mates[m][0] for m in of[at].tolist()], np.int64)
+            more.apart.append((ks, near.places[at], key))
         return rows
 
 
@@ -579,7 +628,7 @@ class Extents:
     """Extents of texts that passages join, through extents of one text that overlap by MEET words too."""
 
     def __init__(self):
-        self.of: dict[int, dict[tuple[int, int], int]] = {}  # of each text its extents, and the number of each
+        self.of: dict[int, list[tuple[int, int, int]]] = {}  # of each text its extents, those that overlap by MEET as one, and the number of each
         self.parent: list[int] = []
 
     def root(self, x: int) -> int:
@@ -589,21 +638,30 @@ class Extents:
         return x
 
     def number(self, text: int, s: int, e: int) -> int:
-        mine = self.of.setdefault(text, {})
-        if (s, e) not in mine:
-            mine[s, e] = len(self.parent)
-            self.parent.append(len(self.parent))
-            for (u, v), other in mine.items():
-                if min(e, v) - max(s, u) >= MEET:
-                    self.parent[self.root(other)] = self.root(mine[s, e])
-        return mine[s, e]
+        mine, apart, low, high = self.of.get(text, ()), [], s, e
+        x = -1
+        for extent in mine:
+            u, v, other = extent
+            if min(e, v) - max(s, u) >= MEET or (s == u and e == v):
+                low, high = min(low, u), max(high, v)
+                if x >= 0:
+                    self.parent[self.root(other)] = self.root(x)
+                else:
+                    x = other
+            else:
+                apart.append(extent)
+        if x < 0:
+            x = len(self.parent)
+            self.parent.append(x)
+        self.of[text] = [*apart, (low, high, x)]
+        return x
 
     def join(self, a: tuple[int, int, int], b: tuple[int, int, int]) -> None:
         self.parent[self.root(self.number(*a))] = self.root(self.number(*b))
 
     def group(self, text: int, start: int, end: int) -> int:
         """An extent that overlaps these words by MEET, as any passage that holds them then does; -1 if there is none."""
-        for (s, e), x in self.of.get(text, {}).items():
+        for s, e, x in self.of.get(text, ()):
             if min(e, end) - max(s, start) >= MEET:
                 return x
         return -1
@@ -616,8 +674,11 @@ def _lists(column: pa.Array, *fields: str):
     return lambda at: [x[ends[at] : ends[at + 1]] for x in parts]
 
 
-def _checked(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
-    """Passages of all linked texts, and as rows with a ``wk`` the windows by which texts are met again; see FOUND."""
+def _checked(rows: DataFrame, links: DataFrame, least: int, apart: bool) -> DataFrame:
+    """Passages of all linked texts, and as rows with a ``wk`` the windows by which texts are met again; see FOUND.
+
+    With ``apart`` the gapped keys of mates that other tasks hold too, told by an ``e`` of 1.
+    """
     mate = "k <> lk"
     pairs = materialize(links.where(mate).groupBy("k", "lk").agg(F.collect_set(F.struct("p", "lp")).alias("links")), "pairs")
     # of each leading text: its linked places (no more than the text has), and how many tasks share its mates
@@ -635,8 +696,9 @@ def _checked(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
     kind = rows.schema["id"].dataType
     names = {"id": kind.simpleString()}
     slices = rows.join(want, "k").select("k", "id", "mates", "places", "wide", "own", "salts", "text").mapInArrow(_slices(to_arrow_type(kind)), SLICES.format(**names))
-    dealt = slices.repartition("lk", "salt").sortWithinPartitions("lk", "salt", "mate", "k")
-    out = materialize(dealt.mapInArrow(_verify(least, to_arrow_type(kind)), FOUND.format(**names)), "checked")
+    dealt = slices.repartition(shuffle_width(rows.sparkSession), "lk", "salt")  # the work of a slice is not told by its bytes
+    dealt = dealt.sortWithinPartitions("lk", "salt", "mate", "k")
+    out = materialize(dealt.mapInArrow(_verify(least, to_arrow_type(kind), apart), FOUND.format(**names)), "checked")
     drop(want)
     return out
 
@@ -695,22 +757,21 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: s
     emitted = materialize(rows.select("k", "text").mapInArrow(_emit(least_words), "bk long, k long, p int"), "paragraphs")
     links = linked(emitted, "bk")
     drop(emitted)
-    checked = _checked(rows, links, least_words)
+    parts = [_checked(rows, links, least_words, True)]
     drop(links)
     # mates of one leading text that other tasks met: by their gapped keys, each such bucket led anew
-    apart = checked.where("wk is not null and e = 1").select("wk", "k", F.col("s").alias("p"))
+    apart = parts[0].where("wk is not null and e = 1").select("wk", "k", F.col("s").alias("p"))
     if not apart.isEmpty():
         links = linked(apart, "wk")
-        second = _checked(rows, links, least_words)
-        both = materialize(checked.union(second), "checked")
-        drop(checked, links, second)
-        checked = both
+        parts.append(_checked(rows, links, least_words, False))
+        drop(links)
+    checked = reduce(DataFrame.union, parts)
     more = _again(checked, least_words)
     named = checked.where("id is not null")
     ids = materialize(named.select("k", "id").union(named.where("lid is not null").select("lk", "lid")).distinct(), "ids")
     found = checked.where("similarity is not null").select(more.columns).union(more).distinct()
     found = materialize(found.withColumn("a", F.xxhash64("k", "s", "e")).withColumn("b", F.xxhash64("lk", "u", "v")), "passages")
-    drop(checked, more)
+    drop(*parts, more)
     roots = connected_components(found.select("a", "b"))
     one = found.select(F.col("a").alias("node"), "k", F.col("s").alias("start_word"), (F.col("e") - F.col("s")).alias("n_words"), "similarity")
     other = found.select(F.col("b").alias("node"), F.col("lk").alias("k"), F.col("u").alias("start_word"), (F.col("v") - F.col("u")).alias("n_words"), "similarity")
