@@ -231,3 +231,43 @@ def test_languages_beyond_one_broadcast_are_scored_in_rounds_and_lose_no_ngram(s
     assert sorted(map(tuple, kn.quality_rules(df).collect())) == want
     whole, *each = calls
     assert len(each) == len({k[:2] for k in whole}) and {k: v for part in each for k, v in part.items()} == whole
+
+
+def test_every_ngram_is_scored_however_rare(spark):
+    """Perplexity by a model of all n-grams, against dictionaries; rare ones are told apart from unknown ones."""
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices("abcde", k=4)) for _ in range(12)) for _ in range(60)]
+    texts += [f"rare {t}" for t in texts[:3]] + [f"rare{i} zq" for i in range(8)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    fold = {x["doc_id"]: x["fold"] for x in df.select("doc_id", kn.fold_of(F.col("text")).alias("fold")).collect()}
+    got = {x["doc_id"]: x for x in kn.quality_rules(df).collect()}
+    plain = {f: plain_kneser_ney([t for i, t in enumerate(texts) if fold[i] == f], 0) for f in (0, 1)}
+    for i in [0, *range(60, len(texts))]:
+        s = [0] * 4 + [ord(c) for c in texts[i]]
+        want = [-math.log(plain[1 - fold[i]](tuple(s[k - 4 : k + 1]))) for k in range(4, len(s))]
+        assert math.isclose(got[i]["log_ppl"], sum(want) / len(want), rel_tol=1e-4)
+        assert got[i]["usual_log_ppl"] is not None
+
+
+def test_a_model_beyond_one_broadcast_is_scored_by_slices(spark, monkeypatch):
+    r = random.Random(8)
+    say = lambda k: " ".join("".join(r.choices("abcdefgh"[k:] + "xyz", k=5)) for _ in range(60))
+    data = [(40 * k + i, say(k), lang) for k, lang in enumerate(["en", None]) for i in range(40)] + [(900, "", "en"), (901, None, None), (902, say(0), "alone"), (0, say(0), "en")]
+    data += [(i, t, lang) for i, t, lang in data[:3]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    want = sorted(map(tuple, kn.quality_rules(df).collect()), key=repr)
+    sizes, collect = [], kn.collect_models
+
+    def collected(weights):
+        models = collect(weights)
+        sizes.append(sum(len(a[4]) + len(a[6]) for m in models.values() for a in m.values()))
+        return models
+
+    monkeypatch.setattr(kn, "collect_models", collected)
+    monkeypatch.setattr(kn, "MOST_GRAMS", 2000)
+    monkeypatch.setattr(kn, "rounds", partial(kn.rounds, most=2000))
+    got = sorted(map(tuple, kn.quality_rules(df).collect()), key=repr)
+    assert len(sizes) > 8 and max(sizes) < 4000  # a slice is of whole pairs of symbols, of which there are about a hundred here
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert all(x == y or math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a, b, strict=True))
