@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -92,3 +93,18 @@ def test_benchmark_item_in_text_is_found(spark, sf_dir):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
     assert {(d["doc_id"], i) for d in docs.collect() for i, t in items if t in d["text"]} <= found
+
+
+def test_the_quality_stage_knows_rare_ngrams_too(spark, sf_dir):
+    """Words with their letters shuffled fit what is usual in a noisy language; that their n-grams are rarer than others shows only in all n-grams."""
+    r = random.Random(1)
+    vocabulary = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(60))) for i in range(300)]
+    for k in range(60):
+        words = [r.choice(vocabulary) for _ in range(60)]
+        rows.append((1000 + k, " ".join("".join(r.sample(w, len(w))) if r.random() < k / 60 else w for w in words)))
+        rows.append((2000 + k, " ".join(w if r.random() > k / 60 else w[::-1].upper() for w in words)))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    kept = {x["doc_id"] for x in corpus_pipeline.quality(spark, docs, sf_dir).collect()}
+    assert not kept & set(range(1055, 1060))
+    assert len(kept & set(range(300))) >= 297 and len(kept & set(range(1000, 1030))) >= 29
