@@ -288,7 +288,7 @@ def l18b(t: Tables):
         for low, high in zip(bounds, bounds[1:], strict=False):
             part = e if low is None else e.where(micros > low)
             (part if high is None else part.where(micros <= high)).write.mode("append").parquet(f"{path}/in")
-            sent = stream_throttle(spark.readStream.schema(e.schema).parquet(f"{path}/in"), ["user_id", "event_type"], seconds=6 * 3600, forget=90 * 86_400)
+            sent = stream_throttle(spark.readStream.schema(e.schema).parquet(f"{path}/in"), ["user_id", "event_type"], seconds=6 * 3600, forget=90 * 86_400, together=["user_id"])
             sent.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:

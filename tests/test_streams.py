@@ -1,13 +1,16 @@
 """Streams: state that goes, restarts, late rows."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamark.operators.accounting import alert_throttle
 from seamark.streaming import echo
-from seamark.streaming.throttle import ROCKSDB, stream_throttle
+from seamark.streaming.throttle import ROCKSDB, Throttle, stream_throttle
 
 from .conftest import rows
 
@@ -68,6 +71,63 @@ def test_late_alerts_are_held_and_too_late_ones_dropped(spark, tmp_path, rocksdb
     assert rows(got.select("suppressed")) == [(0,), (1,)]  # 950 is held; 10 is behind the watermark
 
 
+def test_keys_that_share_an_entry_of_the_store_are_throttled_and_forgotten_alone(spark, tmp_path, rocksdb):
+    r = random.Random(4)
+    kinds = ["x", "y", None, "z"]
+    batches = [[(r.choice(["a", "b", None]), r.choice(kinds), DAY + dt.timedelta(seconds=1_000 * i + r.randrange(900))) for _ in range(60)] for i in range(3)]
+    got = throttled(spark, tmp_path / "one", batches, forget=5_000, late=1_000, together=["channel"])
+    everything = spark.createDataFrame([x for b in batches for x in b], ALERTS)
+    assert rows(got) == rows(alert_throttle(everything, ["channel", "kind"], 100))
+    assert rows(got) == rows(throttled(spark, tmp_path / "each", batches, forget=5_000, late=1_000))
+    entries = {n: spark.read.format("statestore").option("stateVarName", "sent").load(f"{tmp_path}/{n}/c").count() for n in ("one", "each")}
+    assert entries["one"] <= 3 < entries["each"]
+    # quiet kinds of one channel go while its others stay: x held one, y held none
+    two = [[("a", "x", at(0)), ("a", "x", at(50)), ("a", "y", at(0))], [("b", "x", at(1_000))], [("b", "x", at(1_001))]]
+    throttled(spark, tmp_path / "two", two, forget=2_000, together=["channel"])
+    held = {x["channel"]: x["rest0"] for x in spark.read.format("statestore").option("stateVarName", "sent").load(f"{tmp_path}/two/c").select("key.channel", "value.rest0").collect()}
+    assert held == {"a": ["x"], "b": ["x"]}
+    got = throttled(spark, tmp_path / "two", [[("a", "x", at(1_500)), ("a", "y", at(1_500))]], forget=2_000, together=["channel"])
+    assert rows(got.where("channel = 'a'").select("kind", "suppressed")) == [("x", 0), ("x", 1), ("y", 0), ("y", 0)]
+    for wrong in ([], ["other"]):
+        with pytest.raises(ValueError):
+            stream_throttle(spark.readStream.schema(ALERTS).parquet(str(tmp_path)), ["channel", "kind"], together=wrong)
+
+
+def test_a_group_calls_the_store_a_few_times_whatever_it_has_kept():
+    """Each call is a message to the JVM, and these are what the query's time goes to."""
+
+    class Store:
+        def __init__(self):
+            self.calls, self.value, self.timers = [], None, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, t):
+            self.calls.append("register")
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.calls.append("delete")
+            self.timers.remove(t)  # only timers that exist
+
+    store = Store()
+    work = Throttle(["u"], [T.StructField("k", T.StringType())], 100, 1_000, True)
+    work.init(store)
+    for i in range(4):
+        store.calls.clear()
+        sent = list(work.handleInputRows((7,), iter([Row(u=7, k=k, micros=(150 * i + s) * 1_000_000) for k in "abcde" for s in (0, 20, 110)]), None))
+        assert len(sent) == (10 if i == 0 else 5) and len(store.calls) <= 4 and len(store.timers) == 1
+
+
 def test_processing_time_state_has_a_ttl(spark, tmp_path, rocksdb):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # with processing time there is always one more
     got = throttled(spark, tmp_path, [[alert("a", 0), alert("a", 50)], [alert("a", 200)]], forget=100, event_time=False)
